@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plover.llm import exact_dedup, packing, simhash, source_mix, token_count, topk, url_filter
+from plover.llm import exact_dedup, packing, simhash, source_mix, token_count, topk, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,12 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.annotate(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("dup_keep_id").alias("keep_id"), F.col("dup_group_size").alias("group_size"), F.col("dup_kept").alias("kept"), F.lower(F.hex("dup_digest")).alias("text_sha256"))
@@ -50,7 +56,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_top_k": op2_top_k, "op5_exact_dedup": op5_exact_dedup, "op6_token_count": op6_token_count, "op8_source_mix": op8_source_mix, "op9_url_filter": op9_url_filter, "op10_simhash": op10_simhash}
+QUERIES = {"op1_packing": op1_packing, "op2_top_k": op2_top_k, "op3_toxicity": op3_toxicity, "op5_exact_dedup": op5_exact_dedup, "op6_token_count": op6_token_count, "op8_source_mix": op8_source_mix, "op9_url_filter": op9_url_filter, "op10_simhash": op10_simhash}
 
 _UP, _LO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
