@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plover.llm import exact_dedup, packing, simhash, source_mix, token_count, topk, toxicity, url_filter
+from plover.llm import exact_dedup, packing, simhash, source_mix, suffix_dedup, token_count, topk, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=200).drop("kept")
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.taken(table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_top_k": op2_top_k, "op3_toxicity": op3_toxicity, "op5_exact_dedup": op5_exact_dedup, "op6_token_count": op6_token_count, "op8_source_mix": op8_source_mix, "op9_url_filter": op9_url_filter, "op10_simhash": op10_simhash}
+QUERIES = {"op1_packing": op1_packing, "op2_top_k": op2_top_k, "op3_toxicity": op3_toxicity, "op5_exact_dedup": op5_exact_dedup, "op6_token_count": op6_token_count, "op7_suffix_dedup": op7_suffix_dedup, "op8_source_mix": op8_source_mix, "op9_url_filter": op9_url_filter, "op10_simhash": op10_simhash}
 
 _UP, _LO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
