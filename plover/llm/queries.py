@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plover.llm import exact_dedup, packing, simhash, source_mix, suffix_dedup, token_count, topk, toxicity, url_filter
+from plover.llm import chat_format, exact_dedup, packing, simhash, source_mix, suffix_dedup, token_count, topk, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,21 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+#: The tools that conversations may call, with their arguments' schemas.
+TOOLS = {
+    "search": {"type": "object", "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1}}, "required": ["query"], "additionalProperties": False},
+    "calculate": {"type": "object", "properties": {"expression": {"type": "string"}}, "required": ["expression"], "additionalProperties": False},
+}
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages, calls = chat_format.format_messages(table(spark, sf_dir, "conversations"), TOOLS)
+    of = calls.groupBy(F.col("conv_id").alias("c"), F.col("turn").alias("t")).agg(F.sum(F.col("linked").cast("int")).alias("linked"), F.sum((F.col("status") != "ok").cast("int")).alias("faulty"))
+    out = messages.join(of, (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("t")), "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
+    return out.select("conv_id", "turn", "role", "message", n("n_calls").alias("n_calls"), n("n_results").alias("n_results"), n("linked").alias("n_linked"), n("faulty").alias("n_faulty"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.annotate(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("dup_keep_id").alias("keep_id"), F.col("dup_group_size").alias("group_size"), F.col("dup_kept").alias("kept"), F.lower(F.hex("dup_digest")).alias("text_sha256"))
@@ -60,7 +75,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_top_k": op2_top_k, "op3_toxicity": op3_toxicity, "op5_exact_dedup": op5_exact_dedup, "op6_token_count": op6_token_count, "op7_suffix_dedup": op7_suffix_dedup, "op8_source_mix": op8_source_mix, "op9_url_filter": op9_url_filter, "op10_simhash": op10_simhash}
+QUERIES = {"op1_packing": op1_packing, "op2_top_k": op2_top_k, "op3_toxicity": op3_toxicity, "op4_chat_format": op4_chat_format, "op5_exact_dedup": op5_exact_dedup, "op6_token_count": op6_token_count, "op7_suffix_dedup": op7_suffix_dedup, "op8_source_mix": op8_source_mix, "op9_url_filter": op9_url_filter, "op10_simhash": op10_simhash}
 
 _UP, _LO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -72,6 +87,12 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT
       FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    # The messages of the tables hold no tool blocks, so SQL needs only the canonical JSON of role and content.
+    "op4_chat_format": r"""
+SELECT conv_id, turn, coalesce(role, '') AS role,
+       '{"content":' || to_json(coalesce(text, '')) || ',"role":' || to_json(coalesce(role, '')) || '}' AS message,
+       0::BIGINT AS n_calls, 0::BIGINT AS n_results, 0::BIGINT AS n_linked, 0::BIGINT AS n_faulty
+FROM conversations""",
     "op5_exact_dedup": f"""
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{_UP}', '{_LO}') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM n GROUP BY t)
