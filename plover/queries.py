@@ -703,3 +703,157 @@ def plotting_data(spark, sf):
 def representative_matrix(spark, sf):
     d = emb(spark, sf).select("row_id", F.array(F.col("label").cast("double")).alias("cov"), F.slice("features", 1, 2).alias("features"))
     return ingest.assemble(d).select("row_id", *[r6(F.col("design")[i]).alias(f"d{i}") for i in range(3)])
+
+
+# --- operators that SQL doesn't express -----------------------------------------------------------------------------------------------------
+
+
+def subject_table(spark: SparkSession, sf: str, kind: str) -> tuple[DataFrame, Config]:
+    """The vectors as a subject table, and a configuration, for one of the kinds of outcome."""
+    e = emb(spark, sf)
+    wide = e.select(F.col("row_id").alias("SUBJ_ID"), *{"regression": ["y"], "weighted": ["y", (F.lit(1.0) + F.col("vec_id") % 3).alias("w"), (F.col("label") + 0.5 * F.col("y")).alias("COV_label")], "multitask": ["y", "y2"], "binary": [(F.col("features")[0] > 0).cast("int").alias("y")], "multiclass": [F.col("label").alias("y")]}[kind], *[F.col("features")[i].alias(n) for i, n in enumerate(NAMES)])
+    outcome = ("y", "y2") if kind == "multitask" else "y"
+    roles = Roles("SUBJ_ID", outcome, "brain", ("COV_label",) if kind == "weighted" else (), "w" if kind == "weighted" else None)
+    classes = kind in ("binary", "multiclass")
+    return wide, Config(roles, "classification" if classes else "regression", "predict", covariate_method="incorporate" if kind == "weighted" else "none", outer_folds=5, inner_folds=3, n_candidates=6 if not classes else 3, n_permutations=20, n_bootstraps=50, n_block_permutations=20, blocks={"first": ["brain_000", "brain_001"], "last": "brain_06"}, model_params={"alpha_min_predict": 1e-4, "alpha_max_predict": 0.1} if not classes else {"alpha_min_predict": 0.1, "alpha_max_predict": 10.0})
+
+
+def run_of(spark: SparkSession, sf: str, kind: str, **change):
+    from dataclasses import replace
+
+    from plover.plans.runs import Run, collect_block
+
+    df, cfg = subject_table(spark, sf, kind)
+    cfg = replace(cfg, **change)
+    return Run(spark, collect_block(df, cfg, cluster_map(spark).select("feature", "cluster")), cfg)
+
+
+def _performance(spark, sf, kind, **change):
+    from plover.plans.report import performance
+
+    run = run_of(spark, sf, kind, **change)
+    return performance(run, run.out_of_fold())
+
+
+@query()
+def nested_cv_regression(spark, sf):
+    return _performance(spark, sf, "regression")
+
+
+@query()
+def nested_cv_weighted_covariates(spark, sf):
+    return _performance(spark, sf, "weighted")
+
+
+@query()
+def nested_cv_pre_regress(spark, sf):
+    return _performance(spark, sf, "weighted", covariate_method="pre_regress")
+
+
+@query()
+def nested_cv_multitask(spark, sf):
+    return _performance(spark, sf, "multitask")
+
+
+@query()
+def nested_cv_binary(spark, sf):
+    return _performance(spark, sf, "binary")
+
+
+@query()
+def nested_cv_multiclass(spark, sf):
+    return _performance(spark, sf, "multiclass")
+
+
+@query()
+def nested_cv_moments(spark, sf):
+    from plover.plans import moments
+
+    df, cfg = subject_table(spark, sf, "weighted")
+    oof, _, _ = moments.nested_cv(df, cfg)
+    return stats.regression_metrics(oof)
+
+
+@query()
+def search_candidates(spark, sf):
+    return run_of(spark, sf, "regression").search()
+
+
+@query()
+def fold_diagnostics(spark, sf):
+    return run_of(spark, sf, "regression").models().drop("model")
+
+
+@query()
+def tier1_report(spark, sf):
+    from plover.plans import report
+
+    run = run_of(spark, sf, "multitask")
+    return report.tier1(run.coefficients(), run.n_folds, run.cfg.ci_level)
+
+
+@query()
+def bootstrap_report(spark, sf):
+    from plover.plans import report
+
+    run = run_of(spark, sf, "regression")
+    long = tables.to_long(subject_table(spark, sf, "regression")[0], "SUBJ_ID", NAMES)
+    return report.importance(run.bootstrap(10), report.feature_scale(run, long), run.cfg.ci_level)
+
+
+@query()
+def selection_report(spark, sf):
+    return stats.selection_frequency(run_of(spark, sf, "regression").selection(10))
+
+
+@query()
+def permutation_test(spark, sf):
+    from plover.plans import report
+
+    run = run_of(spark, sf, "regression")
+    return report.permutation_result(run.null_scores(), run.score())
+
+
+@query()
+def block_permutation_test(spark, sf):
+    from plover.plans import report
+
+    run = run_of(spark, sf, "regression")
+    return report.block_result(run.block_null_scores(), run.score())
+
+
+@query()
+def hdbscan_clusters(spark, sf):
+    return run_of(spark, sf, "regression", reduction="cluster_pca", min_cluster_size=3, n_candidates=2).loadings()
+
+
+@query()
+def apriori_pca(spark, sf):
+    return run_of(spark, sf, "regression", reduction="apriori", n_candidates=2).loadings()
+
+
+@query()
+def cluster_pca_scores(spark, sf):
+    return run_of(spark, sf, "regression", reduction="apriori", n_candidates=2).coefficients(reduced=True)
+
+
+@query()
+def ica_components(spark, sf):
+    return run_of(spark, sf, "regression", reduction="ica", ica_components=8, n_candidates=2).mixing()
+
+
+@query()
+def parallel_analysis(spark, sf):
+    from plover.functions import solvers
+
+    b = run_of(spark, sf, "regression").block
+    return spark.createDataFrame([(solvers.parallel_analysis(b.x, standardize=s), s) for s in (False, True)], "n_components long, standardized boolean")
+
+
+@query()
+def ensemble_prediction(spark, sf):
+    from plover.plans.runs import predict_ensemble as predict
+
+    run = run_of(spark, sf, "regression")
+    rows = emb(spark, sf).select("row_id", "features", F.array().cast("array<double>").alias("cov"))
+    return predict(run.models(), rows, run.cfg).drop("proba")
