@@ -47,25 +47,26 @@ def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sal
     return save(merged.withColumn("norm", F.when(F.col("variants") > 1, F.col("norm"))), "exact-winners")
 
 
-def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """Every row with ``dup_digest, dup_keep_id, dup_group_size, dup_kept``; its own columns come first, unchanged."""
+def _judged(docs: DataFrame, id_col: str, text_col: str, salts: int, digest: Callable[[Column], Column]) -> DataFrame:
+    """``row`` (all columns), ``digest, w_keep, w_size, kept`` of every row."""
     won = winners(docs, id_col, text_col, salts, digest)
-    keys = won.select("digest", F.explode("salts").alias("salt"), "keep_id", "group_size", "norm").select(
-        F.col("digest").alias("w_digest"), F.col("salt").alias("w_salt"), F.col("keep_id").alias("w_keep"), F.col("group_size").alias("w_size"), F.col("norm").alias("w_norm")
-    )
+    keys = won.select(F.col("digest").alias("w_digest"), F.explode("salts").alias("w_salt"), F.col("keep_id").alias("w_keep"), F.col("group_size").alias("w_size"), F.col("norm").alias("w_norm"))
     norm = ascii_lower(text_or_empty(docs[text_col]))
     left = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), digest(norm).alias("digest"), F.pmod(F.xxhash64(docs[id_col]), F.lit(salts)).cast("int").alias("salt"))
     on = (F.col("digest") == F.col("w_digest")) & (F.col("salt") == F.col("w_salt"))
-    clash = won.filter("variants > 1").limit(1).count() > 0
-    if clash:
+    if won.filter("variants > 1").limit(1).count():
         on = on & (F.col("w_norm").isNull() | (F.col("w_norm") == ascii_lower(text_or_empty(F.col(f"row.`{text_col}`")))))
-    joined = left.join(keys, on, "inner")
+    # Rows that repeat an id and text have one salt, so this window needs no shuffle of its own.
     first = F.row_number().over(Window.partitionBy("digest", "salt", "id", "w_norm").orderBy(F.lit(1)))
-    return joined.withColumn("dup_kept", F.col("id").eqNullSafe(F.col("w_keep")) & (first == 1)).select("row.*", F.col("digest").alias("dup_digest"), F.col("w_keep").alias("dup_keep_id"), F.col("w_size").alias("dup_group_size"), "dup_kept")
+    return left.join(keys, on).withColumn("kept", F.col("id").eqNullSafe(F.col("w_keep")) & (first == 1))
+
+
+def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """Every row with ``dup_digest, dup_keep_id, dup_group_size, dup_kept``; its own columns come first, unchanged."""
+    out = _judged(docs, id_col, text_col, salts, digest)
+    return out.select("row.*", F.col("digest").alias("dup_digest"), F.col("w_keep").alias("dup_keep_id"), F.col("w_size").alias("dup_group_size"), F.col("kept").alias("dup_kept"))
 
 
-def deduplicate(docs: DataFrame, **kw) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """The rows that stay, with the columns of ``docs``."""
-    out = annotate(docs, **kw)
-    n = len(docs.columns)
-    return out.filter(F.col("dup_kept")).select(*[F.col(f"`{c}`") for c in out.columns[:n]])
+    return _judged(docs, id_col, text_col, salts, digest).filter("kept").select("row.*")
