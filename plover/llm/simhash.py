@@ -8,6 +8,12 @@ decoding the segment and its one-bit neighbours gives the one to six keys under
 A pair of segments makes a 24-bit key: each fingerprint is listed under 3 keys and looked up under about 84, links are
 found by an equi-join, and verified by counting bits.
 
+``similar_groups`` goes on from there to texts that are alike in their word shingles (five words, Jaccard similarity of 0.8
+or more), whose fingerprints often differ in more bits: the groups' representatives are listed *and* looked up under all
+their keys, so segments that are off by 2 bits each meet too; pairs of up to ``WIDE_BITS`` bits are verified on their whole
+texts.  This step finds most such pairs, not all (the README has its measured recall).  It compares representatives
+only, so a large group of near copies, which the first step folds, makes no pairs.
+
 Distinct fingerprints are linked, not documents, so copies are never expanded into pairs.  Components come from
 distributed label propagation with hooking and pointer jumping; labels are written to the shared folder in each round.
 
@@ -161,8 +167,49 @@ def near_duplicates(docs: DataFrame, n: int = 3, max_bits: int = MAX_BITS, id_co
     return made.join(of, made["fp"] == of["f"]).select("doc_id", "fp", "component_id")
 
 
-def drop(docs: DataFrame, n: int = 3, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id is their component's, with the columns of ``docs``; rows with null ids that no id reaches stay."""
-    found = near_duplicates(docs, n, max_bits, id_col, text_col)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+WIDE_BITS = 10
+
+
+def shingles(text: str, n: int = 5) -> set[bytes]:
+    w = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    return {b" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def _verify(n: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = shingles(x.as_py(), n), shingles(y.as_py(), n)
+                keep.append(bool(x) and len(x & y) >= similarity * len(x | y))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def similar_groups(docs: DataFrame, n: int = 3, max_bits: int = MAX_BITS, wide_bits: int = WIDE_BITS, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, group_id``: components of near fingerprints, joined where their representatives' texts are similar."""
+    found = save(near_duplicates(docs, n, max_bits, id_col, text_col), "near-duplicates")
+    reps = found.filter(F.col("doc_id") == F.col("component_id")).select("fp", F.col("doc_id").alias("id")).distinct()
+    keys = reps.select("fp").mapInArrow(_lookup, "key long, fp long")
+    left, right = keys.select("key", F.col("fp").alias("a")), keys.select(F.col("key").alias("k"), F.col("fp").alias("b"))
+    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= wide_bits)
+    pairs = left.join(right, (F.col("key") == F.col("k")) & near).select("a", "b").distinct()
+    ra, rb = reps.select(F.col("fp").alias("fa"), F.col("id").alias("ia")), reps.select(F.col("fp").alias("fb"), F.col("id").alias("ib"))
+    pairs = save(pairs.join(ra, F.col("a") == F.col("fa")).join(rb, F.col("b") == F.col("fb")).select("ia", "ib"), "wide-pairs")
+    ids = pairs.select(F.explode(F.array("ia", "ib")).alias("i")).distinct()
+    texts = docs.select(docs[id_col].alias("t_id"), text_or_empty(docs[text_col]).alias("text")).join(ids, F.col("t_id") == F.col("i"), "left_semi")
+    texts = save(texts.groupBy("t_id").agg(F.max("text").alias("text")), "wide-texts")  # one text for an id that repeats
+    ta, tb = texts.select(F.col("t_id").alias("xa"), F.col("text").alias("text_a")), texts.select(F.col("t_id").alias("xb"), F.col("text").alias("text_b"))
+    both = pairs.join(ta, F.col("ia") == F.col("xa")).join(tb, F.col("ib") == F.col("xb")).select("ia", "ib", "text_a", "text_b")
+    kind = dict(pairs.dtypes)["ia"]
+    edges = save(both.mapInArrow(_verify(shingle, similarity), f"a {kind}, b {kind}"), "wide-links")
+    roots = components(edges).select(F.col("v").alias("r_v"), "root")
+    return found.join(roots, F.col("component_id") == F.col("r_v"), "left").select("doc_id", F.coalesce("root", "component_id").alias("group_id"))
+
+
+def drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """The rows whose id is their group's, with the columns of ``docs``; rows with null ids that no id reaches stay."""
+    found = similar_groups(docs, id_col=id_col, text_col=text_col, **kw)
+    gone = found.filter(F.col("doc_id") != F.col("group_id")).select(F.col("doc_id").alias("__gone_id")).distinct()
+    return docs.join(gone, docs[id_col] == gone["__gone_id"], "left_anti")

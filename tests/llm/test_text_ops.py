@@ -176,6 +176,25 @@ def test_golay_links_are_all_links(spark):
         simhash.links(df, 4)
 
 
+def test_similar_groups(spark):
+    r = random.Random(4)
+    rows = []
+    for i in range(120):
+        w = [f"w{r.randint(0, 9999)}" for _ in range(200)]
+        rows.append((i, " ".join(w)))
+        for j in range(4):  # 1 to 4 words changed: similarities of 0.82 to 0.95
+            v = list(w)
+            for p in range(j + 1):
+                v[20 + 45 * p] = f"z{i}{j}"
+            rows.append((1000 + 10 * i + j, " ".join(v)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.group_id for x in simhash.similar_groups(df).collect()}
+    sets = {i: simhash.shingles(t) for i, t in rows}
+    joined = [i for i in got if i >= 1000 and got[i] == (i - 1000) // 10]
+    assert all(got[i] == i for i in range(120)) and len(joined) >= 0.9 * 480
+    assert all(g == i or g == (i - 1000) // 10 or len(sets[i] & sets[g]) > 0 for i, g in got.items())
+
+
 def test_components_of_a_long_chain(spark):
     n = 200
     order = np.random.RandomState(1).permutation(n).tolist()
