@@ -857,3 +857,67 @@ def ensemble_prediction(spark, sf):
     run = run_of(spark, sf, "regression")
     rows = emb(spark, sf).select("row_id", "features", F.array().cast("array<double>").alias("cov"))
     return predict(run.models(), rows, run.cfg).drop("proba")
+
+
+# --- more of the inventory ---------------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT f AS fold, i AS iter, (f * 10 + i)::BIGINT AS task FROM (SELECT range AS f FROM range(5)), (SELECT range AS i FROM range(10))")
+def task_list(spark, sf):
+    folds, iters = spark.range(5).withColumnRenamed("id", "fold"), spark.range(10).withColumnRenamed("id", "iter")
+    return folds.crossJoin(F.broadcast(iters)).withColumn("task", F.col("fold") * 10 + F.col("iter"))
+
+
+@query(f"WITH {long_sql()}, {MAP} SELECT row_id, cluster, {R('avg(value)')} AS mean, count(*)::BIGINT AS n FROM long JOIN cmap USING (feature) GROUP BY row_id, cluster")
+def feature_map_join(spark, sf):
+    m = cluster_map(spark).select("feature", "cluster")
+    return rounded(emb_long(spark, sf).join(F.broadcast(m), "feature").groupBy("row_id", "cluster").agg(F.avg("value").alias("mean"), F.count("*").alias("n")), "mean")
+
+
+@query(f"WITH {CUST} SELECT count(*)::BIGINT AS n, round(regr_slope(y, c), 6) + 0.0 AS slope, round(regr_intercept(y, c), 4) + 0.0 AS intercept FROM cust")
+def ols(spark, sf):
+    return cust(spark, sf).agg(F.count("*").alias("n"), (F.round(F.regr_slope("y", "c"), 6) + 0.0).alias("slope"), (F.round(F.regr_intercept("y", "c"), 4) + 0.0).alias("intercept"))
+
+
+@query(f"WITH {CUST} SELECT {R('sum(w * y) / sum(w)')} AS wmean, {R('sum(w * y * y) / sum(w)')} AS wsq FROM cust")
+def weighted_moments(spark, sf):
+    w, y = F.col("w"), F.col("y")
+    return cust(spark, sf).agg(r6(F.sum(w * y) / F.sum(w)).alias("wmean"), r6(F.sum(w * y * y) / F.sum(w)).alias("wsq"))
+
+
+@query(f"WITH {EMB} SELECT i.i::INT AS i, j.i::INT AS j, {R('sum(features[i.i+1] * features[j.i+1])')} AS g FROM emb, range({FEW}) i(i), range({FEW}) j(i) GROUP BY 1, 2")
+def gram_matrix(spark, sf):
+    g = stats._moment_sums(emb(spark, sf).withColumn("features", F.slice("features", 1, FEW)), "features").filter("i > 0")
+    return g.select((F.col("i") - 1).alias("i"), F.posexplode("g").alias("j", "v")).filter("j > 0").select("i", (F.col("j") - 1).alias("j"), r6("v").alias("g"))
+
+
+@query(f"WITH {EMB}, f AS ({ntile_sql(42, 5, 'emb', 'row_id, y')}), m AS (SELECT k, avg(y) AS p FROM f, (SELECT range AS k FROM range(5)) WHERE fold <> k GROUP BY k) SELECT fold, {R('sqrt(avg((y - p) * (y - p)))')} AS rmse, {R('avg((y - p) * (y - p))')} AS mse FROM f JOIN m ON fold = k GROUP BY fold")
+def inner_score_rmse(spark, sf):
+    f = splits.kfold(emb(spark, sf).select("row_id", "y"), 5)
+    own = f.groupBy("fold").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
+    total = own.agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
+    mean = own.join(F.broadcast(total), how="cross").select(F.col("fold").alias("k"), ((F.col("ts") - F.col("s")) / (F.col("tn") - F.col("n"))).alias("p"))
+    e = (F.col("y") - F.col("p")) * (F.col("y") - F.col("p"))
+    return f.join(F.broadcast(mean), F.col("fold") == F.col("k")).groupBy("fold").agg(r6(F.sqrt(F.avg(e))).alias("rmse"), r6(F.avg(e)).alias("mse"))
+
+
+@query(f"WITH {COEF} SELECT task, feature, {R('avg(coef)')} AS boot_mean_coef, {R('quantile_cont(coef, 0.025)')} AS boot_ci_low, {R('quantile_cont(coef, 0.975)')} AS boot_ci_high, {R(PD)} AS pd, {R(f'least(greatest(2*(1-{PD}), 0), 1)')} AS p_value, (quantile_cont(coef, 0.025) > 0 OR quantile_cont(coef, 0.975) < 0) AS is_significant FROM coef GROUP BY task, feature")
+def tier2_summary(spark, sf):
+    from plover.plans import report
+
+    return rounded(report.tier2(coefs(spark, sf).withColumn("ok", F.lit(True)), 0.95).drop("is_significant_fdr"), "boot_mean_coef", "boot_ci_low", "boot_ci_high", "pd", "p_value")
+
+
+@query(f"WITH {COEF}, n AS (SELECT task AS block, coef AS score FROM coef) SELECT block, 0.2::DOUBLE AS observed_score, {R('((count(*) FILTER (WHERE score >= 0.2)) + 1) / (count(*) + 1)')} AS p_value FROM n GROUP BY block")
+def block_pvalue(spark, sf):
+    from plover.plans import report
+
+    return rounded(report.block_result(coefs(spark, sf).select(F.col("task").alias("block"), F.col("coef").alias("score")), 0.2), "p_value")
+
+
+@query(f"WITH {EMB}, z AS (SELECT row_id, features[1:4] AS x FROM emb) SELECT row_id, {R('avg(p)')} AS mean, {R('stddev_samp(p)')} AS sd FROM (SELECT row_id, f.k * x[1] + x[2] / (f.k + 1) - x[3] AS p FROM z, (SELECT range AS k FROM range(3)) f) GROUP BY row_id")
+def ensemble_dot(spark, sf):
+    rows = emb(spark, sf).select("row_id", F.slice("features", 1, 4).alias("x"))
+    models = spark.createDataFrame([(k, [float(k), 1.0 / (k + 1), -1.0, 0.0]) for k in range(3)], "fold long, beta array<double>")
+    dot = F.aggregate(F.zip_with("x", "beta", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return rounded(stats.ensemble(rows.join(F.broadcast(models), how="cross").select("row_id", dot.alias("pred"))), "mean", "sd")
