@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256  # two hexadecimal digits of the hash
+DIGITS = 3  # hexadecimal, of the hash: 4096 buckets
 
 
 def order_hash(seed: int | Column, row_id: Column) -> Column:
@@ -26,9 +26,9 @@ def uniform(h: Column) -> Column:
 def hash_rank(df: DataFrame, seed: int | Column, by: list[str] | None = None, row_id: str = "row_id") -> DataFrame:
     """``h`` and ``rn``, the rank from 0 in the order of ``(h, row_id)``, and ``n``, within the groups ``by``."""
     by = by or []
-    rows = df.withColumn("h", order_hash(seed, df[row_id])).withColumn("__b", F.substring("h", 1, 2))
+    rows = df.withColumn("h", order_hash(seed, df[row_id])).withColumn("__b", F.substring("h", 1, DIGITS))
     sizes = rows.groupBy(*by, "__b").agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(*by).orderBy("__b") if by else Window.orderBy("__b")  # at most BUCKETS rows a group
+    w = Window.partitionBy(*by).orderBy("__b") if by else Window.orderBy("__b")  # a row a bucket
     all_ = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     sizes = sizes.withColumn("__before", F.sum("__c").over(w) - F.col("__c")).withColumn("n", F.sum("__c").over(all_)).drop("__c")
     local = Window.partitionBy(*by, "__b").orderBy("h", row_id)
@@ -102,12 +102,12 @@ def bootstrap_draw(df: DataFrame, seed: int, row_id: str = "row_id") -> DataFram
     return draws.join(ranked.select(F.col("rn").alias("pick"), row_id), "pick").select("draw", row_id)
 
 
-def cumulative_weight(df: DataFrame, w: str = "w", row_id: str = "row_id", groups: int = 256) -> DataFrame:
+def cumulative_weight(df: DataFrame, w: str = "w", row_id: str = "row_id") -> DataFrame:
     """``lo, hi``: each row's interval of cumulative share of the weight, in the order of hash rank.
 
     Sums by hash bucket come first, so the running sum within a bucket is all that a task orders.
     """
-    rows = df.withColumn("__h", order_hash(0, df[row_id])).withColumn("__b", F.substring("__h", 1, 2))
+    rows = df.withColumn("__h", order_hash(0, df[row_id])).withColumn("__b", F.substring("__h", 1, DIGITS))
     sums = rows.groupBy("__b").agg(F.sum(w).alias("__s"))
     sums = sums.withColumn("__before", F.sum("__s").over(Window.orderBy("__b")) - F.col("__s")).withColumn("__total", F.sum("__s").over(Window.partitionBy(F.lit(0)))).drop("__s")
     local = Window.partitionBy("__b").orderBy("__h", row_id).rowsBetween(Window.unboundedPreceding, 0)
@@ -115,13 +115,14 @@ def cumulative_weight(df: DataFrame, w: str = "w", row_id: str = "row_id", group
     return out.withColumn("hi", (F.col("__before") + F.col("__k")) / F.col("__total")).withColumn("lo", F.col("hi") - F.col(w) / F.col("__total")).drop("__h", "__b", "__k", "__before", "__total")
 
 
-def weighted_bootstrap_draw(df: DataFrame, seed: int, w: str = "w", row_id: str = "row_id", cells: int = 1024) -> DataFrame:
+def weighted_bootstrap_draw(df: DataFrame, seed: int, w: str = "w", row_id: str = "row_id") -> DataFrame:
     """``draw, row_id``: draws with probability w / sum(w).
 
-    A draw's u meets the interval that holds it by an equi-join on grid cells of [0, 1) and a range condition.
+    A draw's u meets the interval that holds it by an equi-join on grid cells of [0, 1) and a range condition.  There are as
+    many cells as rows, so intervals touch twice as many cells as there are rows at most, and a cell has one draw or so.
     """
+    cells = max(1, df.count())
     spans = cumulative_weight(df, w, row_id).filter(F.col("hi") > F.col("lo"))
-    n = df.agg(F.count("*").alias("n"))
     ranked = hash_rank(df.select(row_id), 0, row_id=row_id).select(F.col("rn").alias("draw"))
     u = uniform(F.md5(F.concat_ws("|", F.lit(f"wboot{seed}"), F.col("draw").cast("string"))))
     draws = ranked.withColumn("u", u).withColumn("cell", F.floor(F.col("u") * cells))

@@ -15,16 +15,37 @@ EPS = 2.220446049250313e-16  # of double precision
 # --- correlation -------------------------------------------------------------------------------------------------
 
 
-def average_rank(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """``rank``: average ranks of ``value`` within ``by``.
+PARTS = 64
+
 
-    Counts by distinct value come first, so ties are folded before the running sum.
+def prefix_sums(df: DataFrame, value: str, by: Sequence[str], columns: Sequence[str], parts: int = PARTS) -> DataFrame:
+    """``__before_<column>``: sums over smaller values within ``by``; values are unique there.
+
+    Approximate quantiles cut each group into ranges, range sums come first, and a task orders one range: not a whole
+    group, which may be the whole table.
     """
     by = list(by)
+    cuts = F.percentile_approx(value, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(1000))
+    cut = df.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(cuts.alias("__cuts"))  # one row a group
+    on = [df[c].eqNullSafe(cut[f"__{c}"]) for c in by]
+    rows = df.join(F.broadcast(cut) if not by else cut, on or None, "inner" if by else "cross").drop(*[f"__{c}" for c in by])
+    rows = rows.withColumn("__part", F.size(F.filter("__cuts", lambda x: x < F.col(value)))).drop("__cuts")
+    own = rows.groupBy(*by, "__part").agg(*[F.sum(c).alias(f"__sum_{c}") for c in columns])
+    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("__part")  # parts rows a group at most
+    own = own.select(*[F.col(c).alias(f"__k_{c}") for c in by], F.col("__part").alias("__k_part"), *[(F.sum(f"__sum_{c}").over(w) - F.col(f"__sum_{c}")).alias(f"__base_{c}") for c in columns])
+    local = Window.partitionBy(*by, "__part").orderBy(value)
+    rows = rows.select("*", *[(F.sum(c).over(local) - F.col(c)).alias(f"__in_{c}") for c in columns])
+    match = [rows[c].eqNullSafe(own[f"__k_{c}"]) for c in by] + [rows["__part"] == own["__k_part"]]
+    out = rows.join(own, match)
+    return out.select(*df.columns, *[(F.col(f"__base_{c}") + F.col(f"__in_{c}")).alias(f"__before_{c}") for c in columns])
+
+
+def average_rank(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """``rank``: average ranks of ``value`` within ``by``; ties are folded to counts first."""
+    by = list(by)
     counts = df.groupBy(*by, value).agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(*by).orderBy(value) if by else Window.orderBy(value)
-    ranks = counts.withColumn("rank", F.sum("__c").over(w) - (F.col("__c") - 1) / 2).drop("__c")
-    return df.join(ranks, [*by, value])
+    ranks = prefix_sums(counts, value, by, ["__c"]).withColumn("rank", F.col("__before___c") + (F.col("__c") + 1) / 2)
+    return df.join(ranks.select(*by, value, "rank"), [*by, value])
 
 
 def univariate_pearson(long: DataFrame, y: DataFrame) -> DataFrame:
@@ -124,9 +145,7 @@ def auc(df: DataFrame, positive: Column, score: str, by: Sequence[str] = ()) ->
     """Mann-Whitney AUC with average ranks.  Scores are folded to counts of positives and negatives first."""
     by = list(by)
     counts = df.withColumn("__p", positive.cast("int")).groupBy(*by, score).agg(F.sum("__p").alias("p"), F.sum(1 - F.col("__p")).alias("q"))
-    w = Window.partitionBy(*by).orderBy(score) if by else Window.orderBy(score)
-    below = F.sum("q").over(w) - F.col("q")
-    wins = counts.withColumn("u", F.col("p") * (below + F.col("q") / 2))
+    wins = prefix_sums(counts, score, by, ["q"]).withColumn("u", F.col("p") * (F.col("__before_q") + F.col("q") / 2))
     return wins.groupBy(*by).agg(F.when((F.sum("p") > 0) & (F.sum("q") > 0), F.sum("u") / (F.sum("p") * F.sum("q"))).alias("auc"))
 
 
