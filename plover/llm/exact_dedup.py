@@ -58,7 +58,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, salts: int, digest: Cal
         on = on & (F.col("w_norm").isNull() | (F.col("w_norm") == ascii_lower(text_or_empty(F.col(f"row.`{text_col}`")))))
     # Rows that repeat an id and text have one salt, so this window needs no shuffle of its own.
     first = F.row_number().over(Window.partitionBy("digest", "salt", "id", "w_norm").orderBy(F.lit(1)))
-    return left.join(keys, on).withColumn("kept", F.col("id").eqNullSafe(F.col("w_keep")) & (first == 1))
+    return left.join(keys.hint("merge"), on).withColumn("kept", F.col("id").eqNullSafe(F.col("w_keep")) & (first == 1))
 
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest: Callable[[Column], Column] = sha256) -> DataFrame:

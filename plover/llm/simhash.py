@@ -136,7 +136,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     listed = fps.mapInArrow(_listing, "key long, fp long").select(F.col("key").alias("k"), F.col("fp").alias("a"))
     sought = fps.mapInArrow(_lookup, "key long, fp long").select("key", F.col("fp").alias("b"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    return listed.join(sought, (F.col("k") == F.col("key")) & near).select("a", "b").distinct()
+    # The planner takes the keys for as few as the fingerprints they come from; they must not be broadcast.
+    return listed.hint("merge").join(sought, (F.col("k") == F.col("key")) & near).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -194,7 +195,7 @@ def similar_groups(docs: DataFrame, n: int = 3, max_bits: int = MAX_BITS, wide_b
     keys = reps.select("fp").mapInArrow(_lookup, "key long, fp long")
     left, right = keys.select("key", F.col("fp").alias("a")), keys.select(F.col("key").alias("k"), F.col("fp").alias("b"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= wide_bits)
-    pairs = left.join(right, (F.col("key") == F.col("k")) & near).select("a", "b").distinct()
+    pairs = left.hint("merge").join(right, (F.col("key") == F.col("k")) & near).select("a", "b").distinct()
     ra, rb = reps.select(F.col("fp").alias("fa"), F.col("id").alias("ia")), reps.select(F.col("fp").alias("fb"), F.col("id").alias("ib"))
     pairs = save(pairs.join(ra, F.col("a") == F.col("fa")).join(rb, F.col("b") == F.col("fb")).select("ia", "ib"), "wide-pairs")
     ids = pairs.select(F.explode(F.array("ia", "ib")).alias("i")).distinct()
