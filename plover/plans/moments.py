@@ -21,6 +21,7 @@ from plover.operators import ingest, splits, stats
 from plover.sources.work import save
 
 MAX_BYTES = 512_000_000
+ROWS = 16
 
 
 def assign(rows: DataFrame, cfg: Config) -> DataFrame:
@@ -47,9 +48,16 @@ def cells(assigned: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"fold": f, "repeat": r, "inner": j, "kind": kind, "i": np.arange(len(m)), "g": list(m)})
 
     part = assigned.select("fold", "repeat", "inner", "design", "y", "w").mapInPandas(run, "fold long, repeat long, inner long, kind int, i int, g array<double>")
-    keys = ["fold", "repeat", "inner", "kind", "i"]
-    # A group has a row from each task at most, and of the matrix's width.
-    return part.groupBy(*keys).applyInPandas(lambda p: p.iloc[:1].assign(g=[np.sum(np.stack(p["g"].to_numpy()), axis=0)]), "fold long, repeat long, inner long, kind int, i int, g array<double>")
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        i = pdf["i"].to_numpy()
+        at, to = np.unique(i, return_inverse=True)
+        g = np.zeros((len(at), len(pdf["g"].iloc[0])))
+        np.add.at(g, to, np.stack(pdf["g"].to_numpy()))
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in ("fold", "repeat", "inner", "kind")}, "i": at, "g": list(g)})
+
+    # A group has ROWS of the matrix's rows from each task at most.
+    return part.groupBy("fold", "repeat", "inner", "kind", F.floor(F.col("i") / ROWS).alias("part")).applyInPandas(add, "fold long, repeat long, inner long, kind int, i int, g array<double>")
 
 
 def solve(plain: np.ndarray, weighted: np.ndarray, n_tasks: int, n_covs: int, params: dict[str, float]) -> solvers.Fitted:

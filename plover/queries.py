@@ -290,9 +290,9 @@ def sorted_labels(spark, sf):
     return ingest.sorted_labels(emb(spark, sf), "label")
 
 
-@query("SELECT DISTINCT l_shipdate::DATE AS d, l_returnflag AS f FROM lineitem")
+@query("SELECT DISTINCT l_linestatus AS d, l_returnflag AS f FROM lineitem")
 def distinct_labels(spark, sf):
-    return read(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("d"), F.col("l_returnflag").alias("f")).distinct()
+    return read(spark, sf, "lineitem").select(F.col("l_linestatus").alias("d"), F.col("l_returnflag").alias("f")).distinct()
 
 
 # --- aggregates and metrics ---------------------------------------------------------------------------------------------------
