@@ -9,7 +9,8 @@ pseudorandom permutation of the block numbers (a Feistel network with cycle walk
 slots meet blocks by number in a join.  Nothing depends on partitioning, so reruns agree.
 
 Only per-source totals (``MAX_SOURCES`` at most, checked) come to the driver.  Positions in a stream come from sums by
-hash bucket, so a source that holds a third of all rows is spread over all buckets.
+hash bucket, so a source that holds a third of all rows is spread over all buckets.  Slots come from a few rows that each
+stand for thousands, which the planner can't tell, so their joins are told not to broadcast.
 
 Defined results: a null text has no words and takes nothing; null is a source of its own, last in the order; rows that
 repeat are separate documents; no document is taken over ``max_repeat`` times, as each pass uses a block once.
@@ -177,7 +178,7 @@ def _pieces(pos: DataFrame, block_words: int, *more: str) -> DataFrame:
 def taken(docs: DataFrame, block_words: int = BLOCK_WORDS, **kw) -> DataFrame:
     """``doc_id, source, size, source_size, target, taken`` of every document."""
     pos, _, used = mix(docs, block_words=block_words, **kw)
-    uses = used.groupBy(F.col("s").alias("u_s"), F.col("block").alias("u_block")).agg(F.count("*").alias("uses"))
+    uses = used.groupBy(F.col("s").alias("u_s"), F.col("block").alias("u_block")).agg(F.count("*").alias("uses")).hint("merge")
     pieces = _pieces(pos, block_words)
     met = pieces.join(uses, (pieces["s"] == uses["u_s"]) & (pieces["d_block"] == uses["u_block"]), "left")
     words = (F.col("w1") - F.col("w0")) * F.coalesce("uses", F.lit(0))
@@ -192,7 +193,7 @@ def materialise(docs: DataFrame, block_words: int = BLOCK_WORDS, text_col: str =
     """
     names = list(docs.columns)
     pos, _, used = mix(docs, block_words=block_words, text_col=text_col, **kw)
-    uses = used.select(F.col("s").alias("u_s"), F.col("block").alias("u_block"), F.col("pass"))
+    uses = used.select(F.col("s").alias("u_s"), F.col("block").alias("u_block"), F.col("pass")).hint("merge")
     pieces = _pieces(pos, block_words)
     met = pieces.join(uses, (pieces["s"] == uses["u_s"]) & (pieces["d_block"] == uses["u_block"])).filter("w1 > w0")
     spans = met.groupBy("s", "bucket", "k", "pass").agg(F.sort_array(F.collect_list(F.struct("w0", "w1"))).alias("spans"))
