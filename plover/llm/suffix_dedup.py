@@ -274,8 +274,12 @@ def _buckets(length: int):
     return run
 
 
+_DEALT = "bin long, rows binary, u long, u2 int, start long, end long"
+
+
 def _deal(length: int, bins: int):
-    """Windows of hot buckets, dealt by hash: packed hashes of those met twice here, and of the others with their places."""
+    """Windows of hot buckets.  What repeats within a slice is settled there: a row for each span.  Windows met once, and one
+    of each class met more often, are dealt by hash: rows of packed hashes, places, and whether the window is settled."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -283,28 +287,38 @@ def _deal(length: int, bins: int):
                 row, t, h1 = _window_hashes(pdf, length, 2)
                 _, _, h2 = _window_hashes(pdf, length, 3)
                 start = pdf["start"].to_numpy()[row] + t
-                u, u2 = pdf["u"].to_numpy()[row], pdf["u2"].to_numpy()[row].astype(np.int64)
+                u, u2 = pdf["u"].to_numpy(), pdf["u2"].to_numpy()
                 order = np.lexsort((h2, h1))
-                h1, h2, start, u, u2 = h1[order], h2[order], start[order], u[order], u2[order]
-                bin_ = (h1 % np.uint64(bins)).astype(np.int64)
-                table = np.stack([h1.view(np.int64), h2.view(np.int64), u, u2, start], axis=1)
+                new = np.append(True, (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0))[: len(order)]
+                first = np.flatnonzero(new)
+                n = np.diff(np.append(first, len(order)))
+                met = np.zeros(len(row), dtype=bool)
+                met[order] = np.repeat(n > 1, n)
+                edge = np.append(True, (met[1:] != met[:-1]) | (row[1:] != row[:-1]))[: len(row)]
+                at = np.flatnonzero(edge)
+                to = np.append(at[1:], len(row)) - 1
+                at, to = at[met[at]], to[met[at]]
+                if len(at):
+                    yield pd.DataFrame({"bin": -1, "rows": b"", "u": u[row[at]], "u2": u2[row[at]], "start": start[at], "end": start[to] + length})
+                sent = order[first]
+                table = np.stack([h1[sent].view(np.int64), h2[sent].view(np.int64), u[row[sent]], u2[row[sent]].astype(np.int64), start[sent], met[sent].astype(np.int64)], axis=1)
+                bin_ = (h1[sent] % np.uint64(bins)).astype(np.int64)
                 by = np.argsort(bin_, kind="stable")
-                cut = np.flatnonzero(np.diff(bin_[by])) + 1
-                parts_ = np.split(by, cut)
-                yield pd.DataFrame({"bin": [int(bin_[p[0]]) for p in parts_ if len(p)], "rows": [table[p].tobytes() for p in parts_ if len(p)]})
+                parts_ = [p for p in np.split(by, np.flatnonzero(np.diff(bin_[by])) + 1) if len(p)]
+                yield pd.DataFrame({"bin": [int(bin_[p[0]]) for p in parts_], "rows": [table[p].tobytes() for p in parts_], "u": 0, "u2": 0, "start": 0, "end": 0})
 
     return run
 
 
 def _count(length: int):
+    """The windows, settled nowhere yet, that other slices have too."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.concatenate([np.frombuffer(x, dtype=np.int64).reshape(-1, 5) for x in pdf["rows"]])
+        t = np.concatenate([np.frombuffer(x, dtype=np.int64).reshape(-1, 6) for x in pdf["rows"]])
         t = t[np.lexsort((t[:, 1], t[:, 0]))]
         new = np.append(True, (t[1:, :2] != t[:-1, :2]).any(1))
         n = np.diff(np.append(np.flatnonzero(new), len(t)))
-        t = t[np.repeat(n > 1, n)]
-        # Successive windows of a text make one span.
-        t = t[np.lexsort((t[:, 4], t[:, 3], t[:, 2]))]
+        t = t[np.repeat(n > 1, n) & (t[:, 5] == 0)]
         return pd.DataFrame({"u": t[:, 2], "u2": t[:, 3].astype(np.int32), "start": t[:, 4], "end": t[:, 4] + length})
 
     return run
@@ -330,8 +344,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     n_hot = ctx.filter("hot").count()
     if n_hot:
         bins = max(256, n_hot // 1024)
-        dealt = ctx.filter("hot").dropDuplicates(["anchor", "u", "u2", "start"]).mapInPandas(_deal(length, bins), "bin long, rows binary")
-        spans = spans.unionByName(dealt.groupBy("bin").applyInPandas(_count(length), "u long, u2 int, start long, end long"))
+        dealt = save(ctx.filter("hot").dropDuplicates(["anchor", "u", "u2", "start"]).mapInPandas(_deal(length, bins), _DEALT), "hot-windows")
+        spans = spans.unionByName(dealt.filter("bin < 0").select("u", "u2", "start", "end"))
+        spans = spans.unionByName(dealt.filter("bin >= 0").groupBy("bin").applyInPandas(_count(length), "u long, u2 int, start long, end long"))
     return spans, groups
 
 
