@@ -198,7 +198,7 @@ def test_leave_one_out(spark):
 
 
 def test_single_feature_and_constant(spark):
-    d = data(40, p=2).drop(columns="brain_1").assign(brain_c=1.0)
+    d = data(40, p=3).drop(columns=["brain_1", "brain_2"]).assign(brain_c=1.0)
     cfg = config(n_candidates=1)
     run = Run(spark, block(spark, d, cfg), cfg)
     coefs = run.coefficients().toPandas()
