@@ -40,19 +40,29 @@ def save(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/plover-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._plover_path = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may be closed by now
+        pass
+
+
+def discard(saved: DataFrame) -> None:
+    """Remove a table that :func:`save` returned; what was read from it must have been saved."""
+    _remove(saved.sparkSession, saved._plover_path)
 
 
 def cleanup() -> None:
     """Remove the tables that :func:`save` wrote; call it once their readers have ended."""
     while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be closed by now
-            pass
+        _remove(*_written.pop())
 
 
 atexit.register(cleanup)

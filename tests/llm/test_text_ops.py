@@ -195,6 +195,41 @@ def test_similar_groups(spark):
     assert all(g == i or g == (i - 1000) // 10 or len(sets[i] & sets[g]) > 0 for i, g in got.items())
 
 
+def brute_similar(rows):
+    sets = {i: simhash.shingles(t or "") for i, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    return brute_components(pairs, sets)
+
+
+def mixed_texts():
+    """Isolated pairs at 0.8 to 0.9, chains by members other than the smallest, a frequent passage, few and no words."""
+    r = random.Random(5)
+    fresh = lambda n: [f"w{r.randint(0, 10**6)}" for _ in range(n)]
+    texts, passage = [None, "", " ", "One word", "one  word", "other"], fresh(40)
+    for i in range(150):
+        w = fresh(r.randint(30, 120))
+        v, gone = list(w), len(w) // 50 + 1
+        for k in range(gone):
+            v[len(w) * (k + 1) // (gone + 1)] = f"z{i}"
+        texts += [" ".join(w), " ".join(v)]
+        if i < 20:
+            v = list(v)
+            v[0], v[-1] = f"x{i}", f"y{i}"
+            texts.append(" ".join(v))
+    texts += [" ".join(passage + fresh(k)) for k in range(0, 12) for _ in range(4)]
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    return rows
+
+
+def test_similar_pairs_are_all_found(spark):
+    rows = mixed_texts()
+    got = {x.doc_id: x.group_id for x in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_similar(rows)
+    split = [i for i in want if got[i] != got[want[i]]]
+    assert not split and len(set(want.values())) < len(rows) - 50
+
+
 def test_components_of_a_long_chain(spark):
     n = 200
     order = np.random.RandomState(1).permutation(n).tolist()
