@@ -272,7 +272,7 @@ def _verify(n: int, similarity: float):
 
 
 def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame | None:
-    """``v, root`` of the nodes of ``texts`` (``node, text``) that have a similar one: components of all similar pairs and 3-bit links."""
+    """``v, root`` of the nodes of ``texts`` (``node, text``) that have a similar one: components of all similar pairs."""
     spark = texts.sparkSession
     common = spark.sparkContext.broadcast(common_shingles(texts, shingle))  # bounded by COMMON
 
@@ -323,8 +323,7 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -
             known = save(known, "labelled-members")
             still = known.groupBy(F.col("key").alias("k")).agg(F.min("l").alias("lo"), F.max("l").alias("hi")).filter("lo < hi").select("k")
             members = save(known.join(still.hint("merge"), F.col("key") == F.col("k"), "left_semi"), "members")
-    bits = near_duplicates(texts, id_col="node").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).filter("a <> b").distinct()
-    return components(bits if edges is None else edges.union(bits))
+    return roots
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -230,6 +230,20 @@ def test_similar_pairs_are_all_found(spark):
     assert not split and len(set(want.values())) < len(rows) - 50
 
 
+def test_only_similar_texts_are_grouped(spark):
+    """A line repeated in different texts sets the fingerprints' bits; it doesn't make the texts similar."""
+    r = random.Random(6)
+    line = " ".join(f"w{r.randint(0, 10**6)}" for _ in range(9))
+    rows = mixed_texts() + [(1000 + i, f"{line} " * 60 + " ".join(f"v{r.randint(0, 10**6)}" for _ in range(50))) for i in range(20)]
+    want, least = brute_similar(rows), {}
+    for i in sorted(want):
+        least.setdefault(want[i], i)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.group_id for x in simhash.similar_groups(df).collect()}
+    assert got == {i: least[want[i]] for i in want}
+    assert {x.doc_id for x in simhash.drop(df).collect()} == set(least.values())
+
+
 def test_components_of_a_long_chain(spark):
     n = 200
     order = np.random.RandomState(1).permutation(n).tolist()
