@@ -271,8 +271,9 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [512, 2])
-def test_suffix_dedup(spark, hot):
+@pytest.mark.parametrize(("hot", "held"), [(1024, 4096), (2, 16)])
+def test_suffix_dedup(spark, hot, held, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SLICE", held)
     r = random.Random(hot)
     vocab = [f"v{i}" for i in range(3000)]
     shared = [" ".join(r.choices(vocab, k=r.randint(30, 120))) for _ in range(8)]
@@ -293,24 +294,48 @@ def test_suffix_dedup_edges(docs, rows, empty, clash):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
-def test_interval_tree_gives_maximal_repeats():
+def brute_maximal(t, least):
+    out = set()
+    for n in range(least, len(t)):
+        where = defaultdict(set)
+        for i in range(len(t) - n + 1):
+            where[t[i : i + n]].add(i)
+        for s, occ in where.items():
+            left = {t[i - 1] if i else -1 for i in occ}
+            right = {t[i + n] if i + n < len(t) else -1 for i in occ}
+            if len(occ) > 1 and (len(left) > 1 or -1 in left) and (len(right) > 1 or -1 in right):
+                out.add((s, len(occ)))
+    return out
+
+
+@pytest.mark.parametrize("cuts", [(), (7, 20, 33), tuple(range(1, 57))])
+def test_tree_gives_maximal_repeats(cuts):
+    """Whole, and in parts whose skeletons give the intervals over their edges."""
     r = random.Random(5)
     for _ in range(30):
         t = bytes(r.choice(b"ab") for _ in range(60))
         least = 4
-        at = [i for i in range(len(t) - least + 1)]
-        got = {(n, frozenset(at[m] for m in members)) for n, members in suffix_dedup.interval_tree([t[i:] for i in at], [t[i - 1] if i else -1 for i in at], [0] * len(at), least)}
-        want = set()
-        for n in range(least, len(t)):
-            where = defaultdict(set)
-            for i in range(len(t) - n + 1):
-                where[t[i : i + n]].add(i)
-            for occ in where.values():
-                left = {t[i - 1] if i else -1 for i in occ}
-                right = {t[i + n] if i + n < len(t) else -1 for i in occ}
-                if len(occ) > 1 and (len(left) > 1 or -1 in left) and (len(right) > 1 or -1 in right):
-                    want.add((n, frozenset(occ)))
-        assert got == want
+        leaves = sorted((t[i:], t[i - 1] if i else -1) for i in range(len(t) - least + 1))
+        edges = [0, *cuts, len(leaves)]
+        rows, skeleton = [], []
+        for p, (a, z) in enumerate(zip(edges, edges[1:], strict=False)):
+            s = [x for x, _ in leaves[a:z]]
+            left = np.array([x for _, x in leaves[a:z]])
+            made = suffix_dedup.tree(s, s, np.ones(len(s), dtype=int), left, left, least, leaves[a - 1][0] if a else None, leaves[z][0] if z < len(leaves) else None, p)
+            rows += [x for x in made if x[0] < 2]
+            skeleton += [x for x in made if x[0] == 2]
+        if skeleton:
+            rows += suffix_dedup._over_edges(least)(suffix_dedup._node_frame(skeleton)).itertuples(index=False, name=None)
+        nodes = [x for x in rows if x[0] == 0]
+        names = {suffix_dedup.label(s): s for s in {t[i:j] for i in range(60) for j in range(i + least, 61)}}
+        assert len({x[1] for x in nodes}) == len(nodes)
+        assert {(names[x[1]], x[4]) for x in nodes if x[5] < 0 or x[5] != x[6]} == brute_maximal(t, least)
+        for x in nodes:  # a parent is the longest shorter interval of which it is one
+            up = [names[y[1]] for y in nodes if y[3] < x[3] and names[x[1]].startswith(names[y[1]])]
+            assert (names[x[2]] if x[2] else None) == (max(up, key=len) if up else None)
+        for x in (x for x in rows if x[0] == 1):
+            deep = [names[y[1]] for y in nodes if x[1].startswith(names[y[1]])]
+            assert (names[x[2]] if x[2] else None) == (max(deep, key=len) if deep else None)
 
 
 # --- packing -------------------------------------------------------------------------------------------------------------------
@@ -465,17 +490,18 @@ def test_toxicity(spark):
     y = np.array([truth[i] for i in held])
     assert -np.mean(np.where(y, np.log(p), np.log(1 - p))) < 0.3
     # The index gives what scoring every example gives.
-    dense = np.zeros((len(index.ids), len(index.vocabulary)))
-    t = np.repeat(np.arange(len(index.vocabulary)), np.diff(index.ends[:: max(1, index.n_blocks)]))
-    dense[index.docs, t] = index.weights
-    for _, text in rows[:150]:
-        c = index.counts(text)
-        if c:
-            ids, q = index.vector(c)
-            full = dense[:, ids] @ q
-            want = sorted(((-round(s, 12), d) for d, s in enumerate(full) if s > 0))[: index.k]
-            d, s = index.nearest(ids, q)
-            assert [x for _, x in want] == d.tolist() and np.allclose(s, [-x for x, _ in want])
+    dense = np.zeros((len(index.ids), len(index.words)))
+    of = np.repeat(np.repeat(np.arange(len(index.words)), np.diff(index.ends)), np.diff(index.cut))
+    dense[index.docs, of] = index.weights
+    assert set(index.words) >= {w for i, text in rows if i in set(index.ids.tolist()) for w in toxicity.words(text or "")}  # no term is left out
+    assert np.allclose(np.linalg.norm(dense, axis=1), 1)
+    for (_, text), (_, evidence) in zip(rows[:150], index.scores([x or "" for _, x in rows[:150]]), strict=True):
+        ids, q = index.vector(text or "")
+        full = dense[:, ids] @ q if len(ids) else np.zeros(len(dense))
+        want = sorted(((-round(s, 12), d) for d, s in enumerate(full) if s > 0))[: index.k]
+        d, s = index.nearest(ids, q)
+        assert [x for _, x in want] == d.tolist() and np.allclose(s, [-x for x, _ in want])
+        assert [e["doc_id"] for e in evidence] == index.ids[d].tolist()
 
 
 def test_toxicity_edges(spark, docs, rows, empty, clash):
