@@ -1,24 +1,26 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine, block-max inverted indexes, distance-weighted votes.
 
 Learning uses labelled rows outside the held-out fold, at most ``MAX_TRAIN`` of them (the smallest hashes of text ids):
-this is the documented bound of the sample, and of all that is broadcast.
-
-* *Terms* are lower-cased words and their first 4, 5 and 6 letters (for inflected and compounded forms).  Those kept
-  occur ``LIFT`` times as often in toxic texts as in others, with a chi-square of ``MIN_CHI2`` at least; their counts
-  are gathered from the sample by a distributed aggregation.
-* *Vectors* are ``(1 + ln tf) * idf``, of unit length.  The *index* holds the examples' postings by term, cut into blocks
-  of ``BLOCK`` examples, with each term's largest weight in each block.  A query's blocks are visited in the order of
-  their upper bounds, ``sum of query weight * block maximum``, until the bound is below the k-th similarity found: the
-  result is exactly that of scoring every example.
+this is the documented bound of the sample, and of all that is collected and broadcast.
+
+* *Terms* are all lower-cased words of the sampled texts.  None is left out.
+* *Vectors* are ``(1 + ln tf) * idf * contrast``, of unit length.  ``idf`` counts the rows of the whole table that hold the
+  term.  ``contrast`` is how far the term's odds differ between toxic and other examples, ``(|z| / (|z| + 4)) ** 6`` plus
+  ``FLOOR``, where z is the log odds ratio by its standard error: a term that tells nothing counts little, but counts.
+* The *index* holds the examples' postings by term, cut into blocks of ``BLOCK`` examples, with each term's largest weight in
+  each block; terms of over ``1 / FREQUENT`` of the examples are kept as whole rows, which a batch of texts multiplies at
+  once.  A text's products with those rows bound the k-th cosine from below; blocks whose upper bound, the largest such
+  product plus ``sum of query weight * block maximum``, reaches it are scored by their postings.  The result is exactly that
+  of scoring every example by all terms.
 * *Votes*: a neighbour at cosine c weighs ``1 / (1.05 - c)``; the weighted share of toxic ones, with the base rate as one
-  more vote, is calibrated by a logistic curve fitted to leave-one-out votes of the examples themselves.  A text without
-  terms gets the toxic share of such examples.  The neighbours are returned as evidence.
+  more vote, is calibrated by a logistic curve fitted to leave-one-out votes of the first ``CALIBRATE`` examples.  A text that
+  shares no term with an example gets the base rate.  The neighbours are returned as evidence.
 
 Scores depend on the text alone.  Whole texts are read.
 
-Defined results: null and empty texts have no terms, and the score that goes with that; labels that are null or whose
-document is missing teach nothing; without labels scores are 0.25; ties in similarity go to the lower example number;
-repeated rows are each scored; extra columns pass through ``drop_toxic``.
+Defined results: null and empty texts have no terms, and the base rate; labels that are null or whose document is missing
+teach nothing; without labels scores are 0.25; ties in similarity go to the lower example number; repeated rows are
+each scored; extra columns pass through ``drop_toxic``.
 """
 
 from __future__ import annotations
@@ -31,19 +33,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plover.llm.common import text_or_empty
 
-MAX_TRAIN = 20_000
-MAX_TERMS = 4096
-NEIGHBOURS = 16
+MAX_TRAIN = 8_000
+CALIBRATE = 2_000
+NEIGHBOURS = 8
 BLOCK = 64
-LIFT = 3.0
-MIN_CHI2 = 25.0
-MIN_TOXIC = 4
-PREFIXES = (4, 5, 6)
+FLOOR = 0.002
+FREQUENT = 20
+BATCH = 64  # texts multiplied at once
 FOLDS = 5
 _WORD = re.compile(r"\w+")
 
@@ -52,97 +54,120 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, *(word[:n] + "*" for n in PREFIXES if len(word) >= n)]
-
-
 def held_out(id_col: Column, folds: int = FOLDS) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % folds == 0
 
 
-class _Known(dict):
-    """The numbers of the vocabulary's terms that each word makes; forgets all when it holds ``most`` words."""
-
-    def __init__(self, vocabulary: dict[str, int], most: int = 300_000) -> None:
-        super().__init__()
-        self.vocabulary, self.most = vocabulary, most
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = found = tuple(self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary)
-        return found
+def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, and the range of each."""
+    n = end - begin
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + begin[of], of
 
 
 class Index:
     """Block-max inverted index over labelled examples, with its votes and their calibration."""
 
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, rows: list[tuple[int, dict[int, int], int]], prior: float, k: int = NEIGHBOURS) -> None:
-        """rows: example's id, counts of its terms, its label."""
-        self.vocabulary, self.idf, self.k, self.prior = {t: i for i, t in enumerate(vocabulary)}, idf, k, prior
-        self.known = None
-        bare = [y for _, c, y in rows if not c]
-        self.bare = (sum(bare) + prior) / (len(bare) + 1)
-        full = [(i, self.vector(c), y) for i, c, y in rows if c]
-        full.sort(key=lambda r: (r[1][0][int(np.argmax(r[1][1]))], len(r[1][0]), r[0]))  # like examples share blocks
-        self.ids = np.array([r[0] for r in full], dtype=np.int64)
-        self.labels = np.array([r[2] for r in full], dtype=np.float64)
-        n, self.n_blocks = len(full), -(-len(full) // BLOCK)
-        t = np.concatenate([r[1][0] for r in full] or [np.empty(0, np.int64)])
-        d = np.repeat(np.arange(n), [len(r[1][0]) for r in full])
-        w = np.concatenate([r[1][1] for r in full] or [np.empty(0)])
-        order = np.lexsort((d, t))
-        t, self.docs, self.weights = t[order], d[order], w[order]
-        key = t * max(1, self.n_blocks) + self.docs // BLOCK
-        self.ends = np.searchsorted(key, np.arange(len(vocabulary) * self.n_blocks + 1))
-        self.most = np.zeros(len(vocabulary) * self.n_blocks)
-        np.maximum.at(self.most, key, self.weights)
-        self.most = self.most.reshape(len(vocabulary), self.n_blocks)
+    def __init__(self, vocabulary: list[str], df: np.ndarray, n_rows: int, ids: np.ndarray, labels: np.ndarray, owner: np.ndarray, term: np.ndarray, tf: np.ndarray, k: int = NEIGHBOURS, calibrate: int = CALIBRATE) -> None:
+        """df: rows of the table (of ``n_rows``) with each term; owner, term, tf: each example's terms and their counts."""
+        self.words, self.k, self.known = vocabulary, k, None
+        self.ids, self.labels = ids.astype(np.int64), labels.astype(np.float64)
+        n, toxic = len(ids), float(labels.sum())
+        self.prior = (toxic + 0.5) / (n + 2)
+        n1 = np.bincount(term, weights=self.labels[owner], minlength=len(vocabulary))
+        n0 = np.bincount(term, minlength=len(vocabulary)) - n1
+        a, b, c, d = n1 + 0.5, toxic - n1 + 0.5, n0 + 0.5, n - toxic - n0 + 0.5
+        z = np.abs(np.log(a * d / (b * c))) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+        self.weight = (1 + np.log((1 + n_rows) / (1 + np.maximum(df, n0 + n1)))) * ((z / (z + 4)) ** 6 + FLOOR)
+        w = (1 + np.log(tf)) * self.weight[term]
+        norm = np.sqrt(np.bincount(owner, weights=w * w, minlength=n))
+        w = w / np.maximum(norm[owner], 1e-300)
+        # Examples whose weightiest terms are the same share blocks.
+        top = np.full(n, len(vocabulary))
+        order = np.lexsort((term, -w, owner))
+        first = np.flatnonzero(np.append(True, np.diff(owner[order]) != 0))[: len(np.unique(owner))]
+        top[owner[order[first]]] = term[order[first]]
+        place = np.empty(n, dtype=np.int64)
+        place[np.lexsort((self.ids, top))] = np.arange(n)
+        self.ids, self.labels = self.ids[np.argsort(place)], self.labels[np.argsort(place)]
+        owner = place[owner]
+        order = np.lexsort((owner, term))
+        term, self.docs, self.weights = term[order], owner[order].astype(np.int32), w[order]
+        self.n_blocks = -(-n // BLOCK)
+        key = term.astype(np.int64) * max(1, self.n_blocks) + self.docs // BLOCK
+        cut = np.flatnonzero(np.append(True, np.diff(key) != 0))[: len(key)]  # where each (term, block) begins
+        self.cut = np.append(cut, len(key))
+        self.block = (key[cut] % max(1, self.n_blocks)).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weights, cut) if len(cut) else np.empty(0)
+        self.ends = np.searchsorted(key[cut] // max(1, self.n_blocks), np.arange(len(vocabulary) + 1))
+        n_terms = np.bincount(term, minlength=len(vocabulary))
+        often = np.flatnonzero(n_terms > n / FREQUENT)  # fewer than FREQUENT * the mean length of an example
+        self.row = np.full(len(vocabulary), -1)
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), self.n_blocks * BLOCK))
+        held = self.row[term] >= 0
+        self.rows[self.row[term[held]], self.docs[held]] = self.weights[held]
         self.curve = (1.0, 0.0)
-        self.curve = self._calibrate(full)
+        own = np.argsort(self.docs, kind="stable")  # examples' vectors, from the postings
+        edge = np.searchsorted(self.docs[own], np.arange(n + 1))
+        self.curve = self._calibrate((i, term[own[edge[i] : edge[i + 1]]], self.weights[own[edge[i] : edge[i + 1]]]) for i in place[:calibrate].tolist() if edge[i] < edge[i + 1])
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(sorted(counts), dtype=np.int64)
-        w = (1 + np.log(np.array([counts[i] for i in t.tolist()], dtype=np.float64))) * self.idf[t]
-        return t, w / math.sqrt(float(w @ w))
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": None}
 
-    def counts(self, text: str) -> dict[int, int]:
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of a text; words that no example has would only scale its cosines alike."""
         if self.known is None:
-            self.known = _Known(self.vocabulary)
-        return dict(Counter(i for found in map(self.known.__getitem__, words(text)) if found for i in found))
+            self.known = {t: i for i, t in enumerate(self.words)}
+        counts = Counter(words(text))
+        found = [(i, n) for i, n in zip(map(self.known.get, counts), counts.values(), strict=True) if i is not None]
+        if not found:
+            return np.empty(0, np.int64), np.empty(0)
+        t, n = np.array(found, dtype=np.int64).T
+        w = (1 + np.log(n)) * self.weight[t]
+        return t, w / math.sqrt(float(w @ w))
+
+    def products(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Each vector's product with every example, by the frequent terms."""
+        q = np.zeros((len(vectors), len(self.rows)))
+        for i, (t, w) in enumerate(vectors):
+            at = self.row[t]
+            q[i, at[at >= 0]] = w[at >= 0]
+        return q @ self.rows
 
-    def nearest(self, t: np.ndarray, q: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, t: np.ndarray, q: np.ndarray, skip: int = -1, product: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples that share a term."""
-        bound = q @ self.most[t]
-        best_d, best_s, kth = np.empty(0, dtype=np.int64), np.empty(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best_d) == self.k and bound[b] < kth - 1e-12:
-                break
-            acc = np.zeros(BLOCK)
-            for x, wq in zip(t, q, strict=True):
-                a, z = self.ends[x * self.n_blocks + b], self.ends[x * self.n_blocks + b + 1]
-                acc[self.docs[a:z] - b * BLOCK] += wq * self.weights[a:z]
-            at = np.flatnonzero(acc > 0)
-            d = at + b * BLOCK
-            keep = d != skip
-            best_d, best_s = np.append(best_d, d[keep]), np.append(best_s, acc[at[keep]])
-            order = np.lexsort((best_d, -np.round(best_s, 12)))[: self.k]
-            best_d, best_s = best_d[order], best_s[order]
-            kth = best_s[-1] if len(best_s) == self.k else 0.0
-        return best_d, best_s
+        s = (self.products([(t, q)])[0] if product is None else product).copy()
+        if skip >= 0:
+            s[skip] = 0
+        rare = self.row[t] < 0
+        t, q = t[rare], q[rare]
+        at, of = _ranges(self.ends[t], self.ends[t + 1])
+        block = self.block[at]
+        bound = s.reshape(-1, BLOCK).max(1) + np.bincount(block, weights=q[of] * self.most[at], minlength=self.n_blocks)
+        kth = np.partition(s, len(s) - self.k)[len(s) - self.k] if len(s) >= self.k else 0.0
+        use = (bound >= kth - 1e-12)[block]
+        pair, w = at[use], q[of[use]]
+        post, by = _ranges(self.cut[pair], self.cut[pair + 1])
+        s += np.bincount(self.docs[post], weights=w[by] * self.weights[post], minlength=len(s))
+        if skip >= 0:
+            s[skip] = 0
+        kth = np.partition(s, len(s) - self.k)[len(s) - self.k] if len(s) >= self.k else 0.0
+        d = np.flatnonzero((s > 0) & (s >= kth - 1e-9))
+        d = d[np.lexsort((d, -np.round(s[d], 12)))[: self.k]]
+        return d, s[d]
 
     def vote(self, d: np.ndarray, s: np.ndarray) -> float:
         w = 1 / (1.05 - np.minimum(s, 1.0))
         return float((w @ self.labels[d] + self.prior) / (w.sum() + 1))
 
-    def _calibrate(self, full: list) -> tuple[float, float]:
+    def _calibrate(self, vectors: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> tuple[float, float]:
         """Slope and offset on the votes' log odds, by Newton steps with a weak pull towards (1, 0)."""
-        if len(full) < 20:
+        got = [(self.vote(*self.nearest(t, q, skip=i)), self.labels[i]) for i, t, q in vectors]
+        if len(got) < 20:
             return 1.0, 0.0
-        step = max(1, len(full) // 2000)
-        at = range(0, len(full), step)
-        v = np.array([self.vote(*self.nearest(*full[i][1], skip=i)) for i in at])
-        x, y = np.log(v / (1 - v)), np.array([full[i][2] for i in at], dtype=float)
+        v, y = np.array(got).T
+        x = np.log(v / (1 - v))
         a, b = 1.0, 0.0
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
@@ -153,64 +178,62 @@ class Index:
             a, b = a - da, b - db
         return (float(a), float(b)) if a > 0 and np.isfinite([a, b]).all() else (1.0, 0.0)
 
+    def scores(self, texts: list[str]) -> Iterator[tuple[float, list[dict]]]:
+        """Score and evidence of each text."""
+        for i in range(0, len(texts), BATCH):
+            vectors = [self.vector(t) for t in texts[i : i + BATCH]]
+            for (t, q), product in zip(vectors, self.products(vectors), strict=True):
+                d, s = self.nearest(t, q, product=product)
+                v = self.vote(d, s)
+                p = 1 / (1 + math.exp(-max(-30.0, min(30.0, self.curve[0] * math.log(v / (1 - v)) + self.curve[1])))) if len(d) else self.prior
+                yield p, [{"doc_id": int(self.ids[j]), "cosine": float(c), "toxic": int(self.labels[j])} for j, c in zip(d, s, strict=True)]
+
     def score(self, text: str) -> tuple[float, list[dict]]:
-        counts = self.counts(text)
-        if not counts or not self.n_blocks:
-            return self.bare, []
-        d, s = self.nearest(*self.vector(counts))
-        v = self.vote(d, s)
-        p = 1 / (1 + math.exp(-max(-30.0, min(30.0, self.curve[0] * math.log(v / (1 - v)) + self.curve[1]))))
-        return p, [{"doc_id": int(self.ids[i]), "cosine": float(c), "toxic": int(self.labels[i])} for i, c in zip(d, s, strict=True)]
+        return next(self.scores([text]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """The index of the labelled rows outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text", calibrate: int = CALIBRATE) -> Index:
+    """The index of the labelled rows outside the held-out fold; ``max_train`` of them at most, ``calibrate`` for the curve."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).filter(~held_out(F.col(id_col), folds)).select(F.col(id_col).cast("bigint").alias("l_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("l_id"), "l_id", "toxic").limit(max_train)
     spark = docs.sparkSession
     known = spark.createDataFrame([tuple(r) for r in known.collect()], "l_id long, toxic int")  # bounded by max_train
-    sample = docs.select(docs[id_col].cast("bigint").alias("id"), text_or_empty(docs[text_col]).alias("text")).join(F.broadcast(known), F.col("id") == F.col("l_id")).select("id", "toxic", "text")
+    rows = docs.select(docs[id_col].cast("bigint").alias("id"), text_or_empty(docs[text_col]).alias("text"))
+    sample = rows.join(F.broadcast(known), F.col("id") == F.col("l_id")).select("id", "toxic", F.xxhash64("text").alias("h"), "text")
 
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, found = [0, 0], (Counter(), Counter())
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for y, text in zip(b["toxic"], b["text"], strict=True):
-                y = int(y > 0)
-                rows[y] += 1
-                found[y].update({t for w in set(words(text)) for t in terms_of(w)})
-        names = list(found[0].keys() | found[1].keys())
-        for i in range(0, len(names), 50_000):
-            part = names[i : i + 50_000]
-            yield pd.DataFrame({"term": part, "n0": [found[0][t] for t in part], "n1": [found[1][t] for t in part]})
-        yield pd.DataFrame({"term": [""], "n0": [rows[0]], "n1": [rows[1]]})
-
-    counts = sample.mapInPandas(tally, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    totals = known.groupBy("toxic").count().collect()
-    t1, t0 = float(sum(r["count"] for r in totals if r.toxic > 0)), float(sum(r["count"] for r in totals if r.toxic <= 0))
-    prior = (t1 + 0.5) / (t0 + t1 + 2)
-    picked = []
-    if t0 and t1:
-        n0, n1 = F.col("n0").cast("double"), F.col("n1").cast("double")
-        df, n = n0 + n1, t0 + t1
-        chi2 = n * F.pow(n1 * (t0 - n0) - n0 * (t1 - n1), 2) / (df * (n - df + 1e-9) * t0 * t1)
-        good = counts.filter((F.col("term") != "") & (n1 >= MIN_TOXIC) & (n1 / t1 >= LIFT * n0 / t0)).withColumn("chi2", chi2).filter(F.col("chi2") >= MIN_CHI2)
-        picked = good.orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).collect()
-    vocabulary = [r.term for r in picked]
-    idf = np.array([1 + math.log((1 + t0 + t1) / (1 + r.n0 + r.n1)) for r in picked])
-    ids = {t: i for i, t in enumerate(vocabulary)}
-
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Known(ids)
+            made = [Counter(words(t.as_py())) for t in b.column(3)]
+            terms, tf = pa.array([list(c.keys()) for c in made], pa.list_(pa.string())), pa.array([list(c.values()) for c in made], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), terms, tf], ["id", "toxic", "h", "terms", "tf"])
+
+    got = sample.mapInArrow(count, "id long, toxic int, h long, terms array<string>, tf array<int>").toArrow().sort_by([("h", "ascending"), ("id", "ascending"), ("toxic", "ascending")]).combine_chunks()
+    terms = got["terms"].combine_chunks()
+    owner = np.repeat(np.arange(len(terms)), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+    coded = terms.flatten().dictionary_encode()
+    vocabulary = coded.dictionary.to_pylist()
+    shared = spark.sparkContext.broadcast(vocabulary)  # bounded by the sample
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = {t: i for i, t in enumerate(shared.value)}
+        held, n = np.zeros(len(ids), dtype=np.int64), 0
         for b in batches:
-            out = []
-            for text in b["text"]:
-                c = Counter(i for found in map(known.__getitem__, words(text)) if found for i in found)
-                out.append(([*c], [*c.values()]))
-            yield pd.DataFrame({"id": b["id"], "toxic": b["toxic"], "terms": [x for x, _ in out], "tf": [x for _, x in out]})
-
-    rows = [(r.id, dict(zip(r.terms, r.tf, strict=True)), int(r.toxic > 0)) for r in sample.mapInPandas(vectors, "id long, toxic int, terms array<int>, tf array<int>").collect()]
-    rows.sort(key=lambda r: (r[0], r[2]))
-    return Index(vocabulary, idf, rows, prior)
+            n += b.num_rows
+            for t in b.column(0):
+                at = [i for i in map(ids.get, set(words(t.as_py()))) if i is not None]
+                held[at] += 1
+        at = np.flatnonzero(held)
+        for i in range(0, len(at), 1 << 16):
+            part = at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(held[part])], ["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([n], pa.int64())], ["term", "n"])
+
+    held = rows.select("text").mapInArrow(hold, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = held["term"].to_numpy(), held["n"].to_numpy()
+    df = np.zeros(len(vocabulary), dtype=np.int64)
+    df[term[term >= 0]] = n[term >= 0]
+    labels_ = (got["toxic"].to_numpy() > 0).astype(np.int64)
+    return Index(vocabulary, df, int(n[term < 0].sum()), got["id"].to_numpy(), labels_, owner, coded.indices.to_numpy().astype(np.int64), got["tf"].combine_chunks().flatten().to_numpy(), calibrate=calibrate)
 
 
 EVIDENCE = "array<struct<doc_id: long, cosine: double, toxic: int>>"
@@ -218,13 +241,13 @@ EVIDENCE = "array<struct<doc_id: long, cosine: double, toxic: int>>"
 
 def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score, predicted, evidence`` of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by MAX_TRAIN and MAX_TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by MAX_TRAIN texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for b in batches:
-            out = [own.score(t.as_py()) for t in b.column(1)]
+            out = list(own.scores(b.column(1).to_pylist()))
             p = pa.array([x for x, _ in out], pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), p, pa.array([int(x >= 0.5) for x, _ in out], pa.int32()), pa.array([e for _, e in out], kind)], ["doc_id", "score", "predicted", "evidence"])
 
@@ -239,6 +262,6 @@ def drop_toxic(docs: DataFrame, index: Index, text_col: str = "text") -> DataFra
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
         own = shared.value
-        return pd.Series([own.score(t or "")[0] < 0.5 for t in texts])
+        return pd.Series([p < 0.5 for p, _ in own.scores([t or "" for t in texts])])
 
     return docs.filter(clean(docs[text_col]))
