@@ -8,14 +8,13 @@ decoding the segment and its one-bit neighbours gives the one to six keys under
 A pair of segments makes a 24-bit key: each fingerprint is listed under 3 keys and looked up under about 84, links are
 found by an equi-join, and verified by counting bits.
 
-``similar_groups`` links texts by their word shingles instead (five words, case of A-Z and kind of white space ignored): all
-pairs of a Jaccard similarity of 0.8 or more are found, by a prefix-filtered join.  Shingles have one global order, those
-common in a sample last; two similar sets of k and m shingles share one of the first ``k - ceil(0.8 k) + 1`` of the one and
-of the first ``m - ceil(0.8 m) + 1`` of the other.  Texts that share such a shingle, and whose counts of shingles by cells of
-hashes allow the similarity, are compared as whole texts: first
-with neighbours in two orders, which joins large groups by few pairs, then all that share one and aren't in one component
-yet, so components are those of all similar pairs.  The order affects the work only.  Texts are told apart, and shingles
-joined, by 64-bit hashes.
+``similar_groups`` groups texts whose word shingles (five words, each once, case of A-Z and kind of white space ignored) have a
+Jaccard similarity of 0.8 or more.  Candidates come from ``PRINTS`` fingerprints of a text's distinct pairs of words, one for
+each of as many mixes of the hashes: texts that meet under a Golay key of any, and whose fingerprints differ in at most
+``MEAN_BITS`` bits on average, are compared as whole texts.  In a key's texts, neighbours in order are compared first; then, as
+long as they aren't one component, those outside the largest component meet all others, so no candidate is left out
+and large groups take few pairs.  What is kept is verified; what may be missed is a pair that meets under no key: see the
+README for the share found at each similarity.
 
 Distinct fingerprints are linked, not documents, so copies are never expanded into pairs.  Components come from
 distributed label propagation with hooking and pointer jumping; labels are written to the shared folder in each round.
@@ -27,7 +26,6 @@ repeated rows each get their row; an empty table gives an empty result; extra co
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -172,9 +170,9 @@ def near_duplicates(docs: DataFrame, n: int = 3, max_bits: int = MAX_BITS, id_co
     return made.join(of, made["fp"] == of["f"]).select("doc_id", "fp", "component_id")
 
 
-SAMPLE = 20_000
-COMMON = 100_000
-ROUNDS = 2
+PRINTS = 4
+PAIR_WORDS = 2
+MEAN_BITS = 14
 SALT = 256
 
 
@@ -183,78 +181,58 @@ def shingles(text: str, n: int = 5) -> set[bytes]:
     return {b" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-def _hashes(text: str, n: int) -> np.ndarray:
-    """Hashes of a text's shingles, each once; a text without words has that of the empty string."""
+def prints(text: str, n: int = PAIR_WORDS, k: int = PRINTS) -> np.ndarray:
+    """``k`` fingerprints of a text's distinct shingles of ``n`` words, as signed longs."""
     import xxhash
 
-    made = [xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, n) or {b""}]
-    return np.unique(np.array(made, dtype=np.uint64).view(np.int64))
-
-
-def common_shingles(texts: DataFrame, n: int) -> np.ndarray:
-    """At most ``COMMON`` shingle hashes that occur in several texts (``node, text``) of a sample, the rarest first."""
-
+    h = np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(text, n) or {b""}], dtype=np.uint64)
+    out = np.empty(k, dtype=np.int64)
+    for i in range(k):
+        total = np.zeros(64, dtype=np.int64)
+        for j in range(0, len(h), 1 << 16):
+            x = h[j : j + (1 << 16)] + np.uint64(i) * np.uint64(0x9E3779B97F4A7C15)
+            if i:  # SplitMix64's finaliser
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                x ^= x >> np.uint64(31)
+            total += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[i] = np.packbits(2 * total > len(h), bitorder="little").view("<i8")[0]
+    return out
+
+
+def _print_rows(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(_hashes(t.as_py(), n))], ["h"])
-
-    share = min(1.0, SAMPLE / max(1, texts.count()))
-    part = texts.filter(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    counts = part.select("text").mapInArrow(run, "h long").groupBy("h").count().filter("count >= 4")
-    return counts.orderBy(F.desc("count"), "h").limit(COMMON).toPandas()["h"].to_numpy(dtype=np.int64)[::-1]
-
-
-def _cells(h: np.ndarray) -> np.ndarray:
-    """How many hashes fall in each of 2^i cells (by their low bits; at least 64, a quarter of the hashes), 255 at most."""
-    n = max(64, 1 << (len(h) // 4).bit_length())
-    return np.minimum(np.bincount(h & (n - 1), minlength=n), 255).astype(np.uint8)
-
-
-def most_shared(x: np.ndarray, y: np.ndarray) -> float:
-    """A number that two sets' common hashes don't exceed, from their cells."""
-    if len(x) > len(y):
-        x, y = y, x
-    if x.max() == 255 or y.max() == 255:
-        return math.inf
-    return float(np.minimum(x, y.astype(np.int64).reshape(-1, len(x)).sum(0)).sum())
-
-
-def _may_be_similar(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y, m, n in zip(b.column(2), b.column(3), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
-                shared = most_shared(np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8))
-                keep.append(shared * (1 + similarity) >= similarity * (m + n) - 1e-6)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            fps, sizes = [], []
+            for t in b.column(1):
+                text = t.as_py()
+                fps.append(prints(text).tolist())
+                sizes.append(len(shingles(text, shingle)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array(sizes, pa.int32())], ["node", "fps", "size"])
 
     return run
 
 
-def _prefixes(common: np.ndarray, n: int, similarity: float):
-    order = np.argsort(common)
-    ranked = common[order]
+def _print_keys(near: bool):
+    """Keys (with the fingerprint's number) under which nodes are listed, or looked up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x.slice(i, 1024) for x in batches for i in range(0, x.num_rows, 1024)):
-            keys, counts, sizes, cells = [], [], [], []
-            for t in b.column(1):
-                h = _hashes(t.as_py(), n)
-                cells.append(_cells(h).tobytes())
-                most = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1
-                if len(ranked):
-                    at = np.minimum(np.searchsorted(ranked, h), len(ranked) - 1)
-                    rank = np.where(ranked[at] == h, order[at], -1)
-                    h = h[np.argsort(rank, kind="stable")]
-                keys.append(h[:most])
-                counts.append(len(keys[-1]))
-                sizes.append(len(h))
-            node = b.column(0).to_numpy(zero_copy_only=False)
-            parts = [np.concatenate(keys or [np.empty(0, np.int64)]), np.repeat(node, counts), np.repeat(np.array(sizes, dtype=np.int32), counts)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in parts), pa.nulls(len(parts[0]), pa.binary())], ["key", "node", "size", "cells"])
-            last = [pa.nulls(len(node), pa.int64()), pa.array(node), pa.array(sizes, pa.int32()), pa.array(cells, pa.binary())]
-            yield pa.RecordBatch.from_arrays(last, ["key", "node", "size", "cells"])
+        golay = Golay()
+        for b in batches:
+            for k in range(0, b.num_rows, 1024):
+                c = b.slice(k, 1024)
+                node = c.column(0).to_numpy(zero_copy_only=False)
+                fps = np.array(c.column(1).to_pylist(), dtype=np.int64)
+                for r in range(fps.shape[1]):
+                    segments = _segments(np.ascontiguousarray(fps[:, r]))
+                    if near:
+                        found = [golay.keys(x, n) for x, (_, n) in zip(segments, SEGMENTS, strict=True)]
+                    else:
+                        found = [(golay.index(x)[:, None], np.ones((len(x), 1), dtype=bool)) for x in segments]
+                    for p, (i, j) in enumerate(PAIRS):
+                        at, x, y = np.nonzero(found[i][1][:, :, None] & found[j][1][:, None, :])
+                        keys = ((r * len(PAIRS) + p) << 24) | (found[i][0][at, x] << 12) | found[j][0][at, y]
+                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node[at])], ["key", "node"])
 
     return run
 
@@ -271,66 +249,68 @@ def _verify(n: int, similarity: float):
     return run
 
 
+def _members(made: DataFrame) -> DataFrame:
+    """``key, node, fps, size, parts, l`` of the texts that meet others under a listed key, saved."""
+    listed = made.select("node", "fps").mapInArrow(_print_keys(False), "key long, node long")
+    lists = save(listed.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("lo"), F.max("node").alias("hi")), "listed-keys")
+    sought = made.select("node", "fps").mapInArrow(_print_keys(True), "key long, node long")
+    # A text is among those that look its own keys up.
+    hits = save(sought.hint("merge").join(lists.hint("merge"), F.col("key") == F.col("k")).select("key", "node", "lo", "hi"), "key-hits")
+    met = save(hits.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.ceil(F.count("*") / SALT).cast("int").alias("parts")).filter("lo < hi").select("k", "parts"), "met-keys")
+    members = hits.select("key", "node").join(met.hint("merge"), F.col("key") == F.col("k")).select("key", "node", "parts")
+    prints_of = made.select(F.col("node").alias("p_node"), "fps", "size")
+    out = save(members.join(prints_of.hint("merge"), F.col("node") == F.col("p_node")).select("key", "node", "fps", "size", "parts", F.col("node").alias("l")), "members")
+    discard(hits)
+    return out
+
+
 def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame | None:
-    """``v, root`` of the nodes of ``texts`` (``node, text``) that have a similar one: components of all similar pairs."""
-    spark = texts.sparkSession
-    common = spark.sparkContext.broadcast(common_shingles(texts, shingle))  # bounded by COMMON
-
-    def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _prefixes(common.value, shingle, similarity)(batches)
-
-    listed = save(texts.select("node", "text").mapInArrow(listing, "key long, node long, size int, cells binary"), "shingle-keys")
-    cells = save(listed.filter("cells IS NOT NULL").groupBy("node").agg(F.max("size").alias("size"), F.max("cells").alias("cells")), "cells")
-    keys = listed.filter("cells IS NULL").select("key", "node", "size")
-    met = save(keys.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("k"), "met-keys")
-    members = save(keys.join(met.hint("merge"), F.col("key") == F.col("k"), "left_semi"), "met-texts")
-    discard(listed)
-    members = save(members.distinct(), "met-texts")  # texts that repeat, once
-    parts = members.groupBy(F.col("key").alias("k")).agg(F.ceil(F.count("*") / SALT).cast("int").alias("parts"))
-    members = save(members.join(parts.hint("merge"), F.col("key") == F.col("k")).select("key", "node", "size", "parts", F.col("node").alias("l")), "members")
-    edges, roots = None, None
-    for r in range(ROUNDS + 1):
+    """``v, root`` of the nodes of ``texts`` (``node, text``, a row each) that have a similar one: components of similar pairs."""
+    made = save(texts.select("node", "text").mapInArrow(_print_rows(shingle), "node long, fps array<long>, size int"), "prints")
+    members = _members(made)
+    bits = F.aggregate(F.zip_with("fps", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    close = (F.least("size", "size_b") >= similarity * F.greatest("size", "size_b") - 1e-9) & (bits <= MEAN_BITS * PRINTS)
+    edges, roots, own = None, None, ("node", "fps", "size", "l")
+    for last in (False, True):
         if members.limit(1).count() == 0:
             break
-        fits = F.least("size", "size_b") >= similarity * F.greatest("size", "size_b") - 1e-9
-        if r < ROUNDS:
-            salted = members.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(r)), F.col("parts")))
-            order = Window.partitionBy("key", "salt").orderBy(*(["size", "node"] if r == 0 else [F.xxhash64("key", "node"), "node"]))
-            before = [F.lag(c).over(order).alias(f"{c}_b") for c in ("node", "size", "l")]
-            pairs = salted.select("node", "size", "l", *before).filter((F.col("l") != F.col("l_b")) & fits)
+        if not last:
+            order = Window.partitionBy("key", F.pmod(F.xxhash64("node"), F.col("parts"))).orderBy("size", "node")
+            pairs = members.select(*own, *[F.lag(c).over(order).alias(f"{c}_b") for c in own]).filter((F.col("l") != F.col("l_b")) & close)
         else:
-            # Of each shingle's texts, those outside its largest component meet all others.
+            # Of each key's texts, those outside its largest component meet all others.
             largest = members.groupBy("key", "l").count().groupBy(F.col("key").alias("k")).agg(F.max_by("l", F.struct("count", "l")).alias("largest"))
-            every = save(members.join(largest.hint("merge"), F.col("key") == F.col("k")).select("key", "node", "size", "parts", "l", (F.col("l") != F.col("largest")).alias("minor")), "open-members")
+            every = save(members.join(largest.hint("merge"), F.col("key") == F.col("k")).select("key", *own, "parts", (F.col("l") != F.col("largest")).alias("minor")), "open-members")
             left = every.filter("minor").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            right = every.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "size", "l", "minor")), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("salt"))
+            right = every.select("key", *(F.col(c).alias(f"{c}_b") for c in (*own, "minor")), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("salt"))
             once = ~F.col("minor_b") | (F.col("node") < F.col("node_b"))
-            pairs = left.hint("merge").join(right, ["key", "salt"]).filter((F.col("l") != F.col("l_b")) & once & fits)
-        pairs = save(pairs.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct(), "shingle-pairs")
-        ca, cb = (cells.select(F.col("node").alias(f"x{i}"), F.col("cells").alias(f"cells_{i}"), F.col("size").alias(f"size_{i}")) for i in "ab")
-        both = pairs.join(ca.hint("merge"), F.col("a") == F.col("xa")).join(cb.hint("merge"), F.col("b") == F.col("xb"))
-        pairs = save(both.select("a", "b", "cells_a", "cells_b", "size_a", "size_b").mapInArrow(_may_be_similar(similarity), "a long, b long"), "similar-pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct()
-        whole = texts.join(ids, F.col("node") == F.col("i"), "left_semi")
-        whole = save(whole.groupBy("node").agg(F.max("text").alias("text")), "similar-texts")
+            pairs = left.hint("merge").join(right, ["key", "salt"]).filter((F.col("l") != F.col("l_b")) & once & close)
+        pairs = save(pairs.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct(), "candidate-pairs")
+        ids = save(pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct(), "candidate-texts")
+        whole = save(texts.join(ids.hint("merge"), F.col("node") == F.col("i"), "left_semi").select("node", "text"), "similar-texts")
         ta, tb = whole.select(F.col("node").alias("xa"), F.col("text").alias("text_a")), whole.select(F.col("node").alias("xb"), F.col("text").alias("text_b"))
         both = pairs.join(ta.hint("merge"), F.col("a") == F.col("xa")).join(tb.hint("merge"), F.col("b") == F.col("xb")).select("a", "b", "text_a", "text_b")
         found = save(both.mapInArrow(_verify(shingle, similarity), "a long, b long"), "similar-links")
+        discard(whole)
         edges = found if edges is None else edges.union(found)
         roots = components(edges)
-        if r < ROUNDS:
-            known = members.drop("l").join(roots, F.col("node") == F.col("v"), "left").select("key", "node", "size", "parts", F.coalesce("root", "node").alias("l"))
+        if not last:
+            known = members.drop("l").join(roots, F.col("node") == F.col("v"), "left").select("key", "node", "fps", "size", "parts", F.coalesce("root", "node").alias("l"))
             known = save(known, "labelled-members")
-            still = known.groupBy(F.col("key").alias("k")).agg(F.min("l").alias("lo"), F.max("l").alias("hi")).filter("lo < hi").select("k")
+            still = save(known.groupBy(F.col("key").alias("k")).agg(F.min("l").alias("lo"), F.max("l").alias("hi")).filter("lo < hi").select("k"), "open-keys")
             members = save(known.join(still.hint("merge"), F.col("key") == F.col("k"), "left_semi"), "members")
+            discard(known)
     return roots
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, group_id`` of every row: the smallest id of its text's component under similarity; equal texts are similar."""
     rows = docs.select(docs[id_col].alias("doc_id"), text_or_empty(docs[text_col]).alias("text")).withColumn("node", F.xxhash64("text"))
-    roots = similar_texts(rows.select("node", "text"), shingle, similarity)
-    least = save(rows.groupBy("node").agg(F.min("doc_id").alias("least")), "distinct-texts")
+    least = save(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct-texts")
+    texts = rows.select("node", "text")
+    if least.filter("copies > 1").limit(1).count():  # none after exact dedup, which saves a shuffle of the texts
+        texts = save(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    roots = similar_texts(texts, shingle, similarity)
     named = least.withColumn("root", F.col("node")) if roots is None else least.join(roots, F.col("node") == F.col("v"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("group_id"))
     of = save(named.join(ids, "root").select(F.col("node").alias("f"), "group_id"), "text-groups")
