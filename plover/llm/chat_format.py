@@ -7,8 +7,9 @@ Messages come as ``conv_id, turn, role, text``.  An assistant's text may hold ca
 1. *Parse*: every message gives its plain content and its calls and results (by task, from whole texts).
 2. *Link*: calls and results meet in a hash join on ``(conv_id, call_id)``.  The first of calls (and of results) that
    repeat an identifier counts; the others are reported.
-3. *Order*: a call's level is 1 above the highest level of the calls it depends on.  Levels are relaxed in rounds of
-   joins over the calls that have dependencies, saved in each round; calls on or behind a cycle get none.
+3. *Order*: a call's level is 1 above the highest level of the calls it depends on.  Calls with one dependency are followed
+   by pointer doubling to the first call with none or several, so a chain of n calls takes log n rounds; calls with several
+   are then levelled in rounds of joins, one for each level of such calls.  Calls on or behind a cycle get none.
 4. *Validate*: arguments against the JSON schema of the call's tool (a subset: type, enum, const, required,
    properties, additionalProperties, items, minimum, maximum, minLength, maxLength, pattern).
 5. *Serialise*: one canonical JSON object (sorted keys, no spaces, UTF-8, shortest numbers) per message, one per call.
@@ -191,24 +192,42 @@ def format_messages(messages: DataFrame, schemas: dict[str, Any] | None = None)
 
 
 def _levels(calls: DataFrame) -> DataFrame:
-    """``l_conv, l_id, level`` of every call not on or behind a cycle: Kahn's order, a level a round."""
+    """``l_conv, l_id, level`` of every call not on or behind a cycle; ``calls`` has an identifier once in a conversation."""
     edges = calls.select("conv_id", "call_id", F.explode("needs").alias("need"))
     known = calls.select(F.col("conv_id").alias("n_conv"), F.col("call_id").alias("n_id"))
-    edges = save(edges.join(known, (F.col("conv_id") == F.col("n_conv")) & (F.col("need") == F.col("n_id")), "left_semi").distinct(), "chat-edges")
-    free = calls.select("conv_id", "call_id").join(edges.select(F.col("conv_id").alias("e_conv"), F.col("call_id").alias("e_id")), (F.col("conv_id").eqNullSafe(F.col("e_conv"))) & (F.col("call_id") == F.col("e_id")), "left_anti")
-    out = free.select(F.col("conv_id").alias("l_conv"), F.col("call_id").alias("l_id"), F.lit(0).alias("level"))
-    left, level = edges, 0
-    front = out
+    edges = edges.join(known, (F.col("conv_id") == F.col("n_conv")) & (F.col("need") == F.col("n_id")), "left_semi").distinct()
+    needs = save(edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.min("need").alias("need")), "chat-needs")
+    roots = calls.select("conv_id", "call_id").join(needs.select(F.col("conv_id").alias("e_conv"), F.col("call_id").alias("e_id")), (F.col("conv_id").eqNullSafe(F.col("e_conv"))) & (F.col("call_id") == F.col("e_id")), "left_anti")
+    roots = roots.select(F.col("conv_id").alias("l_conv"), F.col("call_id").alias("l_id"), F.lit(0).cast("bigint").alias("level"))
+    # Calls with one need point at it; pointers double until all lead to calls that have none or several.
+    single = needs.filter("n = 1")
+    pointers = save(single.select("conv_id", "call_id", F.col("need").alias("to"), F.lit(1).cast("bigint").alias("far")), "chat-pointers")
+    for _ in range(single.count().bit_length() + 1):
+        ahead = pointers.select(F.col("conv_id").alias("a_conv"), F.col("call_id").alias("a_id"), F.col("to").alias("a_to"), F.col("far").alias("a_far"))
+        moved = pointers.join(ahead, (F.col("conv_id") == F.col("a_conv")) & (F.col("to") == F.col("a_id")), "left")
+        pointers = save(moved.select("conv_id", "call_id", F.coalesce("a_to", "to").alias("to"), (F.col("far") + F.coalesce("a_far", F.lit(0))).alias("far"), F.col("a_to").isNotNull().alias("open")), "chat-pointers")
+        if pointers.filter("open").limit(1).count() == 0:
+            break
+    ends = pointers.filter("NOT open") if "open" in pointers.columns else pointers  # the rest is on or behind a cycle
+    several = needs.filter("n > 1").select(F.col("conv_id").alias("s_conv"), F.col("call_id").alias("s_id"))
+    left = edges.join(several, (F.col("conv_id") == F.col("s_conv")) & (F.col("call_id") == F.col("s_id")), "left_semi")
+    of = ends.select(F.col("conv_id").alias("p_conv"), F.col("call_id").alias("p_id"), "to", "far")
+    left = left.join(of, (F.col("conv_id") == F.col("p_conv")) & (F.col("need") == F.col("p_id")), "left")
+    left = save(left.select("conv_id", "call_id", F.coalesce("to", "need").alias("need"), (F.coalesce("far", F.lit(0)) + 1).alias("far"), F.lit(None).cast("bigint").alias("known")), "chat-edges")
+    front, found = roots, [roots]
     while left.limit(1).count():
-        # Dependencies on the last level are met; a call without any left is on the next.
-        met = front.select(F.col("l_conv").alias("f_conv"), F.col("l_id").alias("f_id"))
-        rest = save(left.join(met, (F.col("conv_id") == F.col("f_conv")) & (F.col("need") == F.col("f_id")), "left_anti"), "chat-edges")
-        waits = rest.select(F.col("conv_id").alias("w_conv"), F.col("call_id").alias("w_id")).distinct()
-        level += 1
-        done = left.select("conv_id", "call_id").distinct().join(waits, (F.col("conv_id") == F.col("w_conv")) & (F.col("call_id") == F.col("w_id")), "left_anti")
-        front = save(done.select(F.col("conv_id").alias("l_conv"), F.col("call_id").alias("l_id"), F.lit(level).alias("level")), "chat-level")
+        met = front.select(F.col("l_conv").alias("f_conv"), F.col("l_id").alias("f_id"), F.col("level").alias("f_level"))
+        left = left.join(met, (F.col("conv_id") == F.col("f_conv")) & (F.col("need") == F.col("f_id")), "left").select("conv_id", "call_id", "need", "far", F.coalesce("known", F.col("f_level") + F.col("far")).alias("known"))
+        left = save(left, "chat-edges")
+        done = left.groupBy(F.col("conv_id").alias("l_conv"), F.col("call_id").alias("l_id")).agg(F.max("known").alias("level"), F.count_if(F.col("known").isNull()).alias("waits"))
+        front = save(done.filter("waits = 0").drop("waits"), "chat-level")
         if front.limit(1).count() == 0:
             break  # what is left waits for itself
-        out = out.unionByName(front)
-        left = rest
-    return out
+        found.append(front)
+        left = save(left.join(front, (F.col("conv_id") == F.col("l_conv")) & (F.col("call_id") == F.col("l_id")), "left_anti"), "chat-edges")
+    anchors = found[0]
+    for more in found[1:]:
+        anchors = anchors.unionByName(more)
+    anchors = save(anchors, "chat-anchors")
+    led = ends.join(anchors, (F.col("conv_id") == F.col("l_conv")) & (F.col("to") == F.col("l_id"))).select("conv_id", "call_id", (F.col("level") + F.col("far")).alias("level"))
+    return anchors.unionByName(led.toDF("l_conv", "l_id", "level"))

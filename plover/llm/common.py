@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     key = id(spark.sparkContext)
     if key not in _local:
         _local[key] = tempfile.mkdtemp(prefix="plover-")
@@ -45,6 +48,18 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def save_all(frames: Iterable[DataFrame], name: str) -> DataFrame:
+    """Write frames of one schema, one after another, and read all of them."""
+    path = schema = None
+    for df in frames:
+        if path is None:
+            spark, schema = df.sparkSession, df.schema
+            path = f"{shared_dir(spark)}/plover-{name}-{uuid.uuid4().hex}"
+            _written.append((spark, path))
+        df.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -35,17 +35,33 @@ TOOLS = {
 }
 
 
+def with_calls(conversations: DataFrame) -> DataFrame:
+    """Conversations with tool calls made from their own turns: each assistant's turn calls a tool with its text, after the call
+    two turns before, and each user's turn after the first answers the call of the turn before, in a message of role tool."""
+    c = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    name = F.element_at(F.array(F.lit("calculate"), F.lit("search"), F.lit("translate")), (F.pmod("turn", F.lit(3)) + 1).cast("int"))
+    limit = (F.col("turn") - 1).alias("limit")
+    arguments = F.when(name == "calculate", F.to_json(F.struct(F.col("text").alias("expression")))).otherwise(F.to_json(F.struct(F.col("text").alias("query"), limit)))
+    call = F.concat(F.lit('<tool_call>{"id":"t'), "turn", F.lit('","name":"'), name, F.lit('","after":["t'), F.col("turn") - 2, F.lit('"],"arguments":'), arguments, F.lit("}</tool_call>"))
+    result = F.concat(F.lit("<tool_result>"), F.to_json(F.struct(F.concat(F.lit("t"), F.col("turn") - 1).alias("id"), F.col("text").alias("content"))), F.lit("</tool_result>"))
+    own = c.select("conv_id", "turn", "role", F.when(F.col("role") == "assistant", F.concat("text", call)).otherwise(F.col("text")).alias("text"))
+    return own.unionByName(c.filter("role = 'user' AND turn > 0").select("conv_id", "turn", F.lit("tool").alias("role"), result.alias("text")))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages, calls = chat_format.format_messages(table(spark, sf_dir, "conversations"), TOOLS)
-    of = calls.groupBy(F.col("conv_id").alias("c"), F.col("turn").alias("t")).agg(F.sum(F.col("linked").cast("int")).alias("linked"), F.sum((F.col("status") != "ok").cast("int")).alias("faulty"))
-    out = messages.join(of, (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("t")), "left")
+    messages, calls = chat_format.format_messages(with_calls(table(spark, sf_dir, "conversations")), TOOLS)
+    line = F.concat_ws(" ", "seq", "call_id", F.coalesce(F.col("level").cast("string"), F.lit("-")), "status", F.concat_ws(",", "errors"), "call")
+    of = calls.groupBy(F.col("conv_id").alias("c"), F.col("turn").alias("t")).agg(
+        F.sum(F.col("linked").cast("int")).alias("linked"), F.sum((F.col("status") != "ok").cast("int")).alias("faulty"), F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("calls")
+    )
+    out = messages.join(of, (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("t")) & (F.col("n_calls") > 0), "left")
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
-    return out.select("conv_id", "turn", "role", "message", n("n_calls").alias("n_calls"), n("n_results").alias("n_results"), n("linked").alias("n_linked"), n("faulty").alias("n_faulty"))
+    return out.select("conv_id", "turn", "role", "message", n("n_calls").alias("n_calls"), n("n_results").alias("n_results"), n("linked").alias("n_linked"), n("faulty").alias("n_faulty"), F.coalesce("calls", F.lit("")).alias("calls"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = exact_dedup.annotate(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("dup_keep_id").alias("keep_id"), F.col("dup_group_size").alias("group_size"), F.col("dup_kept").alias("kept"), F.lower(F.hex("dup_digest")).alias("text_sha256"))
+    out = exact_dedup.judged(table(spark, sf_dir, "documents"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), F.col("w_keep").alias("keep_id"), F.col("w_size").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,12 +103,26 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT
       FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
-    # The messages of the tables hold no tool blocks, so SQL needs only the canonical JSON of role and content.
+    # Calls are in steps of two turns, so a call's level is its place in an unbroken run of such steps.
     "op4_chat_format": r"""
-SELECT conv_id, turn, coalesce(role, '') AS role,
-       '{"content":' || to_json(coalesce(text, '')) || ',"role":' || to_json(coalesce(role, '')) || '}' AS message,
-       0::BIGINT AS n_calls, 0::BIGINT AS n_results, 0::BIGINT AS n_linked, 0::BIGINT AS n_faulty
-FROM conversations""",
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+k AS (SELECT conv_id, turn, text, ['calculate', 'search', 'translate'][(turn % 3 + 1)::INT] AS name FROM c WHERE role = 'assistant'),
+u AS (SELECT conv_id, turn, text FROM c WHERE role = 'user' AND turn > 0),
+g AS (SELECT *, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM k),
+l AS (SELECT g.conv_id, g.turn, g.text, name, row_number() OVER (PARTITION BY g.conv_id, g.turn % 2, run ORDER BY g.turn) - 1 AS level,
+        u.text AS answer, u.turn IS NOT NULL AS linked,
+        CASE WHEN name = 'calculate' THEN '{"expression":' || to_json(g.text) || '}' ELSE '{"limit":' || (g.turn - 1)::VARCHAR || ',"query":' || to_json(g.text) || '}' END AS args,
+        concat_ws(',', CASE WHEN name = 'translate' THEN '$: unknown tool' END, CASE WHEN name = 'search' AND g.turn < 2 THEN '$.limit: range' END,
+                  CASE WHEN name = 'search' AND g.text = '' THEN '$.query: length' END) AS errors
+      FROM g LEFT JOIN u ON g.conv_id = u.conv_id AND g.turn + 1 = u.turn),
+s AS (SELECT *, CASE WHEN name = 'translate' THEN 'unknown_tool' WHEN errors <> '' THEN 'invalid_arguments' WHEN NOT linked THEN 'no_result' ELSE 'ok' END AS status FROM l)
+SELECT c.conv_id, c.turn, c.role,
+       '{"content":' || to_json(c.text) || ',"role":' || to_json(c.role) || CASE WHEN s.turn IS NULL THEN '' ELSE ',"tool_calls":[{"arguments":' || args || ',"id":"t' || s.turn::VARCHAR || '","name":"' || name || '"}]' END || '}' AS message,
+       (s.turn IS NOT NULL)::BIGINT AS n_calls, 0::BIGINT AS n_results, coalesce(linked, false)::BIGINT AS n_linked, coalesce(status <> 'ok', false)::BIGINT AS n_faulty,
+       CASE WHEN s.turn IS NULL THEN '' ELSE '0 t' || s.turn::VARCHAR || ' ' || level::VARCHAR || ' ' || status || ' ' || errors || ' {"arguments":' || args || ',"id":"t' || s.turn::VARCHAR || '","name":"' || name || '","result":' || coalesce(to_json(answer)::VARCHAR, 'null') || '}' END AS calls
+FROM c LEFT JOIN s ON c.role = 'assistant' AND c.conv_id = s.conv_id AND c.turn = s.turn
+UNION ALL
+SELECT conv_id, turn, 'tool', '{"content":"","role":"tool","tool_results":[{"content":' || to_json(text) || ',"id":"t' || (turn - 1)::VARCHAR || '"}]}', 0, 1, 0, 0, '' FROM u""",
     "op5_exact_dedup": f"""
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{_UP}', '{_LO}') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM n GROUP BY t)

@@ -4,7 +4,7 @@ Words of a source form one stream (its documents in hash order), cut into blocks
 block may be shorter.  Targets are found by water filling: each source's share of all words is its weight's, but at
 most ``max_repeat`` times its size, the excess going to the others by weight.  A source's quota is its target in
 blocks.  Output shards of ``shard_slots`` slots draw multinomial source counts from what is left of the quotas, so
-the totals meet the quotas exactly.  The j-th slot of a source stands for the block at ``j``'s place in a keyed
+the totals meet the quotas exactly; each task draws its shards' counts down a seeded binary tree of shard ranges.  The j-th slot of a source stands for the block at ``j``'s place in a keyed
 pseudorandom permutation of the block numbers (a Feistel network with cycle walking; a new key for each pass), and
 slots meet blocks by number in a join.  Nothing depends on partitioning, so reruns agree.
 
@@ -33,7 +33,8 @@ BLOCK_WORDS = 32
 SHARD_SLOTS = 1 << 16
 MAX_REPEAT = 3
 MAX_SOURCES = 1_000_000
-BUCKET_ROWS = 2048
+BUCKET_ROWS = 256
+GROUP = 1024  # buckets whose sums are added first
 WEIGHTS = (5.0, 2.0, 1.0)
 MASK = (1 << 64) - 1
 
@@ -81,23 +82,24 @@ def permute(i: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def draw(quota: Sequence[int], shard_slots: int, seed: int) -> Iterator[tuple[int, int, int, int]]:
-    """``shard, source number, first slot, slots``: multinomial counts by shard, drawn from what is left of the quotas."""
+def shard_counts(quota: Sequence[int], shard_slots: int, seed: int, shard: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each source's slots in a shard, and before it: multinomial draws from what is left of the quotas, down a binary tree of
+    shard ranges, each split seeded by its range.  A shard's path is all that is drawn, so tasks need no one else's draws."""
     left = np.asarray(quota, dtype=np.int64).copy()
     begun = np.zeros_like(left)
-    shard = 0
-    while (rest := int(left.sum())) > 0:
-        rng = np.random.default_rng([seed, shard])
-        want = min(shard_slots, rest)
+    lo, hi = 0, -(-int(left.sum()) // shard_slots)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        want, rng = (mid - lo) * shard_slots, np.random.default_rng([seed, lo, hi])
         got = np.zeros_like(left)
         while (short := want - int(got.sum())) > 0:
             open_ = left - got
             got += np.minimum(rng.multinomial(short, open_ / open_.sum()), open_)
-        for s in np.flatnonzero(got):
-            yield shard, int(s), int(begun[s]), int(got[s])
-        begun += got
-        left -= got
-        shard += 1
+        if shard < mid:
+            left, hi = got, mid
+        else:
+            begun, left, lo = begun + got, left - got, mid
+    return left, begun
 
 
 def positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: Sequence[str] = ()) -> DataFrame:
@@ -112,8 +114,13 @@ def positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     n_rows = docs.select(F.count("*")).first()[0]
     buckets = max(1, math.ceil(n_rows / BUCKET_ROWS))
     rows = rows.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("b_size")).select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), "b_size")
-    before = sums.withColumn("start", F.sum("b_size").over(Window.partitionBy("b_source").orderBy("b_bucket")) - F.col("b_size")).drop("b_size")
+    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("b_size")).select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), F.expr(f"bucket div {GROUP}").alias("b_group"), "b_size")
+    # Sums before a bucket: those of the groups before its group, and of the buckets before it in its group.
+    groups = sums.groupBy(F.col("b_source").alias("g_source"), F.col("b_group").alias("g_group")).agg(F.sum("b_size").alias("g_size"))
+    groups = groups.withColumn("before", F.sum("g_size").over(Window.partitionBy("g_source").orderBy("g_group")) - F.col("g_size")).drop("g_size")
+    inside = F.sum("b_size").over(Window.partitionBy("b_source", "b_group").orderBy("b_bucket")) - F.col("b_size")
+    before = sums.withColumn("inside", inside).join(groups, F.col("b_source").eqNullSafe(F.col("g_source")) & (F.col("b_group") == F.col("g_group")))
+    before = before.select("b_source", "b_bucket", (F.col("before") + F.col("inside")).alias("start"))
     w = Window.partitionBy("source", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "h", "size")
     rows = rows.withColumn("k", F.row_number().over(w)).withColumn("within", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     out = rows.join(before, rows["source"].eqNullSafe(before["b_source"]) & (rows["bucket"] == before["b_bucket"]))
@@ -138,25 +145,25 @@ def plan(pos: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = M
 def slots(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = 0) -> DataFrame:
     """Every slot of the mix: ``shard, s, pass, block``."""
     spark = sources.sparkSession
-    known = sources.orderBy("s").collect()
-    runs = list(draw([r.quota for r in known], shard_slots, seed))
-    blocks = {r.s: r.n_blocks for r in known}
-    step = 1 << 15  # slots a row stands for, so that no task holds a shard's hot source
-    rows = [(shard, s, blocks[s], a, min(a + step, j + n)) for shard, s, j, n in runs for a in range(j, j + n, step)]
-    pieces = spark.createDataFrame(rows, "shard long, s int, n long, j0 long, j1 long") if rows else spark.createDataFrame([], "shard long, s int, n long, j0 long, j1 long")
-    pieces = pieces.repartition(max(1, min(len(rows), int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    known = sources.orderBy("s").collect()  # MAX_SOURCES rows at most
+    shared = spark.sparkContext.broadcast((np.array([r.s for r in known], dtype=np.int64), np.array([r.quota for r in known], dtype=np.int64), np.array([r.n_blocks for r in known], dtype=np.int64)))
+    n_shards = -(-sum(r.quota for r in known) // shard_slots)
+    shards = spark.range(0, n_shards, 1, max(1, min(n_shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers, quota, n_blocks = shared.value
         for pdf in batches:
-            for r in pdf.itertuples():
-                j = np.arange(r.j0, r.j1)
-                turn, at = j // r.n, j % r.n
-                block = np.empty_like(j)
-                for t in np.unique(turn):
-                    block[turn == t] = permute(at[turn == t], r.n, (seed << 40) + (int(t) << 32) + r.s)
-                yield pd.DataFrame({"shard": r.shard, "s": r.s, "pass": turn.astype(np.int32), "block": block})
-
-    return pieces.mapInPandas(fill, "shard long, s int, pass int, block long")
+            for shard in pdf["id"].tolist():
+                got, begun = shard_counts(quota, shard_slots, seed, shard)
+                for i in np.flatnonzero(got).tolist():
+                    n, j = int(n_blocks[i]), np.arange(begun[i], begun[i] + got[i])
+                    turn, at = j // n, j % n
+                    block = np.empty_like(j)
+                    for t in np.unique(turn):
+                        block[turn == t] = permute(at[turn == t], n, (seed << 40) + (int(t) << 32) + int(numbers[i]))
+                    yield pd.DataFrame({"shard": shard, "s": numbers[i], "pass": turn.astype(np.int32), "block": block})
+
+    return shards.mapInPandas(fill, "shard long, s int, pass int, block long")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = MAX_REPEAT, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 0, keep: Sequence[str] = (), **cols) -> tuple[DataFrame, DataFrame, DataFrame]:

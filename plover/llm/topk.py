@@ -14,7 +14,8 @@ Scores are recomputed in each pass rather than kept, as there are queries times
 Defined results: rows with a null id or vector, or a null, NaN or infinite component, take no part.  Vectors score only
 against vectors of their own length; an empty vector scores 0 against other empty ones.  A query's own rows are those
 with its id; rows that repeat another candidate each count.  Fewer than k candidates give that many rows; an empty
-table gives none.  Scores beyond the 64-bit range are an error.
+table gives none.  Components of over 64 bits and scores of over 62 bits
+saturate, so such a row stops nothing.
 """
 
 from __future__ import annotations
@@ -28,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plover.llm.common import save
+from plover.llm.common import save, save_all
 
 BINS = 1024
 BLOCK_VALUES = 1 << 20
 EXACT = float(1 << 53)
+MOST = (1 << 62) - 1
 
 
 def quantise(df: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
@@ -62,11 +64,8 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     if most < EXACT:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
     if most >= 2.0**63:
-        exact = q.astype(object) @ c.astype(object).T
-        if max(map(abs, exact.ravel())) >= 1 << 63:
-            raise OverflowError("scores beyond 64 bits")
-        return exact.astype(np.int64)
-    return q @ c.T
+        return np.clip(q.astype(object) @ c.astype(object).T, -MOST, MOST).astype(np.int64)
+    return np.clip(q @ c.T, -MOST, MOST)
 
 
 class _Block:
@@ -137,17 +136,18 @@ def _filter(block: _Block, kth: np.ndarray, need: np.ndarray):
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
-    """``query_id, rank, id, score``; both tables as :func:`quantise` makes them.  Equal queries are answered once."""
-    spark = queries.sparkSession
+    """``query_id, rank, id, score``; both tables as :func:`quantise` makes them.  Equal queries are answered once.
+
+    Queries are saved with their block's number; blocks are answered one after another, as each is a few whole passes over the
+    candidates, and their answers saved, so no plan grows with their number.
+    """
     queries = queries.dropDuplicates()
     n, longest = queries.agg(F.count("*"), F.max(F.size("v"))).first()
     blocks = max(1, math.ceil(n * max(1, longest or 1) / (BLOCK_VALUES // 2)))
-    out = None
-    for b in range(blocks):
-        rows = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect()
-        found = _one_block(candidates, rows, k)
-        out = found if out is None else out.unionByName(found)
-    return out
+    if blocks == 1:
+        return _one_block(candidates, queries.orderBy("id").collect(), k)
+    queries = save(queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), "topk-queries")
+    return save_all((_one_block(candidates, queries.filter(F.col("block") == b).orderBy("id").collect(), k) for b in range(blocks)), "topk-answers")
 
 
 def _one_block(candidates: DataFrame, rows: list, k: int) -> DataFrame:

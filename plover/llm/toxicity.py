@@ -79,27 +79,30 @@ class Index:
         a, b, c, d = n1 + 0.5, toxic - n1 + 0.5, n0 + 0.5, n - toxic - n0 + 0.5
         z = np.abs(np.log(a * d / (b * c))) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
         self.weight = (1 + np.log((1 + n_rows) / (1 + np.maximum(df, n0 + n1)))) * ((z / (z + 4)) ** 6 + FLOOR)
-        w = (1 + np.log(tf)) * self.weight[term]
+        del n0, n1, a, b, c, d, z
+        w = np.log(tf)
+        w += 1
+        w *= self.weight[term]
         norm = np.sqrt(np.bincount(owner, weights=w * w, minlength=n))
-        w = w / np.maximum(norm[owner], 1e-300)
+        w /= np.maximum(norm, 1e-300)[owner]
         # Examples whose weightiest terms are the same share blocks.
-        top = np.full(n, len(vocabulary))
-        order = np.lexsort((term, -w, owner))
-        first = np.flatnonzero(np.append(True, np.diff(owner[order]) != 0))[: len(np.unique(owner))]
-        top[owner[order[first]]] = term[order[first]]
-        place = np.empty(n, dtype=np.int64)
+        top, most = np.full(n, len(vocabulary)), np.zeros(n)
+        np.maximum.at(most, owner, w)
+        lead = w == most[owner]
+        np.minimum.at(top, owner[lead], term[lead])
+        place = np.empty(n, dtype=np.int32)
         place[np.lexsort((self.ids, top))] = np.arange(n)
         self.ids, self.labels = self.ids[np.argsort(place)], self.labels[np.argsort(place)]
-        owner = place[owner]
-        order = np.lexsort((owner, term))
-        term, self.docs, self.weights = term[order], owner[order].astype(np.int32), w[order]
         self.n_blocks = -(-n // BLOCK)
-        key = term.astype(np.int64) * max(1, self.n_blocks) + self.docs // BLOCK
-        cut = np.flatnonzero(np.append(True, np.diff(key) != 0))[: len(key)]  # where each (term, block) begins
-        self.cut = np.append(cut, len(key))
-        self.block = (key[cut] % max(1, self.n_blocks)).astype(np.int32)
+        order = np.lexsort((place[owner], term))
+        self.docs, self.weights, term = place[owner[order]], w[order], term[order]
+        del owner, w, order
+        of = self.docs // BLOCK
+        cut = np.flatnonzero(np.append(True, (np.diff(term) != 0) | (np.diff(of) != 0)))[: len(term)]  # where each (term, block) begins
+        self.cut = np.append(cut, len(term))
+        self.block = of[cut]
         self.most = np.maximum.reduceat(self.weights, cut) if len(cut) else np.empty(0)
-        self.ends = np.searchsorted(key[cut] // max(1, self.n_blocks), np.arange(len(vocabulary) + 1))
+        self.ends = np.searchsorted(term[cut], np.arange(len(vocabulary) + 1))
         n_terms = np.bincount(term, minlength=len(vocabulary))
         often = np.flatnonzero(n_terms > n / FREQUENT)  # fewer than FREQUENT * the mean length of an example
         self.row = np.full(len(vocabulary), -1)
@@ -209,9 +212,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, folds: i
 
     got = sample.mapInArrow(count, "id long, toxic int, h long, terms array<string>, tf array<int>").toArrow().sort_by([("h", "ascending"), ("id", "ascending"), ("toxic", "ascending")]).combine_chunks()
     terms = got["terms"].combine_chunks()
-    owner = np.repeat(np.arange(len(terms)), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
-    coded = terms.flatten().dictionary_encode()
-    vocabulary = coded.dictionary.to_pylist()
+    owner = np.repeat(np.arange(len(terms), dtype=np.int32), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+    words_ = terms.flatten().dictionary_encode()
+    vocabulary, coded = words_.dictionary.to_pylist(), words_.indices.to_numpy()
+    ids, toxic, tf = got["id"].to_numpy(), (got["toxic"].to_numpy() > 0).astype(np.int64), got["tf"].combine_chunks().flatten().to_numpy()
+    del got, terms, words_
     shared = spark.sparkContext.broadcast(vocabulary)  # bounded by the sample
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, folds: i
     term, n = held["term"].to_numpy(), held["n"].to_numpy()
     df = np.zeros(len(vocabulary), dtype=np.int64)
     df[term[term >= 0]] = n[term >= 0]
-    labels_ = (got["toxic"].to_numpy() > 0).astype(np.int64)
-    return Index(vocabulary, df, int(n[term < 0].sum()), got["id"].to_numpy(), labels_, owner, coded.indices.to_numpy().astype(np.int64), got["tf"].combine_chunks().flatten().to_numpy(), calibrate=calibrate)
+    return Index(vocabulary, df, int(n[term < 0].sum()), ids, toxic, owner, coded, tf, calibrate=calibrate)
 
 
 EVIDENCE = "array<struct<doc_id: long, cosine: double, toxic: int>>"

@@ -6,8 +6,8 @@ The Bloom filter (one 64-bit word per block, so a test reads one word) passes th
 few are exploded and joined with the listing by the exact key, which removes the filter's false positives; the longest
 listed key wins.
 
-The filter has ``blocks`` words (8 bytes each), a bound that is a parameter; with more entries it passes more
-candidates on to the join, and stays right.  The listing is broadcast only if it has at most ``BROADCAST_ROWS`` rows;
+The filter has a word (8 bytes) for every six entries, ``blocks`` at most, a bound that is a parameter; with more entries it
+passes more candidates on to the join, and stays right.  Its words are a scalar subquery's array: one row of them, computed once.  The listing is broadcast only if it has at most ``BROADCAST_ROWS`` rows;
 a larger one is shuffled, with salts, so that a hot entry is spread.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and fits no rule.  Rules with a null
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from plover.llm.common import ascii_lower
 
-BLOCKS = 1 << 14
+BLOCKS = 1 << 21  # 16 MB of words
 PROBES = 4
 BROADCAST_ROWS = 50_000
 SALTS = 64
@@ -49,19 +49,18 @@ def _bits(key: Column) -> Column:
     return out
 
 
-def bloom(rules: DataFrame, blocks: int = BLOCKS) -> Column:
-    """The filter's words as a constant array, for the keys in column ``key``; at most ``blocks`` words reach the driver."""
-    words = ["0"] * blocks
-    for b, w in bloom_words(rules, blocks).collect():
-        words[b] = str(w)
-    return F.split(F.lit(",".join(words)), ",").cast("array<bigint>")
+def bloom(rules: DataFrame, blocks: int) -> Column:
+    """The filter's words, as an array, for the keys in column ``key``."""
+    words = bloom_words(rules, blocks)
+    every = rules.sparkSession.range(blocks).join(words, F.col("id") == F.col("b"), "left")
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", F.coalesce("w", F.lit(0)).alias("w")))), lambda x: x["w"]).alias("words")).scalar()
 
 
 def bloom_words(rules: DataFrame, blocks: int) -> DataFrame:
     return rules.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("b"), _bits(F.col("key")).alias("w")).groupBy("b").agg(F.expr("bit_or(w)").alias("w"))
 
 
-def may_hold(words: Column, key: Column, blocks: int = BLOCKS) -> Column:
+def may_hold(words: Column, key: Column, blocks: int) -> Column:
     bits = _bits(key)
     return F.get(words, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).bitwiseAND(bits) == bits
 
@@ -72,16 +71,16 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     listed = listed.select(F.concat_ws("\n", "r_host", "r_path").alias("key"), F.concat("r_host", "r_path").alias("r_rule"), "r_verdict", F.length("r_path").alias("n"), F.length("r_host").alias("h"))
     host, path = canonical(F.col(f"`{url_col}`"))
     rows = pages.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").alias("page_id"), host.alias("host"), path.alias("path"))
-    n_listed = listed.limit(broadcast_rows + 1).count()
-    while blocks > 64 and blocks >= 2 * n_listed:
-        blocks //= 2
+    n_listed = listed.count()
+    blocks = min(blocks, max(64, 1 << (n_listed // 6).bit_length()))
     words = bloom(listed.select("key"), blocks)
     lengths = F.array(*[F.lit(r.n) for r in listed.select("n").distinct().orderBy("n").collect()]).cast("array<int>")  # of listed paths: bounded by the longest
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
     prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substr(F.col("path"), F.lit(1), n))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat_ws("\n", s, p))))
-    hits = rows.select("uid", "page_id", "host", "path", F.explode_outer(F.filter(keys, lambda k: may_hold(words, k, blocks))).alias("hit"))
+    tried = rows.select("uid", "page_id", "host", "path", F.explode_outer(keys).alias("tried"))
+    hits = tried.withColumn("hit", F.when(may_hold(words, F.col("tried"), blocks), F.col("tried"))).drop("tried")
     if n_listed <= broadcast_rows:
         found = hits.join(F.broadcast(listed), hits["hit"] == listed["key"], "left")
     else:

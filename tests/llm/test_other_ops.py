@@ -41,6 +41,9 @@ def test_top_k_edges(spark, monkeypatch):
     whole = {tuple(x) for x in topk.search(df, F.col("vec_id") % 100 == 0, 3).collect()}
     monkeypatch.setattr(topk, "BLOCK_VALUES", 8)  # two queries a block
     assert {tuple(x) for x in topk.search(df, F.col("vec_id") % 100 == 0, 3).collect()} == whole and len(whole) == 12
+    big = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e17, 0.0]), (2, [1.0, 1.0]), (3, [-1e300, 1.0])], "vec_id long, embedding array<double>")
+    found = [(r.vec_id, r.score) for r in topk.search(big, F.col("vec_id") == 0, 3).orderBy("rank").collect()]
+    assert [i for i, _ in found] == [1, 2, 3] and found[0][1] == topk.MOST and found[2][1] == -topk.MOST  # saturated, not an error
     assert topk.search(df.filter("vec_id < 0"), F.col("vec_id") % 100 == 0, 3).count() == 0
 
 
@@ -130,6 +133,32 @@ def test_canonical_json_round_trip_and_schemas():
     assert ok(3.0, {"type": "integer"}) and not ok("b", {"enum": ["a"]}) and not ok([1, "x"], {"items": {"type": "number"}}) and not ok("ab", {"pattern": "^a$"})
 
 
+def test_chat_levels(spark):
+    """A chain of 2000 calls takes few rounds; calls with several needs, and those behind cycles, get what brute force gives."""
+    r = random.Random(9)
+    needs = {(0, f"c{i}"): [f"c{i - 1}"] if i else [] for i in range(2000)}
+    for conv in range(1, 60):
+        n = r.randint(1, 12)
+        for i in range(n):
+            needs[conv, f"n{i}"] = [f"n{r.randint(0, n - 1 if r.random() < 0.08 else max(0, i - 1))}" for _ in range(r.choice([0, 1, 1, 2, 3]))] if i or r.random() < 0.1 else []
+    want, moved = {}, True
+    while moved:
+        moved = False
+        for k, v in needs.items():
+            if k not in want and all((k[0], x) in want for x in v):
+                want[k], moved = max((want[k[0], x] + 1 for x in v), default=0), True
+    saves = []
+    own = chat_format.save
+    chat_format.save = lambda df, name: saves.append(name) or own(df, name)
+    try:
+        df = spark.createDataFrame([(c, i, v) for (c, i), v in needs.items()], "conv_id long, call_id string, needs array<string>")
+        got = {(x.l_conv, x.l_id): x.level for x in chat_format._levels(df).collect()}
+    finally:
+        chat_format.save = own
+    assert got == want and len(want) < len(needs) and want[0, "c1999"] == 1999
+    assert saves.count("chat-pointers") < 15 and len(saves) < 45
+
+
 def test_chat_edges(spark):
     messages, calls = chat_format.format_messages(spark.createDataFrame([], SCHEMA))
     assert messages.count() == 0 and calls.count() == 0

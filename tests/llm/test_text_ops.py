@@ -39,7 +39,7 @@ def docs(spark, rows):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-CLASH = ["id", "norm", "digest", "salt", "keep_id", "u", "fp", "row", "size", "k", "lo", "bucket", "h", "s", "score", "value", "component_id", "__gone", "dup_kept"]
+CLASH = ["id", "norm", "digest", "salt", "keep_id", "u", "fp", "row", "size", "k", "lo", "bucket", "h", "s", "score", "value", "component_id", "__gone", "dup_kept", "dup_keep_id", "w_keep", "kept"]
 
 
 @pytest.fixture(scope="module")
@@ -79,6 +79,15 @@ def test_exact_dedup_edges(clash, empty):
     out = exact_dedup.deduplicate(clash)
     assert out.columns == clash.columns and out.count() > 0
     assert exact_dedup.annotate(empty).count() == 0
+    marked = exact_dedup.annotate(clash)
+    assert marked.columns[: len(clash.columns)] == clash.columns and len(set(marked.columns)) == len(marked.columns)
+    assert marked.select("dup_keep_id", "_dup_keep_id", "_dup_kept").filter("_dup_kept").count() == out.count()
+
+
+def test_exact_dedup_of_null_ids(spark):
+    df = spark.createDataFrame([(None, "a", i) for i in range(40)] + [(None, "b", 0)] * 3 + [(1, "b", 0)], "doc_id long, text string, n int")
+    kept = [(r.doc_id, r.text) for r in exact_dedup.deduplicate(df, salts=7).collect()]
+    assert sorted(kept, key=str) == [(1, "b"), (None, "a")]
 
 
 # --- token counts -----------------------------------------------------------------------------------------------------
@@ -417,13 +426,13 @@ def test_permutations_are_bijections():
 
 def test_draws_meet_quotas():
     quota = [1000, 0, 37, 5]
-    rows = list(source_mix.draw(quota, 100, 0))
-    got, shards = [0] * 4, Counter()
-    for shard, s, j, n in rows:
-        assert j == got[s] and n > 0
-        got[s] += n
-        shards[shard] += n
-    assert got == quota and all(v == 100 for v in list(shards.values())[:-1])
+    before, shards = np.zeros(4, dtype=int), Counter()
+    for shard in range(-(-sum(quota) // 100)):
+        n, begun = source_mix.shard_counts(quota, 100, 0, shard)
+        assert (begun == before).all() and (n >= 0).all()
+        before = before + n
+        shards[shard] = int(n.sum())
+    assert before.tolist() == quota and all(v == 100 for v in list(shards.values())[:-1])
 
 
 def test_mixing(docs, rows, empty, clash):
