@@ -260,7 +260,8 @@ def _members(made: DataFrame) -> DataFrame:
     members = hits.select("key", "node").join(met.hint("merge"), F.col("key") == F.col("k")).select("key", "node", "parts")
     prints_of = made.select(F.col("node").alias("p_node"), "fps", "size")
     out = save(members.join(prints_of.hint("merge"), F.col("node") == F.col("p_node")).select("key", "node", "fps", "size", "parts", F.col("node").alias("l")), "members")
-    discard(hits)
+    for done in (hits, lists, met):
+        discard(done)
     return out
 
 
@@ -268,6 +269,7 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     """``v, root`` of the nodes of ``texts`` (``node, text``, a row each) that have a similar one: components of similar pairs."""
     made = save(texts.select("node", "text").mapInArrow(_print_rows(shingle), "node long, fps array<long>, size int"), "prints")
     members = _members(made)
+    discard(made)
     bits = F.aggregate(F.zip_with("fps", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
     close = (F.least("size", "size_b") >= similarity * F.greatest("size", "size_b") - 1e-9) & (bits <= MEAN_BITS * PRINTS)
     edges, roots, own = None, None, ("node", "fps", "size", "l")
@@ -286,18 +288,23 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -
             once = ~F.col("minor_b") | (F.col("node") < F.col("node_b"))
             pairs = left.hint("merge").join(right, ["key", "salt"]).filter((F.col("l") != F.col("l_b")) & once & close)
         pairs = save(pairs.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct(), "candidate-pairs")
+        if last:
+            discard(every)
+            discard(members)
         ids = save(pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct(), "candidate-texts")
         whole = save(texts.join(ids.hint("merge"), F.col("node") == F.col("i"), "left_semi").select("node", "text"), "similar-texts")
         ta, tb = whole.select(F.col("node").alias("xa"), F.col("text").alias("text_a")), whole.select(F.col("node").alias("xb"), F.col("text").alias("text_b"))
         both = pairs.join(ta.hint("merge"), F.col("a") == F.col("xa")).join(tb.hint("merge"), F.col("b") == F.col("xb")).select("a", "b", "text_a", "text_b")
         found = save(both.mapInArrow(_verify(shingle, similarity), "a long, b long"), "similar-links")
-        discard(whole)
+        for done in (whole, ids, pairs):
+            discard(done)
         edges = found if edges is None else edges.union(found)
         roots = components(edges)
         if not last:
             known = members.drop("l").join(roots, F.col("node") == F.col("v"), "left").select("key", "node", "fps", "size", "parts", F.coalesce("root", "node").alias("l"))
             known = save(known, "labelled-members")
             still = save(known.groupBy(F.col("key").alias("k")).agg(F.min("l").alias("lo"), F.max("l").alias("hi")).filter("lo < hi").select("k"), "open-keys")
+            discard(members)
             members = save(known.join(still.hint("merge"), F.col("key") == F.col("k"), "left_semi"), "members")
             discard(known)
     return roots

@@ -115,6 +115,7 @@ def positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     buckets = max(1, math.ceil(n_rows / BUCKET_ROWS))
     rows = rows.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("b_size")).select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), F.expr(f"bucket div {GROUP}").alias("b_group"), "b_size")
+    sums = save(sums, "mix-sums")
     # Sums before a bucket: those of the groups before its group, and of the buckets before it in its group.
     groups = sums.groupBy(F.col("b_source").alias("g_source"), F.col("b_group").alias("g_group")).agg(F.sum("b_size").alias("g_size"))
     groups = groups.withColumn("before", F.sum("g_size").over(Window.partitionBy("g_source").orderBy("g_group")) - F.col("g_size")).drop("g_size")

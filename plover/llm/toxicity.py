@@ -99,10 +99,11 @@ class Index:
         del owner, w, order
         of = self.docs // BLOCK
         cut = np.flatnonzero(np.append(True, (np.diff(term) != 0) | (np.diff(of) != 0)))[: len(term)]  # where each (term, block) begins
-        self.cut = np.append(cut, len(term))
+        self.weights = self.weights.astype(np.float32)
+        self.cut = np.append(cut, len(term)).astype(np.int32)
         self.block = of[cut]
-        self.most = np.maximum.reduceat(self.weights, cut) if len(cut) else np.empty(0)
-        self.ends = np.searchsorted(term[cut], np.arange(len(vocabulary) + 1))
+        self.most = np.maximum.reduceat(self.weights, cut) if len(cut) else np.empty(0, np.float32)
+        self.ends = np.searchsorted(term[cut], np.arange(len(vocabulary) + 1)).astype(np.int32)
         n_terms = np.bincount(term, minlength=len(vocabulary))
         often = np.flatnonzero(n_terms > n / FREQUENT)  # fewer than FREQUENT * the mean length of an example
         self.row = np.full(len(vocabulary), -1)
