@@ -82,8 +82,8 @@ def seed_frame(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
 
 def seed_partition(seeds: DataFrame, n_jobs: int) -> DataFrame:
     """``job``: contiguous parts in the order of ``i``, the first ones larger."""
-    n = F.count("*").over(Window.partitionBy(F.lit(0)))
-    return seeds.withColumn("job", ntile_of(F.col("i"), n, n_jobs))
+    total = seeds.agg(F.count("*").alias("__n"))  # one row
+    return seeds.join(F.broadcast(total), how="cross").withColumn("job", ntile_of(F.col("i"), F.col("__n"), n_jobs)).drop("__n")
 
 
 def permuted(df: DataFrame, columns: list[str], seed: int | Column, by: list[str] | None = None, row_id: str = "row_id") -> DataFrame:

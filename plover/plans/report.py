@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+import os
 import sys
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,6 +110,19 @@ def plotting(run: Run, report: DataFrame, rows_long: DataFrame) -> DataFrame:
     return out.select("task", F.col("row_id").alias("subject_id"), "outcome_raw", "feature_name", "y_axis_value", "x_value")
 
 
+def _describe(run: Run, long: DataFrame) -> None:
+    """Logs the strongest univariate correlations of numeric outcomes, and folds too small for half samples."""
+    b = run.block
+    if not run.cfg.is_classification:
+        for k, name in enumerate(b.outcomes):
+            y = run.spark.createDataFrame([(i, float(v)) for i, v in zip(b.ids, b.y[:, k], strict=True)], "row_id string, y double")
+            for kind, f in (("Pearson", stats.univariate_pearson), ("Spearman", stats.univariate_spearman)):
+                top = stats.top_by_strength(f(long, y)).collect()
+                LOG.info("%s correlations with %s: %s", kind, name, ", ".join(f"{r.feature} {r.r:.3f}" for r in top if r.r is not None))
+    for r in ingest.subsample_viability(run.fold_rows(), len(b.names)).filter("warn").collect():  # a row a fold at most
+        LOG.warning("half of fold %d's %d training rows are fewer than %d", r.fold, r.n_train, r.need)
+
+
 def analyse(spark: SparkSession, df: DataFrame, cfg: Config, cluster_map: DataFrame | None = None, permute: bool = True) -> dict[str, DataFrame]:
     """The whole analysis: every report by name, also written to ``cfg.output_dir`` if that is set."""
     out_dir, out = cfg.output_dir, {}
@@ -120,6 +134,7 @@ def analyse(spark: SparkSession, df: DataFrame, cfg: Config, cluster_map: DataFr
 
     by_task = {"partition_by": ("task",)} if len(run.block.tasks) > 1 else {}
     long = tables.to_long(ingest.listwise_deletion(df), cfg.roles.row_id, run.block.names).withColumn("row_id", F.col("row_id").cast("string"))
+    _describe(run, long)
     oof = save(run.out_of_fold(), "out-of-fold")
     score = run.score(oof)
     LOG.info("%s of nested cross-validation: %.6f", cfg.metric, score)
@@ -146,6 +161,7 @@ def analyse(spark: SparkSession, df: DataFrame, cfg: Config, cluster_map: DataFr
     if by_task:
         put("report_selection_frequency_tasks", stats.selection_frequency(sel, ("task", "feature")), **by_task)
     boot = run.bootstrap()
+    LOG.info("%d bootstrap coefficients of models that did not converge", stats.convergence(boot.filter("ok")).first()[0])
     put("report_fold_bootstrap_ci", tier2(boot, cfg.ci_level), **by_task)
     report = put("report_feature_importance", importance(boot, feature_scale(run, long), cfg.ci_level), **by_task)
     if cfg.reduction == "apriori" and cluster_map is not None:
@@ -208,6 +224,11 @@ def main(argv: list[str] | None = None) -> int:
     logging.basicConfig(level=logging.INFO, format=f"%(asctime)s {prefix}%(message)s", stream=sys.stdout)
     try:
         cfg = load_config(a.config)
+        if cfg.output_dir and "://" not in cfg.output_dir:
+            os.makedirs(cfg.output_dir, exist_ok=True)
+            handler = logging.FileHandler(os.path.join(cfg.output_dir, "pipeline.log"))
+            handler.setFormatter(logging.Formatter(f"%(asctime)s {prefix}%(message)s"))
+            logging.getLogger().addHandler(handler)
         spark = SparkSession.builder.appName("plover").getOrCreate()
         if a.mode == "aggregate":
             aggregate(spark, cfg)

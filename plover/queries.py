@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,13 +11,13 @@ from pyspark.sql import functions as F
 from plover.config import Config, Roles
 from plover.operators import ingest, splits, stats, transforms
 from plover.sources import tables
+from plover.sources.work import shared_dir, sink
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 P = 63  # features; the last component of a vector is the outcome's noise
 NAMES = [f"brain_{i:03d}" for i in range(P)]
-FEW = 16
 
 
 def query(sql: str | None = None):
@@ -157,26 +158,37 @@ MAP = "cmap AS (SELECT printf('brain_%03d', i) AS feature, i::INT AS f_idx, 'c'
 # --- sources, roles, filters ------------------------------------------------------------------------------------------------
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @query(f"WITH {DOCQ} SELECT * FROM docq")
 def scan_subjects(spark, sf):
-    return docq(spark, sf)
+    path = scratch(spark, "subjects")
+    sink(docq(spark, sf), path, "table.csv", one_file=False)
+    return tables.scan_subjects(spark, f"{path}/table.csv", DOCQ_ROLES)
 
 
 @query(f"WITH {MAP} SELECT feature, cluster FROM cmap")
 def scan_cluster_map(spark, sf):
-    return cluster_map(spark).select("feature", "cluster")
+    path = scratch(spark, "cluster-map")
+    cluster_map(spark).select("feature", "cluster").write.csv(path)
+    return tables.scan_cluster_map(spark, path)
 
 
-@query("SELECT 'a' AS chunk, l_quantity AS score FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT 'b', l_tax FROM lineitem WHERE l_linenumber = 2")
+@query("SELECT l_quantity::DOUBLE AS score FROM lineitem UNION ALL SELECT l_tax::DOUBLE FROM lineitem")
 def null_union(spark, sf):
-    d = read(spark, sf, "lineitem")
-    a = d.filter("l_linenumber = 1").select(F.lit("a").alias("chunk"), F.col("l_quantity").alias("score"))
-    return a.unionByName(d.filter("l_linenumber = 2").select(F.lit("b").alias("chunk"), F.col("l_tax").alias("score")))
+    path = scratch(spark, "chunks")
+    for i, c in enumerate(("l_quantity", "l_tax")):
+        sink(read(spark, sf, "lineitem").select(F.col(c).cast("double").alias("null_r2")), path, f"perm_chunk_{i}", one_file=False)
+    return tables.scan_null_chunks(spark, path)
 
 
-@query("SELECT l_discount AS score FROM lineitem ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate LIMIT 1")
+@query("SELECT max(l_discount)::DOUBLE AS score FROM lineitem")
 def scalar_scan(spark, sf):
-    return read(spark, sf, "lineitem").orderBy("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate").select(F.col("l_discount").alias("score")).limit(1)
+    path = scratch(spark, "score")
+    sink(read(spark, sf, "lineitem").agg(F.max("l_discount").cast("double").alias("score")), path, "nested_cv_scores")
+    return spark.createDataFrame([(tables.scan_score(spark, f"{path}/nested_cv_scores"),)], "score double")
 
 
 @query(f"WITH {long_sql()} SELECT row_id, f_idx, feature, {R('value')} AS value FROM long")
@@ -324,29 +336,29 @@ def pairs_sql(src: str) -> str:
     return f"SELECT a.f_idx AS i, b.f_idx AS j, corr(a.value, b.value) AS r FROM {src} a JOIN {src} b ON a.row_id = b.row_id AND a.f_idx <= b.f_idx GROUP BY 1, 2"
 
 
-@query(f"WITH {long_sql(FEW)}, c AS ({pairs_sql('long')}) SELECT i, j, {R('r')} AS r FROM c")
+@query(f"WITH {long_sql()}, c AS ({pairs_sql('long')}) SELECT i, j, {R('r')} AS r FROM c")
 def corr_matrix_pearson(spark, sf):
-    return rounded(stats.corr_matrix(emb(spark, sf).withColumn("features", F.slice("features", 1, FEW))), "r")
+    return rounded(stats.corr_matrix(emb(spark, sf)), "r")
 
 
-@query(f"WITH {long_sql(FEW)}, {RANKED}, c AS ({pairs_sql('rk')}) SELECT i, j, {R('r')} AS r FROM c")
+@query(f"WITH {long_sql()}, {RANKED}, c AS ({pairs_sql('rk')}) SELECT i, j, {R('r')} AS r FROM c")
 def corr_matrix_spearman(spark, sf):
-    ranked = stats.average_rank(emb_long(spark, sf, FEW), "value", ["f_idx"])
-    wide = ranked.groupBy("row_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("f_idx", "rank"))), lambda x: x["rank"].cast("double")).alias("features"))  # FEW values a row
+    ranked = stats.average_rank(emb_long(spark, sf), "value", ["f_idx"])
+    wide = ranked.groupBy("row_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("f_idx", "rank"))), lambda x: x["rank"].cast("double")).alias("features"))  # P values a row
     return rounded(stats.corr_matrix(wide), "r")
 
 
 def _distance(spark, sf, signed):
-    c = stats.corr_matrix(emb(spark, sf).withColumn("features", F.slice("features", 1, FEW))).filter("i < j")
+    c = stats.corr_matrix(emb(spark, sf)).filter("i < j")
     return c.select("i", "j", r6(stats.corr_distance(F.col("r"), signed)).alias("d"))
 
 
-@query(f"WITH {long_sql(FEW)}, c AS ({pairs_sql('long')}) SELECT i, j, {R('sqrt(2*(1-abs(r)))')} AS d FROM c WHERE i < j")
+@query(f"WITH {long_sql()}, c AS ({pairs_sql('long')}) SELECT i, j, {R('sqrt(2*(1-abs(r)))')} AS d FROM c WHERE i < j")
 def corr_distance_unsigned(spark, sf):
     return _distance(spark, sf, False)
 
 
-@query(f"WITH {long_sql(FEW)}, c AS ({pairs_sql('long')}) SELECT i, j, {R('sqrt(2*(1-r))')} AS d FROM c WHERE i < j")
+@query(f"WITH {long_sql()}, c AS ({pairs_sql('long')}) SELECT i, j, {R('sqrt(2*(1-r))')} AS d FROM c WHERE i < j")
 def corr_distance_signed(spark, sf):
     return _distance(spark, sf, True)
 
@@ -567,9 +579,9 @@ def raw_coefficients(spark, sf):
     return rounded(stats.raw_scale(s, scale, ["mean"]), "mean", "raw_mean")
 
 
-@query(f"WITH {COEF}, s AS (SELECT feature, quantile_cont(coef, 0.4) AS lo FROM coef GROUP BY feature) SELECT feature, {R('lo')} AS lo FROM s WHERE lo > 0")
+@query(f"WITH {COEF}, s AS (SELECT feature, quantile_cont(coef, 0.5) AS lo FROM coef GROUP BY feature) SELECT feature, {R('lo')} AS lo FROM s WHERE lo > 0")
 def significance_filter(spark, sf):
-    s = coefs(spark, sf).groupBy("feature").agg(F.percentile("coef", F.lit(0.4)).alias("lo"))
+    s = coefs(spark, sf).groupBy("feature").agg(F.percentile("coef", F.lit(0.5)).alias("lo"))
     return rounded(stats.significant(s.withColumn("is_significant", F.col("lo") > 0)).select("feature", "lo"), "lo")
 
 
@@ -596,9 +608,10 @@ def repeated_kfold(spark, sf):
     return splits.repeated_kfold(emb(spark, sf).select("row_id"), 3, 4)
 
 
-@query("SELECT o_orderkey AS i, (o_orderkey * 7)::BIGINT AS seed, (ntile(7) OVER (ORDER BY o_orderkey) - 1)::BIGINT AS job FROM orders WHERE o_orderkey < 1000")
+@query("SELECT o_orderkey AS i, (o_orderkey * 7)::BIGINT AS seed, (ntile(7) OVER (ORDER BY o_orderkey) - 1)::BIGINT AS job FROM orders")
 def seed_partition(spark, sf):
-    d = read(spark, sf, "orders").filter("o_orderkey < 1000").select((F.row_number().over(splits.Window.orderBy("o_orderkey")) - 1).cast("bigint").alias("i"), "o_orderkey")
+    keys = read(spark, sf, "orders").groupBy("o_orderkey").agg(F.count("*").alias("c"))
+    d = stats.prefix_sums(keys, "o_orderkey", [], ["c"]).select(F.col("__before_c").cast("bigint").alias("i"), "o_orderkey")
     return splits.seed_partition(d.withColumn("seed", F.col("o_orderkey") * 7), 7).select(F.col("o_orderkey").alias("i"), "seed", "job")
 
 
@@ -662,30 +675,29 @@ def covariate_scale(spark, sf):
     return d.select("row_id", r6(F.col("design")[0]).alias("d0"), r6(F.col("design")[1]).alias("d1"))
 
 
-def loadings(spark: SparkSession, n: int = FEW) -> DataFrame:
-    """Fixed loadings of clusters of eight; the last feature is alone in its cluster."""
-    return cluster_map(spark, n + 1).select("cluster", "feature", F.when(F.col("f_idx") == n, 1.0).otherwise((F.col("f_idx") % 8 + 1) / 10.0).alias("loading"), F.lit(n).alias("n"))
+def loadings(spark: SparkSession) -> DataFrame:
+    """Fixed loadings of clusters of eight features; the last feature is alone in its cluster."""
+    last = F.col("f_idx") == P - 1
+    return cluster_map(spark).select(F.when(last, "solo").otherwise(F.col("cluster")).alias("cluster"), "feature", F.when(last, 1.0).otherwise((F.col("f_idx") % 8 + 1) / 10.0).alias("loading"))
 
 
-LOADINGS = f"ld AS (SELECT 'c' || (i // 8)::VARCHAR AS cluster, printf('brain_%03d', i) AS feature, CASE WHEN i = {FEW} THEN 1.0::DOUBLE ELSE (i % 8 + 1) / 10.0::DOUBLE END AS loading FROM range({FEW + 1}) t(i))"
+LOADINGS = f"ld AS (SELECT CASE WHEN i = {P - 1} THEN 'solo' ELSE 'c' || (i // 8)::VARCHAR END AS cluster, printf('brain_%03d', i) AS feature, CASE WHEN i = {P - 1} THEN 1.0::DOUBLE ELSE (i % 8 + 1) / 10.0::DOUBLE END AS loading FROM range({P}) t(i))"
 
 
-@query(f"WITH {long_sql(FEW + 1)}, {LOADINGS}, z AS (SELECT row_id, feature, (value - avg(value) OVER (PARTITION BY feature)) / stddev_pop(value) OVER (PARTITION BY feature) AS z, value FROM long), s AS (SELECT cluster, count(*) AS n FROM ld GROUP BY cluster) SELECT row_id, CASE WHEN n > 1 THEN 'Cluster_' || cluster ELSE min(feature) END AS name, {R('CASE WHEN n > 1 THEN sum(z * loading) ELSE min(value) END')} AS score FROM z JOIN ld USING (feature) JOIN s USING (cluster) GROUP BY row_id, cluster, n")
+@query(f"WITH {long_sql()}, {LOADINGS}, z AS (SELECT row_id, feature, (value - avg(value) OVER (PARTITION BY feature)) / stddev_pop(value) OVER (PARTITION BY feature) AS z, value FROM long), s AS (SELECT cluster, count(*) AS n FROM ld GROUP BY cluster) SELECT row_id, CASE WHEN n > 1 THEN 'Cluster_' || cluster ELSE min(feature) END AS name, {R('CASE WHEN n > 1 THEN sum(z * loading) ELSE min(value) END')} AS score FROM z JOIN ld USING (feature) JOIN s USING (cluster) GROUP BY row_id, cluster, n")
 def cluster_pca_transform(spark, sf):
-    return rounded(transforms.cluster_scores(emb_long(spark, sf, FEW + 1), loadings(spark).drop("n")), "score")
+    return rounded(transforms.cluster_scores(emb_long(spark, sf), loadings(spark)), "score")
 
 
 @query(f"WITH {LOADINGS}, s AS (SELECT cluster, count(*) AS n FROM ld GROUP BY cluster) SELECT CASE WHEN n > 1 THEN 'Cluster_' || cluster ELSE feature END AS name, feature, {R('CASE WHEN n > 1 THEN loading ELSE 1.0 END')} AS loading FROM ld JOIN s USING (cluster)")
 def cluster_loadings(spark, sf):
-    return rounded(transforms.named_loadings(loadings(spark).drop("n")).select("name", "feature", "loading"), "loading")
+    return rounded(transforms.named_loadings(loadings(spark)).select("name", "feature", "loading"), "loading")
 
 
 @query(f"WITH {LOADINGS}, s AS (SELECT cluster, count(*) AS n FROM ld GROUP BY cluster), l AS (SELECT CASE WHEN n > 1 THEN 'Cluster_' || cluster ELSE feature END AS name, feature, CASE WHEN n > 1 THEN loading ELSE 1.0 END AS loading FROM ld JOIN s USING (cluster)), rc AS (SELECT f.fold, l.name, (f.fold + 1) * length(l.name) / 10.0::DOUBLE AS coef FROM (SELECT range AS fold FROM range(3)) f, (SELECT DISTINCT name FROM l) l) SELECT fold, feature, {R('sum(coef * loading)')} AS coef FROM rc JOIN l USING (name) GROUP BY fold, feature")
 def backproject(spark, sf):
-    named = transforms.named_loadings(loadings(spark).drop("n"))
-    folds = spark.range(3).withColumnRenamed("id", "fold")
+    named = transforms.named_loadings(loadings(spark))
     rc = named.select("name").distinct().withColumn("fold", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(3)]))).select("fold", "name", ((F.col("fold") + 1) * F.length("name") / 10.0).alias("coef"))
-    _ = folds
     return rounded(transforms.backproject(rc, named), "coef")
 
 
@@ -798,12 +810,12 @@ def bootstrap_report(spark, sf):
 
     run = run_of(spark, sf, "regression")
     long = tables.to_long(subject_table(spark, sf, "regression")[0], "SUBJ_ID", NAMES)
-    return report.importance(run.bootstrap(10), report.feature_scale(run, long), run.cfg.ci_level)
+    return report.importance(run.bootstrap(), report.feature_scale(run, long), run.cfg.ci_level)
 
 
 @query()
 def selection_report(spark, sf):
-    return stats.selection_frequency(run_of(spark, sf, "regression").selection(10))
+    return stats.selection_frequency(run_of(spark, sf, "regression").selection())
 
 
 @query()
@@ -885,9 +897,9 @@ def weighted_moments(spark, sf):
     return cust(spark, sf).agg(r6(F.sum(w * y) / F.sum(w)).alias("wmean"), r6(F.sum(w * y * y) / F.sum(w)).alias("wsq"))
 
 
-@query(f"WITH {EMB} SELECT i.i::INT AS i, j.i::INT AS j, {R('sum(features[i.i+1] * features[j.i+1])')} AS g FROM emb, range({FEW}) i(i), range({FEW}) j(i) GROUP BY 1, 2")
+@query(f"WITH {EMB} SELECT i.i::INT AS i, j.i::INT AS j, {R('sum(features[i.i+1] * features[j.i+1])')} AS g FROM emb, range({P}) i(i), range({P}) j(i) GROUP BY 1, 2")
 def gram_matrix(spark, sf):
-    g = stats._moment_sums(emb(spark, sf).withColumn("features", F.slice("features", 1, FEW)), "features").filter("i > 0")
+    g = stats._moment_sums(emb(spark, sf), "features").filter("i > 0")
     return g.select((F.col("i") - 1).alias("i"), F.posexplode("g").alias("j", "v")).filter("j > 0").select("i", (F.col("j") - 1).alias("j"), r6("v").alias("g"))
 
 
