@@ -18,8 +18,8 @@ A byte goes if it lies in a string of ``length`` bytes that also starts elsewher
 5. *Tree.*  A stack scan gives the intervals with common prefixes: one row each, with parent, length, count and left diversity,
    and one row for each suffix, with its deepest interval (its span).  Rows grow with the suffixes, not with nesting.
 
-``remove_repeats`` takes spans back from leaves to classes, runs and texts.  ``maximal_repeats`` joins intervals that go on from run
-to run with the same occurrences, which gives repeats of any length with all their places.
+``remove_repeats`` takes spans back from suffixes to runs and texts.  A class's suffixes end with its run, so a repeat that goes on
+over several runs is an interval for each of them.
 
 Window hashes only choose candidates; suffixes are compared as bytes, runs by BLAKE2b, texts are named by 96 bits of hash.
 
