@@ -181,23 +181,43 @@ def shingles(text: str, n: int = 5) -> set[bytes]:
     return {b" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-def prints(text: str, n: int = PAIR_WORDS, k: int = PRINTS) -> np.ndarray:
-    """``k`` fingerprints of a text's distinct shingles of ``n`` words, as signed longs."""
+_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)  # the bits of every byte, lowest first
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """SplitMix64's finaliser."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_hashes(words: list[bytes], sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """For each of ``sizes``, the distinct hashes of the shingles of that many words (of all words, if they are fewer)."""
     import xxhash
 
-    h = np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(text, n) or {b""}], dtype=np.uint64)
-    out = np.empty(k, dtype=np.int64)
-    for i in range(k):
-        total = np.zeros(64, dtype=np.int64)
-        for j in range(0, len(h), 1 << 16):
-            x = h[j : j + (1 << 16)] + np.uint64(i) * np.uint64(0x9E3779B97F4A7C15)
-            if i:  # SplitMix64's finaliser
-                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                x ^= x >> np.uint64(31)
-            total += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out[i] = np.packbits(2 * total > len(h), bitorder="little").view("<i8")[0]
-    return out
+    known = {w: xxhash.xxh64_intdigest(w, SEED) for w in set(words)}
+    word = np.array([known[w] for w in words], dtype=np.uint64)
+    out, joined, k = {}, word, 1
+    for n in sorted(min(n, len(word)) for n in sizes):
+        while k < n:
+            joined, k = _mixed(joined[:-1] * _GOLDEN + word[k:]), k + 1
+        out[n] = np.unique(joined)
+    return [out[min(n, len(word))] for n in sizes]
+
+
+def prints(hashes: np.ndarray, k: int = PRINTS) -> np.ndarray:
+    """``k`` fingerprints, as signed longs, of a text's shingles by their distinct hashes: a mix of the hashes for each."""
+    if not len(hashes):
+        return np.zeros(k, dtype=np.int64)
+    total = np.zeros(k * 8 * 256, dtype=np.int64)
+    at = (np.arange(k * 8) * 256).reshape(k, 1, 8)
+    salts = (np.arange(k, dtype=np.uint64) * _GOLDEN)[:, None]
+    for j in range(0, len(hashes), 1 << 14):
+        x = _mixed(hashes[None, j : j + (1 << 14)] + salts)
+        total += np.bincount((x.view(np.uint8).reshape(k, -1, 8) + at).ravel(), minlength=len(total))
+    set_bits = total.reshape(k, 8, 256) @ _BITS
+    return np.packbits((2 * set_bits > len(hashes)).reshape(k, 64), axis=1, bitorder="little").view("<i8")[:, 0]
 
 
 def _print_rows(shingle: int):
@@ -205,9 +225,9 @@ def _print_rows(shingle: int):
         for b in batches:
             fps, sizes = [], []
             for t in b.column(1):
-                text = t.as_py()
-                fps.append(prints(text).tolist())
-                sizes.append(len(shingles(text, shingle)))
+                pairs, whole = shingle_hashes(t.as_py().encode("utf-8", "surrogatepass").translate(_LOWER).split(), (PAIR_WORDS, shingle))
+                fps.append(prints(pairs).tolist())
+                sizes.append(len(whole))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array(sizes, pa.int32())], ["node", "fps", "size"])
 
     return run
