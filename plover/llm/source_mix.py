@@ -24,7 +24,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plover.llm.common import WORD, save, text_or_empty
@@ -102,30 +102,37 @@ def shard_counts(quota: Sequence[int], shard_slots: int, seed: int, shard: int)
     return left, begun
 
 
-def positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: Sequence[str] = ()) -> DataFrame:
-    """Every document's place in its source's stream: ``doc_id, source, size, bucket, k, lo`` and the columns ``keep``.
+def _ranked(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    """``key, bucket, k`` that name a row (even where ids repeat), ``doc_id, source`` and the columns ``more``.
 
-    ``(source, bucket, k)`` names a row even where ids repeat.
+    ``key`` stands for the source and is never null, so that joins by it keep the window's partitioning.
     """
+    source = docs[source_col]
     rows = docs.select(
-        docs[id_col].alias("doc_id"), docs[source_col].alias("source"), F.regexp_count(text_or_empty(docs[text_col]), F.lit(WORD)).cast("bigint").alias("size"),
-        F.xxhash64(docs[id_col], docs[text_col]).alias("h"), *([F.struct(*[docs[c] for c in keep]).alias("row")] if keep else []),
+        F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("key"), docs[id_col].alias("doc_id"), source.alias("source"),
+        F.xxhash64(docs[id_col], docs[text_col]).alias("h"), F.length(docs[text_col]).alias("chars"), *more,
     )
-    n_rows = docs.select(F.count("*")).first()[0]
-    buckets = max(1, math.ceil(n_rows / BUCKET_ROWS))
+    buckets = max(1, math.ceil(docs.select(F.count("*")).first()[0] / BUCKET_ROWS))
     rows = rows.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("b_size")).select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), F.expr(f"bucket div {GROUP}").alias("b_group"), "b_size")
+    w = Window.partitionBy("key", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "h", "chars")
+    return rows.withColumn("k", F.row_number().over(w)).drop("h", "chars")
+
+
+def positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Every document's place in its source's stream: ``key, doc_id, source, size, bucket, k, lo``."""
+    size = F.regexp_count(text_or_empty(docs[text_col]), F.lit(WORD)).cast("bigint").alias("size")
+    rows = _ranked(docs, id_col, text_col, source_col, size)
+    rows = save(rows.withColumn("end", F.sum("size").over(Window.partitionBy("key", "bucket").orderBy("k"))), "mix-rows")
+    sums = rows.groupBy(F.col("key").alias("b_key"), F.col("bucket").alias("b_bucket")).agg(F.max("end").alias("b_size")).withColumn("b_group", F.expr(f"b_bucket div {GROUP}"))
     sums = save(sums, "mix-sums")
     # Sums before a bucket: those of the groups before its group, and of the buckets before it in its group.
-    groups = sums.groupBy(F.col("b_source").alias("g_source"), F.col("b_group").alias("g_group")).agg(F.sum("b_size").alias("g_size"))
-    groups = groups.withColumn("before", F.sum("g_size").over(Window.partitionBy("g_source").orderBy("g_group")) - F.col("g_size")).drop("g_size")
-    inside = F.sum("b_size").over(Window.partitionBy("b_source", "b_group").orderBy("b_bucket")) - F.col("b_size")
-    before = sums.withColumn("inside", inside).join(groups, F.col("b_source").eqNullSafe(F.col("g_source")) & (F.col("b_group") == F.col("g_group")))
-    before = before.select("b_source", "b_bucket", (F.col("before") + F.col("inside")).alias("start"))
-    w = Window.partitionBy("source", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "h", "size")
-    rows = rows.withColumn("k", F.row_number().over(w)).withColumn("within", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    out = rows.join(before, rows["source"].eqNullSafe(before["b_source"]) & (rows["bucket"] == before["b_bucket"]))
-    return out.select("doc_id", "source", "size", "bucket", "k", (F.col("start") + F.col("within")).alias("lo"), *(["row"] if keep else []))
+    groups = sums.groupBy(F.col("b_key").alias("g_key"), F.col("b_group").alias("g_group")).agg(F.sum("b_size").alias("g_size"))
+    groups = groups.withColumn("before", F.sum("g_size").over(Window.partitionBy("g_key").orderBy("g_group")) - F.col("g_size")).drop("g_size")
+    inside = F.sum("b_size").over(Window.partitionBy("b_key", "b_group").orderBy("b_bucket")) - F.col("b_size")
+    before = sums.withColumn("inside", inside).join(groups, (F.col("b_key") == F.col("g_key")) & (F.col("b_group") == F.col("g_group")))
+    before = before.select("b_key", "b_bucket", (F.col("before") + F.col("inside")).alias("start"))
+    out = rows.join(before, (F.col("key") == F.col("b_key")) & (F.col("bucket") == F.col("b_bucket")))
+    return out.select("key", "doc_id", "source", "size", "bucket", "k", (F.col("start") + F.col("end") - F.col("size")).alias("lo"))
 
 
 def plan(pos: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = MAX_REPEAT, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -167,9 +174,9 @@ def slots(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = 0) ->
     return shards.mapInPandas(fill, "shard long, s int, pass int, block long")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = MAX_REPEAT, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 0, keep: Sequence[str] = (), **cols) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: int = MAX_REPEAT, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 0, **cols) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Positions with their source's numbers (saved), the plan, and the block uses ``s, block, pass``."""
-    pos = save(positions(docs, keep=keep, **cols), "mix-positions")
+    pos = save(positions(docs, **cols), "mix-positions")
     sources = plan(pos, weights, max_repeat, block_words)
     return pos.join(F.broadcast(sources.withColumnRenamed("source", "p_source")), pos["source"].eqNullSafe(F.col("p_source"))).drop("p_source"), sources, slots(sources, shard_slots, seed)
 
@@ -178,7 +185,7 @@ def _pieces(pos: DataFrame, block_words: int, *more: str) -> DataFrame:
     """A row for each block that a document touches, one with no words for a document without words."""
     lo, hi = F.col("lo"), F.col("lo") + F.col("size")
     first, last = F.expr(f"lo div {block_words}"), F.expr(f"greatest(lo, lo + size - 1) div {block_words}")
-    out = pos.select("doc_id", "source", "s", "bucket", "k", "lo", "size", "source_size", "target", *more, F.explode(F.sequence(first, last)).alias("d_block"))
+    out = pos.select("key", "doc_id", "source", "s", "bucket", "k", "lo", "size", "source_size", "target", *more, F.explode(F.sequence(first, last)).alias("d_block"))
     start, end = F.greatest(lo, F.col("d_block") * block_words), F.least(hi, (F.col("d_block") + 1) * block_words)
     return out.withColumn("w0", start - lo).withColumn("w1", F.greatest(start, end) - lo)
 
@@ -204,16 +211,17 @@ def materialise(docs: DataFrame, block_words: int = BLOCK_WORDS, text_col: str =
     uses = used.select(F.col("s").alias("u_s"), F.col("block").alias("u_block"), F.col("pass")).hint("merge")
     pieces = _pieces(pos, block_words)
     met = pieces.join(uses, (pieces["s"] == uses["u_s"]) & (pieces["d_block"] == uses["u_block"])).filter("w1 > w0")
-    spans = met.groupBy("s", "bucket", "k", "pass").agg(F.sort_array(F.collect_list(F.struct("w0", "w1"))).alias("spans"))
-    # The spans of a document are bounded by its own length; rows go back to their text by the same key.
-    spans = spans.groupBy("s", "bucket", "k").agg(F.collect_list("spans").alias("passes"))
-    full = positions(docs, text_col=text_col, keep=names, **{k: v for k, v in kw.items() if k in ("id_col", "source_col")})
-    by_s = pos.select(F.col("source").alias("p_source"), "s").distinct()
-    spans = spans.join(F.broadcast(by_s), "s").select("p_source", F.col("bucket").alias("p_bucket"), F.col("k").alias("p_k"), "passes")
-    out = full.join(spans, full["source"].eqNullSafe(spans["p_source"]) & (full["bucket"] == spans["p_bucket"]) & (full["k"] == spans["p_k"]))
+    spans = met.groupBy("key", "bucket", "k", "size").agg(F.sort_array(F.collect_list(F.struct("pass", "w0", "w1"))).alias("spans"))
+    # A bucket's spans go to its rows as one map (some 256 documents' spans), by the window's own keys: texts are shuffled once.
+    spans = spans.groupBy(F.col("key").alias("p_key"), F.col("bucket").alias("p_bucket")).agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("size", "spans")))).alias("of"))
+    row = F.struct(*[docs[c] for c in names]).alias("row")
+    full = _ranked(docs, kw.get("id_col", "doc_id"), text_col, kw.get("source_col", "source"), row)
+    out = full.join(spans.hint("merge"), (F.col("key") == F.col("p_key")) & (F.col("bucket") == F.col("p_bucket")))
+    out = out.select("row", F.try_element_at("of", F.col("k")).alias("mine")).filter(F.col("mine").isNotNull())
+    out = out.select("row", F.col("mine.size").alias("size"), F.col("mine.spans").alias("every"), F.explode(F.array_distinct(F.col("mine.spans.pass"))).alias("pass"))
+    out = out.select("row", "size", F.filter("every", lambda x: x["pass"] == F.col("pass")).alias("spans"))
     cut = F.pandas_udf(_cut, "string")
-    out = out.select("row", "size", F.explode("passes").alias("spans"))
-    whole = (F.size("spans") > 0) & (F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["w1"] - x["w0"]) == F.col("size"))
+    whole = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["w1"] - x["w0"]) == F.col("size")
     out = out.withColumn("new", F.when(whole, F.col(f"row.`{text_col}`")).otherwise(cut(F.col(f"row.`{text_col}`"), F.col("spans.w0"), F.col("spans.w1"))))
     made = {text_col: F.col("new")} | ({length_col: F.length("new").cast(docs.schema[length_col].dataType)} if length_col in names else {})
     return out.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in names])
