@@ -257,13 +257,35 @@ def _print_keys(near: bool):
     return run
 
 
+def alike(text: str, other: set[bytes], n: int, similarity: float) -> bool:
+    """Whether a text's shingles and the set ``other`` have at least this Jaccard similarity.
+
+    It stops as soon as so many shingles are missing from ``other`` that no rest of the text can make up for them.
+    """
+    w = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    places = max(1, len(w) - n + 1) if w else 0
+    bearable = (places - similarity * len(other)) / (1 + similarity) + 1e-6
+    shared: set[bytes] = set()
+    missing: set[bytes] = set()
+    for i in range(places):
+        x = b" ".join(w[i : i + n])
+        if x in other:
+            shared.add(x)
+        else:
+            missing.add(x)
+            if len(missing) > bearable:
+                return False
+    return len(shared) >= similarity * (len(missing) + len(other))
+
+
 def _verify(n: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = shingles(x.as_py(), n), shingles(y.as_py(), n)
-                keep.append(len(x & y) >= similarity * len(x | y))
+            keep, last, of = [], None, set()
+            for node, x, y in zip(b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                if node != last:  # the join leaves a text's pairs together
+                    last, of = node, shingles(y.as_py(), n)
+                keep.append(alike(x.as_py(), of, n, similarity))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run

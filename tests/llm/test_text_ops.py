@@ -204,6 +204,26 @@ def test_similar_groups(spark):
     assert all(g == i or g == (i - 1000) // 10 or len(sets[i] & sets[g]) > 0 for i, g in got.items())
 
 
+def test_alike_is_exact():
+    r = random.Random(3)
+    hits = 0
+    for _ in range(3000):
+        a = [r.choice("abcdef") if r.random() < 0.3 else f"w{r.randint(0, 400)}" for _ in range(r.randint(0, 80))]
+        b = [f"z{r.randint(0, 9)}" if r.random() < 0.04 else w for w in a][: r.randint(max(0, len(a) - 8), len(a) + 1)]
+        n = r.choice((1, 2, 5))
+        x, y = simhash.shingles(" ".join(a), n), simhash.shingles(" ".join(b), n)
+        want = len(x & y) >= 0.8 * len(x | y)
+        hits += want
+        assert simhash.alike(" ".join(a), y, n, 0.8) == want
+    assert 300 < hits < 2700
+
+
+def test_shingle_hashes_count_distinct_shingles():
+    for text in ("", "one", "a b a b a b a b", "x " * 40, "one two three four five six seven"):
+        words = text.encode().split()
+        assert [len(h) for h in simhash.shingle_hashes(words, (2, 5))] == [len(simhash.shingles(text, n)) for n in (2, 5)]
+
+
 def brute_similar(rows):
     sets = {i: simhash.shingles(t or "") for i, t in rows}
     pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
