@@ -33,6 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local[key]}"
 
 
+def _write(df: DataFrame, path: str) -> None:
+    """Append ``df`` to the Parquet table at ``path``; once it is whole, the shuffle files behind it are removed."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        df.write.mode("append").parquet(path)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
@@ -41,7 +52,7 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/plover-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _write(df, path)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._plover_path = path
@@ -56,7 +67,7 @@ def save_all(frames: Iterable[DataFrame], name: str) -> DataFrame:
             spark, schema = df.sparkSession, df.schema
             path = f"{shared_dir(spark)}/plover-{name}-{uuid.uuid4().hex}"
             _written.append((spark, path))
-        df.write.mode("append").parquet(path)
+        _write(df, path)
     return spark.read.schema(schema).parquet(path)
 
 
