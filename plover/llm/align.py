@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plover.llm.common import save, text_or_empty
+from plover.llm.common import arrow_schema, save, text_or_empty
 
 CHUNK = 2_000_000
 
@@ -165,13 +165,11 @@ def aligned(docs: DataFrame, tokenizer: str, model: str, links: str = "end", wit
     rows = docs.select(docs[id_col].alias("doc_id"), text_or_empty(docs[text_col]).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"chunk string, doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary, groups string, codes array<long>, counts array<long>"
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_json_string
 
-        arrow = to_arrow_schema(_parse_datatype_json_string(out_json))
         own, part, number = Aligner(tokenizer, model, links), TaskContext.get().partitionId(), 0
 
         def done(ids: list, texts: list[str]) -> pa.RecordBatch:
@@ -192,9 +190,6 @@ def aligned(docs: DataFrame, tokenizer: str, model: str, links: str = "end", wit
         if ids:
             yield done(ids, texts)
 
-    from pyspark.sql.types import _parse_datatype_string
-
-    out_json = _parse_datatype_string(schema).json()
     return rows.mapInArrow(run, schema)
 
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,3 +107,11 @@ def text_or_empty(c: str | Column = "text") -> Column:
 def parts(df: DataFrame, at_least: int = 1) -> int:
     """The session's number of shuffle partitions."""
     return max(at_least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow schema of Spark columns in DDL."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_schema(_parse_datatype_string(ddl))

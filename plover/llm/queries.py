@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plover.llm import align, chat_format, exact_dedup, packing, simhash, source_mix, suffix_dedup, token_count, topk, toxicity, url_filter
+from plover.llm import align, chat_format, exact_dedup, packing, repair, simhash, source_mix, suffix_dedup, token_count, topk, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,13 +91,17 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))[0]
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))[0]
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_top_k": op2_top_k, "op3_toxicity": op3_toxicity, "op4_chat_format": op4_chat_format, "op5_exact_dedup": op5_exact_dedup, "op6_token_count": op6_token_count, "op7_suffix_dedup": op7_suffix_dedup, "op8_source_mix": op8_source_mix, "op9_url_filter": op9_url_filter, "op10_simhash": op10_simhash, "op13_alignment": op13_alignment}
+QUERIES = {"op1_packing": op1_packing, "op2_top_k": op2_top_k, "op3_toxicity": op3_toxicity, "op4_chat_format": op4_chat_format, "op5_exact_dedup": op5_exact_dedup, "op6_token_count": op6_token_count, "op7_suffix_dedup": op7_suffix_dedup, "op8_source_mix": op8_source_mix, "op9_url_filter": op9_url_filter, "op10_simhash": op10_simhash, "op11_repair": op11_repair, "op13_alignment": op13_alignment}
 
 _UP, _LO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
