@@ -90,8 +90,8 @@ class Aligner:
 
         self.a, self.b, self.overlap = byte_level(tokenizer), pieces(model), links == "overlap"
         self.size = [np.array([len(t) for t in side[1]], dtype=np.int64) for side in (self.a, self.b)]
-        names = lambda n, end: np.array([f"{i}{end}" for i in range(n)], dtype=object)
-        self.text = [(names(len(self.a[1]), ","), names(len(self.a[1]), "|")), (names(len(self.b[1]), ","), names(len(self.b[1]), ";"))]
+        # Ids as text, with the mark that follows one inside its group, then all with the mark after a group's last.
+        self.text = [np.array([f"{i}{mark}" for mark in marks for i in range(len(side[1]))], dtype=object) for side, marks in ((self.a, ",|"), (self.b, ",;"))]
         # A pair's code is its first id times the second vocabulary's size, plus its second id.
         self.width = width(tokenizer, model)
         # A chunk's tables are bounded, so nothing need go to a disk.
@@ -135,15 +135,15 @@ class Aligner:
             db.execute(f"CREATE OR REPLACE TEMP TABLE pairs AS SELECT greatest(p.s, q.s) AS e, p.id * {len(self.b[1])} + q.id AS c FROM {with_g('a')} p JOIN {with_g('b')} q ON p.g = q.g AND p.s < q.e AND q.s < p.e")
         else:
             db.execute(f"CREATE OR REPLACE TEMP TABLE pairs AS SELECT e - 1 AS e, x * {len(self.b[1])} + y AS c FROM cuts")
-        found = db.execute("SELECT e, c FROM pairs ORDER BY e, c").fetchnumpy()
-        count = db.execute("SELECT c, count(*) AS n FROM pairs GROUP BY c ORDER BY c").fetchnumpy()
+        found = db.execute(f"SELECT e, c FROM pairs ORDER BY e{', c' if self.overlap else ''}").fetchnumpy()
+        count = db.execute("SELECT c, count(*) AS n FROM pairs GROUP BY c").fetchnumpy()
         # Groups as text: a group's tokens of A, then those of B, each with the mark that follows it.
         n_groups = int(group[0][-1]) + 1
         before = [np.concatenate([[0], np.cumsum(np.bincount(g, minlength=n_groups))]) for g in group]
         shown = np.empty(len(a) + len(b), dtype=object)
         for k, (ids, g) in enumerate(zip((a, b), group, strict=True)):
             last = np.append(g[1:] != g[:-1], True)
-            shown[np.arange(len(ids)) + before[1 - k][g + k]] = np.where(last, self.text[k][1][ids], self.text[k][0][ids])
+            shown[np.arange(len(ids)) + before[1 - k][g + k]] = self.text[k][ids + last * (len(self.text[k]) // 2)]
         n_a, n_b = (np.cumsum([len(got[i][k]) for i in at]) for k in (0, 1))
         stop = ends[0][n_a - 1]
         at_link, at_group = np.searchsorted(found["e"], stop), group[0][n_a - 1] + 1
