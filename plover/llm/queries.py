@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plover.llm import align, chat_format, exact_dedup, packing, repair, simhash, source_mix, suffix_dedup, token_count, topk, toxicity, url_filter
+from plover.llm import align, caps, chat_format, exact_dedup, packing, repair, simhash, source_mix, suffix_dedup, token_count, topk, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,13 +95,17 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))[0]
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))[0]
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_top_k": op2_top_k, "op3_toxicity": op3_toxicity, "op4_chat_format": op4_chat_format, "op5_exact_dedup": op5_exact_dedup, "op6_token_count": op6_token_count, "op7_suffix_dedup": op7_suffix_dedup, "op8_source_mix": op8_source_mix, "op9_url_filter": op9_url_filter, "op10_simhash": op10_simhash, "op11_repair": op11_repair, "op13_alignment": op13_alignment}
+QUERIES = {"op1_packing": op1_packing, "op2_top_k": op2_top_k, "op3_toxicity": op3_toxicity, "op4_chat_format": op4_chat_format, "op5_exact_dedup": op5_exact_dedup, "op6_token_count": op6_token_count, "op7_suffix_dedup": op7_suffix_dedup, "op8_source_mix": op8_source_mix, "op9_url_filter": op9_url_filter, "op10_simhash": op10_simhash, "op11_repair": op11_repair, "op12_embedding_dedup": op12_embedding_dedup, "op13_alignment": op13_alignment}
 
 _UP, _LO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -138,6 +142,13 @@ WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{_UP}', '{_LO}') AS t F
 g AS (SELECT t, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM n GROUP BY t)
 SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(n.t) AS text_sha256
 FROM n JOIN g ON n.t = g.t""",
+    "op12_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding, list_transform(embedding, lambda x: x::DOUBLE) AS e, embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok FROM embeddings),
+u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v WHERE ok),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) >= 0.95),
+c(x, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.y, c.r FROM c JOIN l ON c.x = l.x WHERE c.r < l.y),
+n AS (SELECT x, count(*) AS k FROM l GROUP BY x), m AS (SELECT x, min(r) AS r FROM c GROUP BY x)
+SELECT vec_id, coalesce(k, 0)::BIGINT AS n_links, m.r AS component_id, m.r = vec_id AS kept FROM embeddings JOIN m ON m.x = vec_id LEFT JOIN n ON n.x = vec_id""",
     "op9_url_filter": """
 WITH u AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 b AS (SELECT page_id, regexp_extract(rest, '^([^?#]*)', 1) AS bare FROM u),
