@@ -243,7 +243,10 @@ def hdbscan(d: np.ndarray, min_size: int) -> np.ndarray:
 
 
 def parallel_analysis(x: np.ndarray, n_sim: int = 100, level: float = 0.95, seed: int = 42, standardize: bool = False) -> int:
-    """Components whose eigenvalue is above the level's percentile of those of normal noise; 1 at least."""
+    """Components whose eigenvalue is above the level's percentile of those of normal noise; 1 at least.
+
+    Centring takes a rank away, so an eigenvalue that is rounding noise beside the largest is no component.
+    """
     n, p = x.shape
     if p == 1:
         return 1
@@ -256,7 +259,8 @@ def parallel_analysis(x: np.ndarray, n_sim: int = 100, level: float = 0.95, seed
     obs = eig((x - x.mean(0)) / scaler(x)[1] if standardize else x)
     rng = np.random.RandomState(seed)
     sims = np.array([eig(rng.normal(size=(n, p))) for _ in range(n_sim)])
-    return max(1, int((obs > np.percentile(sims, level * 100, axis=0)).sum()))
+    real = obs > obs[0] * max(n, p) * np.finfo(float).eps
+    return max(1, int((real & (obs > np.percentile(sims, level * 100, axis=0))).sum()))
 
 
 def fast_ica(x: np.ndarray, k: int, max_iter: int = 1000, tol: float = 1e-4, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
