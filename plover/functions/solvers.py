@@ -15,16 +15,17 @@ def soft(x: np.ndarray | float, t: float) -> np.ndarray | float:
     return np.sign(x) * np.maximum(np.abs(x) - t, 0.0)
 
 
-def enet_gram(g: np.ndarray, c: np.ndarray, alpha: float, rho: float, max_iter: int = 10_000, tol: float = 1e-10) -> tuple[np.ndarray, bool]:
+def enet_gram(g: np.ndarray, c: np.ndarray, alpha: float, rho: float, max_iter: int = 10_000, tol: float = 1e-10, start: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
     """Coordinate descent on moments: minimises b'Gb/2 - c'b + alpha rho |b|_1 + alpha (1 - rho) |b|^2 / 2.
 
     ``c`` of shape (P,) is one task; (P, T) is multi-task, with the penalty on rows' norms and so one shared support.
+    ``start`` is where to begin, else zero.
     """
     single = c.ndim == 1
     c2 = c[:, None] if single else c
     p = len(g)
-    b = np.zeros_like(c2)
-    grad = c2.copy()  # c - G b
+    b = np.zeros_like(c2) if start is None else start.reshape(c2.shape).astype(float)
+    grad = c2 - g @ b
     l1, den = alpha * rho, np.diag(g) + alpha * (1 - rho)
     active = np.arange(p)
     scale = max(1.0, float(np.abs(c2).max(initial=0)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plover.config import Config, Roles
 from plover.operators import ingest, splits, stats, transforms
 from plover.sources import tables
-from plover.sources.work import shared_dir, sink
+from plover.sources.work import save, shared_dir, sink
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -767,9 +767,20 @@ def nested_cv_multitask(spark, sf):
     return _performance(spark, sf, "multitask")
 
 
+def _classified(spark, sf, kind):
+    """Classification over rows that stay in their partitions."""
+    from types import SimpleNamespace
+
+    from plover.plans import logistic, report
+
+    df, cfg = subject_table(spark, sf, kind)
+    oof, _, _, classes = logistic.nested_cv(df, cfg)
+    return report.performance(SimpleNamespace(cfg=cfg, block=SimpleNamespace(classes=classes)), save(oof, "out-of-fold"))
+
+
 @query()
 def nested_cv_binary(spark, sf):
-    return _performance(spark, sf, "binary")
+    return _classified(spark, sf, "binary")
 
 
 @query()
@@ -777,6 +788,12 @@ def nested_cv_multiclass(spark, sf):
     return _performance(spark, sf, "multiclass")
 
 
+@query()
+def nested_cv_binary_block(spark, sf):
+    """The same by the path of tables that fit a task."""
+    return _performance(spark, sf, "binary")
+
+
 @query()
 def nested_cv_moments(spark, sf):
     from plover.plans import moments
