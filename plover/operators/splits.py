@@ -136,6 +136,58 @@ def half_subsample(df: DataFrame, seed: int, row_id: str = "row_id") -> DataFram
     return ranked.filter(F.col("rn") < F.expr("n div 2")).drop("h", "rn", "n")
 
 
+def bootstrap_counts(df: DataFrame, seeds: list[tuple[int, int]], w: str | None = None, row_id: str = "row_id") -> DataFrame:
+    """``row_id, seeds ARRAY``: of every row, the numbers of the seeds that draw it, each as often as it does.
+
+    ``seeds`` are (number, seed); a seed's draws are those of :func:`bootstrap_draw`, or of :func:`weighted_bootstrap_draw` if ``w`` is given.
+    """
+    spark = df.sparkSession
+    listed = spark.createDataFrame(seeds, "i long, seed long")
+    ranked = hash_rank(df.select(row_id), 0, row_id=row_id).select(row_id, "rn", "n")
+    name = "wboot" if w else "boot"
+    draws = ranked.select("rn", "n").join(F.broadcast(listed), how="cross")  # rows x the seeds of one group
+    draws = draws.withColumn("u", uniform(F.md5(F.concat_ws("|", F.concat(F.lit(name), F.col("seed").cast("string")), F.col("rn").cast("string")))))
+    if w is None:
+        picked = draws.select(F.floor(F.col("u") * F.col("n")).cast("bigint").alias("pick"), "i").groupBy("pick").agg(F.collect_list("i").alias("seeds"))
+        return picked.join(ranked.select(F.col("rn").alias("pick"), row_id), "pick").select(row_id, "seeds")
+    cells = max(1, df.count())
+    spans = cumulative_weight(df.select(row_id, w), w, row_id).filter(F.col("hi") > F.col("lo"))
+    spans = spans.select(row_id, "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.lit(cells - 1), F.floor(F.col("hi") * cells)))).alias("s_cell"))
+    draws = draws.select("i", "u", F.floor(F.col("u") * cells).alias("cell"))
+    met = draws.join(spans, (F.col("cell") == F.col("s_cell")) & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
+    return met.groupBy(row_id).agg(F.collect_list("i").alias("seeds"))
+
+
+def half_members(df: DataFrame, seeds: list[tuple[int, int]], row_id: str = "row_id") -> DataFrame:
+    """``row_id, seeds ARRAY``: the numbers of the seeds (number, seed) whose half sample, as of :func:`half_subsample`, holds the row.
+
+    Rows aren't ordered: a histogram of each seed's hashes finds the bucket in which its half ends, and only that bucket's rows are ranked for the hash at which it does.
+    """
+    spark = df.sparkSession
+    listed = spark.createDataFrame(seeds, "i long, seed long")
+    h = order_hash(F.col("seed"), F.col(row_id))
+    every = df.select(row_id).join(F.broadcast(listed), how="cross").select("i", row_id, h.alias("h"), F.substring(h, 1, DIGITS).alias("b"))
+    total = df.count()
+    size = every.groupBy("i", "b").agg(F.count("*").alias("c"))  # a row a bucket and seed
+    size = size.withColumn("upto", F.sum("c").over(Window.partitionBy("i").orderBy("b")))
+    ends = size.filter((F.col("upto") - F.col("c") < total // 2) & (F.col("upto") >= total // 2)).select(F.col("i").alias("e_i"), F.col("b").alias("e_b"), (F.lit(total // 2) - F.col("upto") + F.col("c")).alias("k"))
+    rank = F.row_number().over(Window.partitionBy("i").orderBy("h", row_id))
+    last = every.join(F.broadcast(ends), (F.col("i") == F.col("e_i")) & (F.col("b") == F.col("e_b"))).withColumn("rn", rank).filter("rn = k")
+    last = last.select(F.col("i").alias("l_i"), F.col("h").alias("l_h"), F.col(row_id).alias("l_id"))  # a row a seed
+    inside = every.join(F.broadcast(last), (F.col("i") == F.col("l_i")) & ((F.col("h") < F.col("l_h")) | ((F.col("h") == F.col("l_h")) & (F.col(row_id) <= F.col("l_id")))))
+    return inside.groupBy(row_id).agg(F.collect_list("i").alias("seeds"))
+
+
+def permuted_values(df: DataFrame, column: str, seeds: list[tuple[int, int]], row_id: str = "row_id") -> DataFrame:
+    """``row_id, given ARRAY``: what :func:`permuted` gives each row in ``column`` for every seed (number, seed), in their order."""
+    spark = df.sparkSession
+    listed = spark.createDataFrame(seeds, "i long, seed long")
+    to = hash_rank(df.select(row_id), 0, row_id=row_id).select(row_id, "rn")
+    every = df.select(row_id, column).join(F.broadcast(listed), how="cross")
+    give = hash_rank(every, F.col("seed"), by=["i"], row_id=row_id).groupBy("rn").agg(F.sort_array(F.collect_list(F.struct("i", column))).alias("g"))
+    return to.join(give, "rn").select(row_id, F.transform("g", lambda x: x[column]).alias("given"))
+
+
 def fold_residualize(df: DataFrame, y: str = "y", x: str = "x", fold: str = "fold") -> DataFrame:
     """``fold, row_id, part, residual`` for one covariate: the line fitted to a fold's training rows, taken from all rows.
 

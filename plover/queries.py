@@ -655,6 +655,45 @@ def fold_residualize(spark, sf):
     return splits.fold_residualize(f).withColumn("residual", F.round("residual", 4) + 0.0)
 
 
+SEEDS = [(0, 9), (1, 12), (2, 345)]
+SEEDS_SQL = "seeds(i, seed) AS (VALUES (0, 9), (1, 12), (2, 345))"
+RANKED = "o AS (SELECT row_id, w, y, (row_number() OVER (ORDER BY md5('0|' || row_id), row_id) - 1)::BIGINT AS rn, count(*) OVER () AS n FROM cust)"
+
+
+@query(f"WITH {CUST}, {SEEDS_SQL}, {RANKED}, d AS (SELECT i, floor({U32.format(s="'boot' || seed::VARCHAR || '|' || rn::VARCHAR")} * n)::BIGINT AS pick FROM o, seeds) SELECT o.row_id, i::BIGINT AS seed, count(*)::BIGINT AS times FROM d JOIN o ON o.rn = pick GROUP BY 1, 2")
+def bootstrap_counts(spark, sf):
+    d = splits.bootstrap_counts(cust(spark, sf).select("row_id"), SEEDS)
+    return d.select("row_id", F.explode("seeds").alias("seed")).groupBy("row_id", "seed").agg(F.count("*").alias("times"))
+
+
+@query(f"WITH {CUST}, {SEEDS_SQL}, {RANKED}, c AS (SELECT row_id, (sum(w) OVER (ORDER BY rn) - w) / sum(w) OVER () AS lo, sum(w) OVER (ORDER BY rn) / sum(w) OVER () AS hi FROM o), d AS (SELECT i, {U32.format(s="'wboot' || seed::VARCHAR || '|' || rn::VARCHAR")} AS u FROM o, seeds) SELECT row_id, i::BIGINT AS seed, count(*)::BIGINT AS times FROM d JOIN c ON u >= lo AND u < hi GROUP BY 1, 2")
+def weighted_bootstrap_counts(spark, sf):
+    d = splits.bootstrap_counts(cust(spark, sf).select("row_id", "w"), SEEDS, "w")
+    return d.select("row_id", F.explode("seeds").alias("seed")).groupBy("row_id", "seed").agg(F.count("*").alias("times"))
+
+
+@query(f"WITH {CUST}, {SEEDS_SQL}, r AS (SELECT row_id, i, row_number() OVER (PARTITION BY i ORDER BY md5(seed::VARCHAR || '|' || row_id), row_id) AS k, count(*) OVER (PARTITION BY i) AS n FROM cust, seeds) SELECT row_id, i::BIGINT AS seed FROM r WHERE k <= n // 2")
+def half_members(spark, sf):
+    return splits.half_members(cust(spark, sf).select("row_id"), SEEDS).select("row_id", F.explode("seeds").alias("seed"))
+
+
+@query(f"WITH {CUST}, {SEEDS_SQL}, {RANKED}, g AS (SELECT i, y, row_number() OVER (PARTITION BY i ORDER BY md5(seed::VARCHAR || '|' || row_id), row_id) - 1 AS rn FROM cust, seeds) SELECT row_id, i::INT AS seed, {R('g.y')} AS y FROM o JOIN g USING (rn)")
+def permuted_values(spark, sf):
+    d = splits.permuted_values(cust(spark, sf).select("row_id", "y"), "y", SEEDS)
+    return d.select("row_id", F.posexplode("given").alias("seed", "y")).select("row_id", "seed", r6("y").alias("y"))
+
+
+@query(f"WITH {CUST}, {SEEDS_SQL}, {RANKED}, d AS (SELECT i, floor({U32.format(s="'boot' || seed::VARCHAR || '|' || rn::VARCHAR")} * n)::BIGINT AS pick FROM o, seeds), x AS (SELECT i, cust.* FROM d JOIN o ON o.rn = pick JOIN cust USING (row_id)) SELECT i::BIGINT AS seed, round(count(*), 3) AS n, round(sum(c), 3) AS s_c, round(sum(c * c), 3) AS s_cc, round(sum(c * y) / 1000, 3) + 0.0 AS s_cy, round(sum(y * y) / 1000000, 3) AS s_yy FROM x GROUP BY i")
+def bootstrap_moments(spark, sf):
+    from plover.plans import resample
+
+    df = cust(spark, sf).select("row_id", "y", F.col("c").alias("x_nation"))
+    t = resample.Table(df, Config(Roles("row_id", "y", "x_"), outer_folds=5, inner_folds=3, n_candidates=1))
+    g = resample.sample_moments(t, splits.bootstrap_counts(t.rows, SEEDS), SEEDS)
+    at = lambda k, div=1: F.round(F.col("g")[k] / div, 3) + F.lit(0.0)
+    return g.select(F.col("i").alias("seed"), at(0).alias("n"), at(1).alias("s_c"), at(3).alias("s_cc"), at(4, 1000).alias("s_cy"), at(5, 1_000_000).alias("s_yy"))
+
+
 # --- transformers ------------------------------------------------------------------------------------------------------------------------
 
 
@@ -821,34 +860,52 @@ def tier1_report(spark, sf):
     return report.tier1(run.coefficients(), run.n_folds, run.cfg.ci_level)
 
 
+def moment_table(spark: SparkSession, sf: str, kind: str = "regression"):
+    """The table of a regression and its folds' parameters, by moments."""
+    from plover.plans import moments, resample
+
+    df, cfg = subject_table(spark, sf, kind)
+    return resample.Table(df, cfg), moments.nested_cv(df, cfg)
+
+
 @query()
 def bootstrap_report(spark, sf):
-    from plover.plans import report
+    from plover.plans import report, resample
 
-    run = run_of(spark, sf, "regression")
-    long = tables.to_long(subject_table(spark, sf, "regression")[0], "SUBJ_ID", NAMES)
-    return report.importance(run.bootstrap(), report.feature_scale(run, long), run.cfg.ci_level)
+    t, (_, _, params) = moment_table(spark, sf)
+    return report.importance(resample.bootstrap(t, params), resample.feature_scale(t), t.cfg.ci_level)
+
+
+@query()
+def bootstrap_report_weighted(spark, sf):
+    from plover.plans import report, resample
+
+    t, (_, _, params) = moment_table(spark, sf, "weighted")
+    return report.tier2(resample.bootstrap(t, params), t.cfg.ci_level)
 
 
 @query()
 def selection_report(spark, sf):
-    return stats.selection_frequency(run_of(spark, sf, "regression").selection())
+    from plover.plans import resample
+
+    t, (_, _, params) = moment_table(spark, sf)
+    return stats.selection_frequency(resample.selection(t, params))
 
 
 @query()
 def permutation_test(spark, sf):
-    from plover.plans import report
+    from plover.plans import report, resample
 
-    run = run_of(spark, sf, "regression")
-    return report.permutation_result(run.null_scores(), run.score())
+    t = resample.Table(*subject_table(spark, sf, "regression"))
+    return report.permutation_result(resample.null_scores(t), resample.observed_score(t))
 
 
 @query()
 def block_permutation_test(spark, sf):
-    from plover.plans import report
+    from plover.plans import report, resample
 
-    run = run_of(spark, sf, "regression")
-    return report.block_result(run.block_null_scores(), run.score())
+    t = resample.Table(*subject_table(spark, sf, "regression"))
+    return report.block_result(resample.block_null_scores(t), resample.observed_score(t))
 
 
 @query()
