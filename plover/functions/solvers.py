@@ -21,21 +21,21 @@ def enet_gram(g: np.ndarray, c: np.ndarray, alpha: float, rho: float, max_iter:
     ``c`` of shape (P,) is one task; (P, T) is multi-task, with the penalty on rows' norms and so one shared support.
     ``start`` is where to begin, else zero.
     """
-    single = c.ndim == 1
-    c2 = c[:, None] if single else c
+    if c.ndim == 1:
+        return _enet_one(np.ascontiguousarray(g, dtype=float), c, alpha, rho, max_iter, tol, start)
     p = len(g)
-    b = np.zeros_like(c2) if start is None else start.reshape(c2.shape).astype(float)
-    grad = c2 - g @ b
+    b = np.zeros_like(c) if start is None else start.reshape(c.shape).astype(float)
+    grad = c - g @ b
     l1, den = alpha * rho, np.diag(g) + alpha * (1 - rho)
     active = np.arange(p)
-    scale = max(1.0, float(np.abs(c2).max(initial=0)))
+    scale = max(1.0, float(np.abs(c).max(initial=0)))
     for it in range(max_iter):
         full = it % 10 == 0 or len(active) == p
         move = 0.0
         for j in range(p) if full else active:
             old = b[j].copy()
             r = grad[j] + g[j, j] * old
-            n = abs(r[0]) if single else float(np.sqrt(r @ r))
+            n = float(np.sqrt(r @ r))
             new = r * (max(0.0, 1 - l1 / n) / den[j]) if n > 0 and den[j] > 0 else np.zeros_like(r)
             d = new - old
             if d.any():
@@ -44,11 +44,40 @@ def enet_gram(g: np.ndarray, c: np.ndarray, alpha: float, rho: float, max_iter:
                 move = max(move, float(np.abs(d).max()) * max(1e-12, float(g[j, j])))
         if move <= tol * scale:
             if full:
-                return (b[:, 0] if single else b), True
+                return b, True
             active = np.arange(p)
         else:
             active = np.flatnonzero(b.any(1))
-    return (b[:, 0] if single else b), False
+    return b, False
+
+
+def _enet_one(g: np.ndarray, c: np.ndarray, alpha: float, rho: float, max_iter: int, tol: float, start: np.ndarray | None) -> tuple[np.ndarray, bool]:
+    """Coordinate descent of one task: a coordinate costs a few numbers and, if it moves, one row of ``g``."""
+    p = len(g)
+    b = [0.0] * p if start is None else [float(x) for x in start]
+    grad = c - g @ np.array(b)
+    l1, diag = alpha * rho, np.diag(g).tolist()
+    den = [x + alpha * (1 - rho) for x in diag]
+    active, scale = range(p), max(1.0, float(np.abs(c).max(initial=0)))
+    for it in range(max_iter):
+        full = it % 10 == 0 or len(active) == p
+        move = 0.0
+        for j in range(p) if full else active:
+            old = b[j]
+            r = float(grad[j]) + diag[j] * old
+            over = abs(r) - l1
+            new = (over if r > 0 else -over) / den[j] if over > 0 and den[j] > 0 else 0.0
+            if new != old:
+                b[j] = new
+                grad -= g[j] * (new - old)
+                move = max(move, abs(new - old) * max(1e-12, diag[j]))
+        if move <= tol * scale:
+            if full:
+                return np.array(b), True
+            active = range(p)
+        else:
+            active = [j for j in range(p) if b[j]]
+    return np.array(b), False
 
 
 def kkt_residual(g: np.ndarray, c: np.ndarray, b: np.ndarray, alpha: float, rho: float) -> float:

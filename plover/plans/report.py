@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plover.config import LOG, Config, load_config
 from plover.operators import ingest, splits, stats, transforms
-from plover.plans.runs import PARAMS, Run, collect_block
+from plover.plans.runs import MAX_CELLS, PARAMS, Run, collect_block
 from plover.sources import tables
 from plover.sources.work import save, sink
 
@@ -101,11 +101,15 @@ def plotting(run: Run, report: DataFrame, rows_long: DataFrame) -> DataFrame:
     y = b.y if b.y.ndim == 2 else b.y[:, None]
     rows = [(i, t, float(y[n, min(k, y.shape[1] - 1)]), float(z[n, k])) for n, i in enumerate(b.ids) for k, t in enumerate(b.tasks)]
     base = run.spark.createDataFrame(rows, "row_id string, task string, y double, linear double")
+    return _partial_effects(base, b.tasks, report, rows_long, run.cfg.is_classification)
+
+
+def _partial_effects(base: DataFrame, tasks: list[str], report: DataFrame, rows_long: DataFrame, classification: bool) -> DataFrame:
     coef = save(stats.significant(report).select("task", "feature", F.col("std_coef_mean").alias("coef")), "significant")
     out = None
-    for t in b.tasks:
+    for t in tasks:
         own = coef.filter(F.col("task") == t).select("feature", "coef")
-        part = transforms.plotting(base.filter(F.col("task") == t).join(rows_long.join(F.broadcast(own.select("feature")), "feature"), "row_id"), own, run.cfg.is_classification).withColumn("task", F.lit(t))
+        part = transforms.plotting(base.filter(F.col("task") == t).join(rows_long.join(F.broadcast(own.select("feature")), "feature"), "row_id"), own, classification).withColumn("task", F.lit(t))
         out = part if out is None else out.unionByName(part)
     return out.select("task", F.col("row_id").alias("subject_id"), "outcome_raw", "feature_name", "y_axis_value", "x_value")
 
@@ -126,6 +130,8 @@ def _describe(run: Run, long: DataFrame) -> None:
 def analyse(spark: SparkSession, df: DataFrame, cfg: Config, cluster_map: DataFrame | None = None, permute: bool = True) -> dict[str, DataFrame]:
     """The whole analysis: every report by name, also written to ``cfg.output_dir`` if that is set."""
     out_dir, out = cfg.output_dir, {}
+    if by_moments(df, cfg):
+        return analyse_moments(spark, df, cfg, permute)
     run = Run(spark, collect_block(df, cfg, cluster_map), cfg)
 
     def put(name: str, frame: DataFrame, **kw) -> DataFrame:
@@ -181,6 +187,70 @@ def analyse(spark: SparkSession, df: DataFrame, cfg: Config, cluster_map: DataFr
     return out
 
 
+def by_moments(df: DataFrame, cfg: Config, max_cells: int | None = None) -> bool:
+    """Whether a table is too large for a block, and of a kind that moments serve."""
+    if cfg.is_classification or cfg.reduction != "none" or cfg.covariate_method == "pre_regress" or isinstance(cfg.outer_folds, str) or isinstance(cfg.inner_folds, str):
+        return False
+    rows, names = ingest.role_projection(df, cfg)
+    return rows.count() * max(1, len(names)) > (MAX_CELLS if max_cells is None else max_cells)
+
+
+def analyse_moments(spark: SparkSession, df: DataFrame, cfg: Config, permute: bool = True) -> dict[str, DataFrame]:
+    """The reports of :func:`analyse` for a regression on any number of rows."""
+    from types import SimpleNamespace
+
+    from plover.plans import moments, resample
+
+    t, out = resample.Table(df, cfg), {}
+
+    def put(name: str, frame: DataFrame, **kw) -> DataFrame:
+        out[name] = sink(frame, cfg.output_dir, name, **kw)
+        return frame
+
+    by_task = {"partition_by": ("task",)} if len(t.tasks) > 1 else {}
+    oof, coefs, params = moments.nested_cv(df, cfg)
+    oof, params = save(oof, "out-of-fold"), save(params, "fold-params")
+    score = stats.macro_regression(stats.regression_metrics(oof)).first().r2
+    LOG.info("%s of nested cross-validation: %.6f", cfg.metric, score)
+    put("out_of_fold", oof, fmt="parquet", one_file=False)
+    put("nested_cv_scores", spark.createDataFrame([(score,)], "score double"))
+    put("model_performance", performance(SimpleNamespace(cfg=cfg, block=SimpleNamespace(classes=[], tasks=t.tasks)), oof))
+    put("report_fold_diagnostics", params.select(F.col("fold").alias("fold_idx"), F.col("alpha_or_c").alias("alpha_or_C"), "l1_ratio", "penalty_weight"))
+    put("report_fold_params_summary", stats.param_summary(params, PARAMS))
+    put("report_fold_ensemble_importance", tier1(coefs, int(cfg.outer_folds), cfg.ci_level), **by_task)
+    sel = resample.selection(t, params)
+    put("report_selection_frequency", stats.selection_union(sel))
+    if by_task:
+        put("report_selection_frequency_tasks", stats.selection_frequency(sel, ("task", "feature")), **by_task)
+    boot = resample.bootstrap(t, params)
+    put("report_fold_bootstrap_ci", tier2(boot, cfg.ci_level), **by_task)
+    report = put("report_feature_importance", importance(boot, resample.feature_scale(t), cfg.ci_level), **by_task)
+    if cfg.save_distributions:
+        put("bootstrap_coef_distribution", boot, fmt="parquet", one_file=False)
+    if stats.significant(report).limit(1).count():
+        base = save(resample.linear_predictor(t, params), "linear-predictor")
+        long = tables.to_long(ingest.listwise_deletion(df), cfg.roles.row_id, t.names).withColumn("row_id", F.col("row_id").cast("string"))
+        put("report_individual_plotting", _partial_effects(base, t.tasks, report, long, False), one_file=False)
+    if permute and cfg.n_permutations:
+        null = resample.null_scores(t)
+        put(f"permutation_null_distribution_{cfg.metric}", null.select(F.col("score").alias(f"null_{cfg.metric}")))
+        put("permutation_result", permutation_result(null, score))
+    if cfg.blocks:
+        null = resample.block_null_scores(t)
+        put("block_perm_null", null, partition_by=("block",))
+        put("report_block_permutation", block_result(null, score))
+    return out
+
+
+def perm_worker_moments(df: DataFrame, cfg: Config, job_id: int, n_jobs: int) -> DataFrame:
+    """One job's part of the label permutations of a large table."""
+    from plover.plans import resample
+
+    mine = splits.seed_partition(splits.seed_frame(df.sparkSession, cfg.n_permutations), n_jobs).filter(F.col("job") == job_id).orderBy("i")
+    null = resample.null_scores(resample.Table(df, cfg), seeds=[r.seed for r in mine.select("seed").collect()])  # seeds, not rows
+    return sink(null.select(F.col("score").alias(f"null_{cfg.metric}")), cfg.output_dir, f"perm_chunk_{job_id}.csv")
+
+
 def perm_worker(run: Run, job_id: int, n_jobs: int) -> DataFrame:
     """One job's part of the label permutations, as a chunk with its own file."""
     cfg, spark = run.cfg, run.spark
@@ -236,7 +306,10 @@ def main(argv: list[str] | None = None) -> int:
         df = tables.scan_subjects(spark, cfg.data_file, cfg.roles)
         cmap = tables.scan_cluster_map(spark, cfg.cluster_map_file) if cfg.cluster_map_file else None
         if a.mode == "perm_worker":
-            perm_worker(Run(spark, collect_block(df, cfg, cmap), cfg), a.job_id, a.n_jobs)
+            if by_moments(df, cfg):
+                perm_worker_moments(df, cfg, a.job_id, a.n_jobs)
+            else:
+                perm_worker(Run(spark, collect_block(df, cfg, cmap), cfg), a.job_id, a.n_jobs)
         else:
             analyse(spark, df, cfg, cmap, permute=not a.skip_main_perm)
         return 0

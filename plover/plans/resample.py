@@ -216,12 +216,12 @@ def score_cells(cells: dict[tuple[int, int, int, int], np.ndarray], cfg: Config,
         return float(np.mean(1 - sse / sst))
 
 
-def _moved(t: Table, columns: dict[str, list[int] | None], n: int) -> DataFrame:
+def _moved(t: Table, columns: dict[str, list[int] | None], seeds: list[int]) -> DataFrame:
     """``block, seed, score``: for each block of features (None: the outcomes), every seed's score with those columns permuted jointly."""
     cfg, size, n_tasks, n_covs = t.cfg, t.size, len(t.tasks), len(t.cov)
     assigned = save(moments.assign(t.rows, cfg), "resample-assigned")
     shared = t.spark.sparkContext.broadcast(_cells(t, assigned))
-    seeds, n_cells = splits.seed_stream(n, 42), len({k[:3] for k in shared.value})
+    n_cells = len({k[:3] for k in shared.value})
 
     def group_scores(block: str, at: list[int] | None, where: np.ndarray, group: list[tuple[int, int]]) -> DataFrame:
         rest, width, many = np.setdiff1d(np.arange(size), where), len(where), len(group)
@@ -270,15 +270,27 @@ def _moved(t: Table, columns: dict[str, list[int] | None], n: int) -> DataFrame:
     return out
 
 
-def null_scores(t: Table, n: int | None = None) -> DataFrame:
-    """``seed, score`` of nested cross-validations with permuted outcomes (tasks move together)."""
-    return _moved(t, {"": None}, t.cfg.n_permutations if n is None else n).select("seed", "score")
+def null_scores(t: Table, n: int | None = None, seeds: list[int] | None = None) -> DataFrame:
+    """``seed, score`` of nested cross-validations with permuted outcomes (tasks move together); of ``seeds``, else of the stream's first ``n``."""
+    return _moved(t, {"": None}, splits.seed_stream(t.cfg.n_permutations if n is None else n, 42) if seeds is None else seeds).select("seed", "score")
 
 
 def block_null_scores(t: Table, n: int | None = None) -> DataFrame:
     """``block, seed, score`` with the rows of a block's columns permuted jointly; all blocks share their seeds."""
     at = {k: [t.names.index(f) for f in ingest.block_columns(t.names, v)] for k, v in t.cfg.blocks.items()}
-    return _moved(t, {k: v for k, v in at.items() if v}, t.cfg.n_block_permutations if n is None else n)
+    return _moved(t, {k: v for k, v in at.items() if v}, splits.seed_stream(t.cfg.n_block_permutations if n is None else n, 42))
+
+
+def linear_predictor(t: Table, params: DataFrame, fold: int = 0) -> DataFrame:
+    """``row_id, task, y, linear``: a fold's model on every row."""
+    cells = _cells(t, moments.assign(t.rows, t.cfg))
+    train = [sum(m for (f, r, _, k), m in cells.items() if k == kind and r == 0 and f != fold) for kind in (0, 1)]
+    m = moments.solve(*train, len(t.tasks), len(t.cov), params.filter(F.col("fold") == fold).select(*PARAMS).first().asDict())
+    beta = m.coef / m.scale
+    rows = [(k, name, beta[k].tolist(), float(m.intercept[k] - m.mean @ beta[k])) for k, name in enumerate(t.tasks)]
+    models = t.spark.createDataFrame(rows, "k int, task string, beta array<double>, beta0 double")  # a row a task
+    dot = F.aggregate(F.zip_with("design", "beta", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return t.rows.join(F.broadcast(models), how="cross").select("row_id", "task", F.get("y", F.col("k")).alias("y"), (dot + F.col("beta0")).alias("linear"))
 
 
 def observed_score(t: Table) -> float:

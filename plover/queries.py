@@ -806,20 +806,9 @@ def nested_cv_multitask(spark, sf):
     return _performance(spark, sf, "multitask")
 
 
-def _classified(spark, sf, kind):
-    """Classification over rows that stay in their partitions."""
-    from types import SimpleNamespace
-
-    from plover.plans import logistic, report
-
-    df, cfg = subject_table(spark, sf, kind)
-    oof, _, _, classes = logistic.nested_cv(df, cfg)
-    return report.performance(SimpleNamespace(cfg=cfg, block=SimpleNamespace(classes=classes)), save(oof, "out-of-fold"))
-
-
 @query()
 def nested_cv_binary(spark, sf):
-    return _classified(spark, sf, "binary")
+    return _performance(spark, sf, "binary")
 
 
 @query()
@@ -828,9 +817,15 @@ def nested_cv_multiclass(spark, sf):
 
 
 @query()
-def nested_cv_binary_block(spark, sf):
-    """The same by the path of tables that fit a task."""
-    return _performance(spark, sf, "binary")
+def nested_cv_binary_rows(spark, sf):
+    """The same as ``nested_cv_binary`` over rows that are never collected, for tables of any size."""
+    from types import SimpleNamespace
+
+    from plover.plans import logistic, report
+
+    df, cfg = subject_table(spark, sf, "binary")
+    oof, _, _, classes = logistic.nested_cv(df, cfg)
+    return report.performance(SimpleNamespace(cfg=cfg, block=SimpleNamespace(classes=classes)), save(oof, "out-of-fold"))
 
 
 @query()

@@ -98,3 +98,23 @@ def test_bounds(spark, monkeypatch):
         resample.null_scores(t, 1)
     with pytest.raises(ValueError, match="without reduction"):
         resample.Table(spark.createDataFrame(data(30)), config(reduction="ica"))
+
+
+def test_whole_analysis_by_moments(spark, tmp_path, monkeypatch):
+    from plover.plans import report
+
+    monkeypatch.setattr(report, "MAX_CELLS", 0)
+    monkeypatch.setattr(resample, "bootstrap", lambda t, p, f=resample.bootstrap: f(t, p, 3))
+    monkeypatch.setattr(resample, "selection", lambda t, p, f=resample.selection: f(t, p, 3))
+    cfg = config(n_candidates=1, n_permutations=3, n_block_permutations=2, blocks={"first": "brain_0"}, output_dir=str(tmp_path))
+    df = spark.createDataFrame(data(60))
+    out = report.analyse(spark, df, cfg)
+    assert {"out_of_fold", "model_performance", "nested_cv_scores", "report_feature_importance", "report_individual_plotting", "permutation_result", "report_block_permutation"} <= set(out)
+    assert out["nested_cv_scores"].first()[0] > 0.8 and out["report_feature_importance"].count() == 6
+    assert out["report_individual_plotting"].filter("feature_name = 'brain_0'").count() == 60
+    plot = out["report_individual_plotting"].filter("feature_name = 'brain_0'").toPandas()
+    assert np.corrcoef(plot.x_value, plot.y_axis_value)[0, 1] > 0.95
+    # Two workers' parts are the whole null distribution.
+    whole = sorted(r[0] for r in out["permutation_null_distribution_r2"].collect())
+    parts = sorted(r[0] for j in range(2) for r in report.perm_worker_moments(df, cfg, j, 2).collect())
+    assert np.allclose(whole, parts)
