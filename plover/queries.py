@@ -149,11 +149,14 @@ def fold_coefs(spark: SparkSession, sf: str) -> DataFrame:
 FCOEF = f"{COEF},\nfc AS (SELECT feature, fold, avg(coef) AS coef FROM coef GROUP BY feature, fold)"
 
 
-def cluster_map(spark: SparkSession, n: int = P) -> DataFrame:
-    return spark.range(n).select(F.format_string("brain_%03d", F.col("id").cast("int")).alias("feature"), F.col("id").cast("int").alias("f_idx"), F.concat(F.lit("c"), F.floor(F.col("id") / 8).cast("string")).alias("cluster"))
+def cluster_map(spark: SparkSession, sf: str) -> DataFrame:
+    """``feature, f_idx, cluster``: the places of all vectors' numbers, eight of them a cluster."""
+    at = emb_long(spark, sf).select("feature", "f_idx").distinct()
+    return at.select("feature", "f_idx", F.concat(F.lit("c"), F.floor(F.col("f_idx") / 8).cast("string")).alias("cluster"))
 
 
-MAP = "cmap AS (SELECT printf('brain_%03d', i) AS feature, i::INT AS f_idx, 'c' || (i // 8)::VARCHAR AS cluster FROM range(63) t(i))"
+PLACES = f"places AS (SELECT DISTINCT unnest(range(least(len(embedding), {P}))) AS i FROM embeddings)"
+MAP = f"{PLACES}, cmap AS (SELECT printf('brain_%03d', i) AS feature, i::INT AS f_idx, 'c' || (i // 8)::VARCHAR AS cluster FROM places)"
 
 # --- sources, roles, filters ------------------------------------------------------------------------------------------------
 
@@ -172,7 +175,7 @@ def scan_subjects(spark, sf):
 @query(f"WITH {MAP} SELECT feature, cluster FROM cmap")
 def scan_cluster_map(spark, sf):
     path = scratch(spark, "cluster-map")
-    cluster_map(spark).select("feature", "cluster").write.csv(path)
+    cluster_map(spark, sf).select("feature", "cluster").write.csv(path)
     return tables.scan_cluster_map(spark, path)
 
 
@@ -228,7 +231,8 @@ def covariate_projection(spark, sf):
 
 @query(f"WITH {MAP} SELECT 'sub' AS block, feature FROM cmap WHERE contains(feature, '_01') UNION ALL SELECT 'list', feature FROM cmap WHERE feature IN ('brain_003', 'brain_020')")
 def block_columns(spark, sf):
-    rows = [("sub", f) for f in ingest.block_columns(NAMES, "_01")] + [("list", f) for f in ingest.block_columns(NAMES, ["brain_003", "brain_020", "absent"])]
+    names = [r.feature for r in cluster_map(spark, sf).orderBy("f_idx").select("feature").collect()]  # the table's columns
+    rows = [("sub", f) for f in ingest.block_columns(names, "_01")] + [("list", f) for f in ingest.block_columns(names, ["brain_003", "brain_020", "absent"])]
     return spark.createDataFrame(rows, "block string, feature string")
 
 
@@ -244,7 +248,7 @@ def fold_train_test(spark, sf):
 
 @query(f"WITH {MAP} SELECT feature FROM cmap WHERE f_idx >= 40")
 def map_coverage_anti(spark, sf):
-    return ingest.map_coverage(cluster_map(spark).select("feature"), cluster_map(spark, 40).select("feature", "cluster"))
+    return ingest.map_coverage(cluster_map(spark, sf).select("feature"), cluster_map(spark, sf).filter("f_idx < 40").select("feature", "cluster"))
 
 
 @query(f"WITH {CUST} SELECT row_id, avg_total AS raw, CASE WHEN avg_total > 150000 THEN avg_total ELSE 0.0 END AS filled FROM cust")
@@ -509,7 +513,7 @@ def selection_union(spark, sf):
 
 @query(f"WITH {COEF}, {MAP}, cm AS (SELECT fold, iter, cluster, avg(coef) AS coef FROM coef JOIN cmap USING (feature) GROUP BY ALL) SELECT cluster AS cluster_id, {R('avg(coef)')} AS mean, {R(PD)} AS pd, {R('quantile_cont(coef, 0.025)')} AS ci_low, {R('quantile_cont(coef, 0.975)')} AS ci_high, {R(f'least(greatest(2*(1-{PD}), 0), 1)')} AS p_value, (quantile_cont(coef, 0.025) > 0 OR quantile_cont(coef, 0.975) < 0) AS is_significant FROM cm GROUP BY cluster")
 def cluster_importance(spark, sf):
-    return rounded(stats.cluster_importance(coefs(spark, sf), cluster_map(spark).select("feature", "cluster")), "mean", "pd", "ci_low", "ci_high", "p_value")
+    return rounded(stats.cluster_importance(coefs(spark, sf), cluster_map(spark, sf).select("feature", "cluster")), "mean", "pd", "ci_low", "ci_high", "p_value")
 
 
 @query(f"WITH {FCOEF}, p AS (SELECT feature AS row_id, coef AS pred FROM fc) SELECT row_id, {R('avg(pred)')} AS mean, {R('stddev_samp(pred)')} AS sd FROM p GROUP BY row_id")
@@ -714,29 +718,30 @@ def covariate_scale(spark, sf):
     return d.select("row_id", r6(F.col("design")[0]).alias("d0"), r6(F.col("design")[1]).alias("d1"))
 
 
-def loadings(spark: SparkSession) -> DataFrame:
+def loadings(spark: SparkSession, sf: str) -> DataFrame:
     """Fixed loadings of clusters of eight features; the last feature is alone in its cluster."""
     last = F.col("f_idx") == P - 1
-    return cluster_map(spark).select(F.when(last, "solo").otherwise(F.col("cluster")).alias("cluster"), "feature", F.when(last, 1.0).otherwise((F.col("f_idx") % 8 + 1) / 10.0).alias("loading"))
+    return cluster_map(spark, sf).select(F.when(last, "solo").otherwise(F.col("cluster")).alias("cluster"), "feature", F.when(last, 1.0).otherwise((F.col("f_idx") % 8 + 1) / 10.0).alias("loading"))
 
 
-LOADINGS = f"ld AS (SELECT CASE WHEN i = {P - 1} THEN 'solo' ELSE 'c' || (i // 8)::VARCHAR END AS cluster, printf('brain_%03d', i) AS feature, CASE WHEN i = {P - 1} THEN 1.0::DOUBLE ELSE (i % 8 + 1) / 10.0::DOUBLE END AS loading FROM range({P}) t(i))"
+LOADINGS = f"{PLACES}, ld AS (SELECT CASE WHEN i = {P - 1} THEN 'solo' ELSE 'c' || (i // 8)::VARCHAR END AS cluster, printf('brain_%03d', i) AS feature, CASE WHEN i = {P - 1} THEN 1.0::DOUBLE ELSE (i % 8 + 1) / 10.0::DOUBLE END AS loading FROM places)"
 
 
 @query(f"WITH {long_sql()}, {LOADINGS}, z AS (SELECT row_id, feature, (value - avg(value) OVER (PARTITION BY feature)) / stddev_pop(value) OVER (PARTITION BY feature) AS z, value FROM long), s AS (SELECT cluster, count(*) AS n FROM ld GROUP BY cluster) SELECT row_id, CASE WHEN n > 1 THEN 'Cluster_' || cluster ELSE min(feature) END AS name, {R('CASE WHEN n > 1 THEN sum(z * loading) ELSE min(value) END')} AS score FROM z JOIN ld USING (feature) JOIN s USING (cluster) GROUP BY row_id, cluster, n")
 def cluster_pca_transform(spark, sf):
-    return rounded(transforms.cluster_scores(emb_long(spark, sf), loadings(spark)), "score")
+    return rounded(transforms.cluster_scores(emb_long(spark, sf), loadings(spark, sf)), "score")
 
 
 @query(f"WITH {LOADINGS}, s AS (SELECT cluster, count(*) AS n FROM ld GROUP BY cluster) SELECT CASE WHEN n > 1 THEN 'Cluster_' || cluster ELSE feature END AS name, feature, {R('CASE WHEN n > 1 THEN loading ELSE 1.0 END')} AS loading FROM ld JOIN s USING (cluster)")
 def cluster_loadings(spark, sf):
-    return rounded(transforms.named_loadings(loadings(spark)).select("name", "feature", "loading"), "loading")
+    return rounded(transforms.named_loadings(loadings(spark, sf)).select("name", "feature", "loading"), "loading")
 
 
-@query(f"WITH {LOADINGS}, s AS (SELECT cluster, count(*) AS n FROM ld GROUP BY cluster), l AS (SELECT CASE WHEN n > 1 THEN 'Cluster_' || cluster ELSE feature END AS name, feature, CASE WHEN n > 1 THEN loading ELSE 1.0 END AS loading FROM ld JOIN s USING (cluster)), rc AS (SELECT f.fold, l.name, (f.fold + 1) * length(l.name) / 10.0::DOUBLE AS coef FROM (SELECT range AS fold FROM range(3)) f, (SELECT DISTINCT name FROM l) l) SELECT fold, feature, {R('sum(coef * loading)')} AS coef FROM rc JOIN l USING (name) GROUP BY fold, feature")
+@query(f"WITH {COEF}, {LOADINGS}, s AS (SELECT cluster, count(*) AS n FROM ld GROUP BY cluster), l AS (SELECT CASE WHEN n > 1 THEN 'Cluster_' || cluster ELSE feature END AS name, feature, CASE WHEN n > 1 THEN loading ELSE 1.0 END AS loading FROM ld JOIN s USING (cluster)), rc AS (SELECT f.fold, l.name, (f.fold + 1) * length(l.name) / 10.0::DOUBLE AS coef FROM (SELECT DISTINCT fold FROM coef) f, (SELECT DISTINCT name FROM l) l) SELECT fold, feature, {R('sum(coef * loading)')} AS coef FROM rc JOIN l USING (name) GROUP BY fold, feature")
 def backproject(spark, sf):
-    named = transforms.named_loadings(loadings(spark))
-    rc = named.select("name").distinct().withColumn("fold", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(3)]))).select("fold", "name", ((F.col("fold") + 1) * F.length("name") / 10.0).alias("coef"))
+    named = transforms.named_loadings(loadings(spark, sf))
+    folds = coefs(spark, sf).select("fold").distinct()  # a row a fold
+    rc = named.select("name").distinct().join(F.broadcast(folds), how="cross").select("fold", "name", ((F.col("fold") + 1) * F.length("name") / 10.0).alias("coef"))
     return rounded(transforms.backproject(rc, named), "coef")
 
 
@@ -776,7 +781,7 @@ def run_of(spark: SparkSession, sf: str, kind: str, **change):
 
     df, cfg = subject_table(spark, sf, kind)
     cfg = replace(cfg, **change)
-    return Run(spark, collect_block(df, cfg, cluster_map(spark).select("feature", "cluster")), cfg)
+    return Run(spark, collect_block(df, cfg, cluster_map(spark, sf).select("feature", "cluster")), cfg)
 
 
 def _performance(spark, sf, kind, **change):
@@ -943,15 +948,16 @@ def ensemble_prediction(spark, sf):
 # --- more of the inventory ---------------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT f AS fold, i AS iter, (f * 10 + i)::BIGINT AS task FROM (SELECT range AS f FROM range(5)), (SELECT range AS i FROM range(10))")
+@query(f"WITH {COEF} SELECT f.fold, i.iter, (f.fold * 1000000 + i.iter)::BIGINT AS task FROM (SELECT DISTINCT fold FROM coef) f, (SELECT DISTINCT iter FROM coef) i")
 def task_list(spark, sf):
-    folds, iters = spark.range(5).withColumnRenamed("id", "fold"), spark.range(10).withColumnRenamed("id", "iter")
-    return folds.crossJoin(F.broadcast(iters)).withColumn("task", F.col("fold") * 10 + F.col("iter"))
+    c = coefs(spark, sf)
+    folds = c.select("fold").distinct()  # a row a fold
+    return c.select("iter").distinct().join(F.broadcast(folds), how="cross").select("fold", "iter", (F.col("fold") * 1_000_000 + F.col("iter")).alias("task"))
 
 
 @query(f"WITH {long_sql()}, {MAP} SELECT row_id, cluster, {R('avg(value)')} AS mean, count(*)::BIGINT AS n FROM long JOIN cmap USING (feature) GROUP BY row_id, cluster")
 def feature_map_join(spark, sf):
-    m = cluster_map(spark).select("feature", "cluster")
+    m = cluster_map(spark, sf).select("feature", "cluster")
     return rounded(emb_long(spark, sf).join(F.broadcast(m), "feature").groupBy("row_id", "cluster").agg(F.avg("value").alias("mean"), F.count("*").alias("n")), "mean")
 
 
