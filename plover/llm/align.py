@@ -1,8 +1,8 @@
 """Cross-tokenizer alignment: token intervals joined by byte offset in DuckDB, pair counts merged in Spark.
 
 1. *Per Arrow partition*: whole texts gather in chunks of some ``CHUNK`` bytes (a longer text is a chunk by itself).  Each is tokenised twice, and DuckDB
-   gets a table of token intervals for each tokenizer.  Ends on which both tables agree are the cuts, numbered by a window sum; an ASOF join gives every token the first cut at
-   or after its end, which is its group.  Links are an equi-join of ends, or, for ``links="overlap"``, a range join of intervals within a group.  A chunk's pair
+   gets a table of token intervals for each tokenizer.  Ends on which both tables agree are the cuts, numbered by a window sum; an ASOF join gives a token that ends elsewhere the first cut
+   after its end, which closes its group.  Links are an equi-join of ends, or, for ``links="overlap"``, a range join of intervals within a group.  A chunk's pair
    counts are summed there.
 2. *In Spark*: chunks' pair counts are merged by pair, and the highest count of each second id (a row for each id of a vocabulary, so broadcast) marks the best ones.
 3. *Back*: a chunk asks for its own pairs' totals by a join on the pair (a pair has one row a chunk, however frequent it is), and chunks meet their
@@ -31,7 +31,7 @@ _sides: dict[str, tuple] = {}  # of this worker
 
 
 def byte_level(tokenizer: str) -> tuple:
-    """``encode, table``: ids of a text under a byte-level BPE file, all of it plain text, and each id's bytes."""
+    """``encode, table, lossless``: ids of a text under a byte-level BPE file, all of it plain text; each id's bytes; and whether every text comes back."""
     if tokenizer in _sides:
         return _sides[tokenizer]
     import public_tokenizers
@@ -50,9 +50,10 @@ def byte_level(tokenizer: str) -> tuple:
         table[i] = piece.encode() if piece in special else bytes(char[c] for c in piece)
     pre = spec.get("pre_tokenizer") or {}
     plain = lambda text: np.array(own.encode(text, add_special_tokens=False).ids, dtype=np.int64)
-    encode = plain
+    encode, lossless = plain, False
     if spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer"):
         fast = tiktoken.Encoding("aligned", pat_str=public_tokenizers.PATTERN, mergeable_ranks={table[i]: i for p, i in vocab.items() if p not in special}, special_tokens={})
+        lossless = True
 
         def encode(text: str) -> np.ndarray:
             try:
@@ -62,18 +63,18 @@ def byte_level(tokenizer: str) -> tuple:
                     raise
                 return plain(text)
 
-    _sides[tokenizer] = encode, table
+    _sides[tokenizer] = encode, table, lossless
     return _sides[tokenizer]
 
 
 def pieces(model: str) -> tuple:
-    """``encode, table`` of a sentencepiece model, which puts a space before the text."""
+    """``encode, table`` of a sentencepiece model (ids as a list), which puts a space before the text."""
     if model not in _sides:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         table = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode() for i in range(sp.get_piece_size())]
-        _sides[model] = lambda text: np.array(sp.encode(text), dtype=np.int64), table
+        _sides[model] = sp.encode, table
     return _sides[model]
 
 
@@ -98,17 +99,16 @@ class Aligner:
         self.db = duckdb.connect(config={"threads": 1, "temp_directory": ""})
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of both sides, if both give the text's bytes back."""
         if not text:
             return None
-        whole = " " + text
-        raw = whole.encode("utf-8", "surrogatepass")
-        out = []
-        for (encode, table), given in ((self.a, whole), (self.b, text)):
-            ids = encode(given)
-            if b"".join(map(table.__getitem__, ids.tolist())) != raw:
-                return None
-            out.append(ids)
-        return out[0], out[1]
+        raw = (" " + text).encode("utf-8", "surrogatepass")
+        a = self.a[0](" " + text)
+        # Byte-level ids of all bytes can't give others of the same number: their pre-tokens are cut from the text itself.
+        if int(self.size[0][a].sum()) != len(raw) or not self.a[2] and b"".join(map(self.a[1].__getitem__, a.tolist())) != raw:
+            return None
+        b = self.b[0](text)
+        return (a, np.array(b, dtype=np.int64)) if b"".join(map(self.b[1].__getitem__, b)) == raw else None
 
     def intervals(self, name: str, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Register ``ids`` as a table of intervals; the offsets run on from text to text."""
@@ -127,7 +127,13 @@ class Aligner:
         ends = self.intervals("a", a, self.size[0]), self.intervals("b", b, self.size[1])
         db = self.db
         db.execute("CREATE OR REPLACE TEMP TABLE cuts AS SELECT e, sum(1) OVER (ORDER BY e ROWS UNBOUNDED PRECEDING)::BIGINT - 1 AS g, a.id AS x, b.id AS y FROM a JOIN b USING (e)")
-        group = [db.execute(f"SELECT g FROM {t} t ASOF JOIN cuts c ON t.e <= c.e ORDER BY t.e").fetchnumpy()["g"] for t in ("a", "b")]
+        cuts = db.execute("SELECT e, g FROM cuts").fetchnumpy()
+        of = np.empty(int(ends[0][-1]) + 1, dtype=np.int64)  # the group of a token that ends at a byte
+        of[cuts["e"]] = cuts["g"]
+        for t in ("a", "b"):  # tokens that end within a group
+            inner = db.execute(f"SELECT t.e, c.g FROM (SELECT e FROM {t} ANTI JOIN cuts USING (e)) t ASOF JOIN cuts c ON t.e <= c.e").fetchnumpy()
+            of[inner["e"]] = inner["g"]
+        group = [of[e] for e in ends]
         if self.overlap:
             for t, g in zip(("a", "b"), group, strict=True):
                 db.register(f"{t}g", pa.table({"g": g}))
