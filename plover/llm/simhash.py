@@ -353,7 +353,7 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, group_id`` of every row: the smallest id of its text's component under similarity; equal texts are similar."""
+    """``doc_id, group_id`` (and ``node``, the text's hash) of every row: the smallest id of its text's component under similarity; equal texts are similar."""
     rows = docs.select(docs[id_col].alias("doc_id"), text_or_empty(docs[text_col]).alias("text")).withColumn("node", F.xxhash64("text"))
     least = save(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct-texts")
     texts = rows.select("node", "text")
@@ -363,11 +363,14 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
     named = least.withColumn("root", F.col("node")) if roots is None else least.join(roots, F.col("node") == F.col("v"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("group_id"))
     of = save(named.join(ids, "root").select(F.col("node").alias("f"), "group_id"), "text-groups")
-    return rows.join(of, F.col("node") == F.col("f")).select("doc_id", "group_id")
+    return rows.join(of, F.col("node") == F.col("f")).select("doc_id", "group_id", "node")
 
 
 def drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows whose id is their group's, with the columns of ``docs``; rows with null ids that no id reaches stay."""
+    """The rows whose id is their group's, with the columns of ``docs``; rows with null ids that no id reaches stay.
+
+    A row that goes is named by its id and its text, so others of its id stay.
+    """
     found = similar_groups(docs, id_col=id_col, text_col=text_col, **kw)
-    gone = found.filter(F.col("doc_id") != F.col("group_id")).select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone_id"], "left_anti")
+    gone = found.filter(F.col("doc_id") != F.col("group_id")).select(F.col("doc_id").alias("__gone_id"), F.col("node").alias("__gone_node")).distinct()
+    return docs.join(gone, (docs[id_col] == gone["__gone_id"]) & (F.xxhash64(text_or_empty(docs[text_col])) == gone["__gone_node"]), "left_anti")

@@ -146,7 +146,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
     blocks = max(1, math.ceil(n * max(1, longest or 1) / (BLOCK_VALUES // 2)))
     if blocks == 1:
         return _one_block(candidates, queries.orderBy("id").collect(), k)
-    queries = save(queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), "topk-queries")
+    queries = save(queries.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")), "topk-queries")
     return save_all((_one_block(candidates, queries.filter(F.col("block") == b).orderBy("id").collect(), k) for b in range(blocks)), "topk-answers")
 
 
