@@ -25,6 +25,9 @@ class Identity:
     def transform(self, x: np.ndarray) -> np.ndarray:
         return x
 
+    def affine(self) -> np.ndarray:
+        return np.eye(len(self.names_in), len(self.names_in) + 1, 1)
+
     def backproject(self, coef: np.ndarray) -> np.ndarray:
         return coef
 
@@ -42,16 +45,30 @@ class ClusterPCA:
     parts: list[tuple] = field(default_factory=list)
 
     def fit(self, x: np.ndarray) -> ClusterPCA:
+        return self._fit(lambda at: (*solvers.scaler(x[:, at]), solvers.first_component(x[:, at])))
+
+    def fit_correlations(self, mean: np.ndarray, scale: np.ndarray, r: np.ndarray) -> ClusterPCA:
+        """The same from means, sds and correlations of all columns."""
+        return self._fit(lambda at: (mean[at], scale[at], solvers.leading_axis(r[np.ix_(at, at)])))
+
+    def _fit(self, part) -> ClusterPCA:
         for label, at in self.groups:
             if len(at) == 1:
                 self.names.append(self.names_in[at[0]])
                 self.parts.append((at, None, None, np.ones(1)))
             elif len(at):
-                m, s = solvers.scaler(x[:, at])
                 self.names.append(f"Cluster_{label}")
-                self.parts.append((at, m, s, solvers.first_component(x[:, at])))
+                self.parts.append((at, *part(at)))
         return self
 
+    def affine(self) -> np.ndarray:
+        """(components, 1 + columns): the transformation as a matrix on (1, columns)."""
+        out = np.zeros((len(self.parts), 1 + len(self.names_in)))
+        for k, (at, m, s, v) in enumerate(self.parts):
+            out[k, 1 + at] = v if m is None else v / s
+            out[k, 0] = 0.0 if m is None else -(m / s) @ v
+        return out
+
     def transform(self, x: np.ndarray) -> np.ndarray:
         cols = [x[:, at[0]] if m is None else (x[:, at] - m) / s @ v for at, m, s, v in self.parts]
         return np.column_stack(cols) if cols else np.empty((len(x), 0))
@@ -94,8 +111,13 @@ class ICA:
 
 def cluster_groups(x: np.ndarray, names: list[str], min_size: int | str, metric: str, signed: bool, noise: str = "pca") -> list[tuple[str, np.ndarray]]:
     """Density clusters of columns; noise is one group named ``Noise``, or each column its own."""
-    size = auto_size(x.shape[1], len(x)) if min_size == "auto" else int(min_size)
-    label = solvers.hdbscan(solvers.distance_matrix(x, metric, signed), size)
+    return grouped(solvers.distance_matrix(x, metric, signed), len(x), names, min_size, noise)
+
+
+def grouped(distance: np.ndarray, n: int, names: list[str], min_size: int | str, noise: str = "pca") -> list[tuple[str, np.ndarray]]:
+    """The groups of :func:`cluster_groups` from distances of columns of ``n`` rows."""
+    size = auto_size(len(distance), n) if min_size == "auto" else int(min_size)
+    label = solvers.hdbscan(distance, size)
     out = []
     for k in sorted(set(label.tolist())):
         at = np.flatnonzero(label == k)
@@ -108,6 +130,22 @@ def cluster_groups(x: np.ndarray, names: list[str], min_size: int | str, metric:
     return out
 
 
+def mapped_groups(names: list[str], cluster_map: dict[str, str] | None) -> list[tuple[str, np.ndarray]]:
+    of = [(cluster_map or {}).get(n) for n in names]
+    if None in of:
+        raise ValueError(f"feature without a cluster: {names[of.index(None)]}")
+    return [(c, np.array([j for j, o in enumerate(of) if o == c])) for c in sorted(set(of))]
+
+
+def from_correlations(mean: np.ndarray, scale: np.ndarray, r: np.ndarray, n: int, names: list[str], cfg, cluster_map: dict[str, str] | None = None) -> ClusterPCA:
+    """The cluster reducer of ``cfg`` from means, sds and Pearson correlations of ``n`` rows."""
+    if cfg.reduction == "apriori":
+        groups = mapped_groups(names, cluster_map)
+    else:
+        groups = grouped(solvers.correlation_distance(r, cfg.sign_handling != "unsigned"), n, names, cfg.min_cluster_size, cfg.noise)
+    return ClusterPCA(names, groups).fit_correlations(mean, scale, r)
+
+
 def fit_reducer(x: np.ndarray, names: list[str], cfg, cluster_map: dict[str, str] | None = None):
     """The reducer that ``cfg`` asks for, fitted on ``x``."""
     if cfg.reduction == "none":
@@ -116,10 +154,7 @@ def fit_reducer(x: np.ndarray, names: list[str], cfg, cluster_map: dict[str, str
         groups = cluster_groups(x, names, cfg.min_cluster_size, cfg.distance, cfg.sign_handling != "unsigned", cfg.noise)
         return ClusterPCA(names, groups).fit(x)
     if cfg.reduction == "apriori":
-        of = [(cluster_map or {}).get(n) for n in names]
-        if None in of:
-            raise ValueError(f"feature without a cluster: {names[of.index(None)]}")
-        return ClusterPCA(names, [(c, np.array([j for j, o in enumerate(of) if o == c])) for c in sorted(set(of))]).fit(x)
+        return ClusterPCA(names, mapped_groups(names, cluster_map)).fit(x)
     m, s = solvers.scaler(x)
     k = cfg.ica_components
     if k == "auto":

@@ -141,12 +141,20 @@ def first_component(x: np.ndarray) -> np.ndarray:
     """The first principal axis of standardised columns, its largest loading positive."""
     z = (x - scaler(x)[0]) / scaler(x)[1]
     if z.shape[1] <= z.shape[0]:
-        v = np.linalg.eigh(z.T @ z)[1][:, -1]
-    else:
-        u = np.linalg.eigh(z @ z.T)[1][:, -1]
-        v = z.T @ u
-        v = v / (np.linalg.norm(v) or 1.0)
-    return v * np.sign(v[np.argmax(np.abs(v))] or 1.0)
+        return leading_axis(z.T @ z)
+    v = z.T @ np.linalg.eigh(z @ z.T)[1][:, -1]
+    return _signed(v / (np.linalg.norm(v) or 1.0))
+
+
+def leading_axis(r: np.ndarray) -> np.ndarray:
+    """The first eigenvector of correlations, its largest loading positive."""
+    return _signed(np.linalg.eigh(r)[1][:, -1])
+
+
+def _signed(v: np.ndarray) -> np.ndarray:
+    """Of loadings as large as the largest, but for rounding, the first is positive."""
+    size = np.abs(v)
+    return v * np.sign(v[np.argmax(size >= size.max() * (1 - 1e-9))] or 1.0)
 
 
 def distance_matrix(x: np.ndarray, metric: str = "spearman", signed: bool = False) -> np.ndarray:
@@ -159,6 +167,12 @@ def distance_matrix(x: np.ndarray, metric: str = "spearman", signed: bool = Fals
     s = np.sqrt((z * z).sum(0))
     with np.errstate(all="ignore"):
         r = np.nan_to_num((z.T @ z) / np.outer(s, s))
+    return correlation_distance(r, signed)
+
+
+def correlation_distance(r: np.ndarray, signed: bool = False) -> np.ndarray:
+    if len(r) == 1:
+        return np.zeros((1, 1))
     d = np.sqrt(np.clip(2 * (1 - (r if signed else np.abs(r))), 0, 4))
     np.fill_diagonal(d, 0)
     return (d + d.T) / 2

@@ -3,11 +3,13 @@
 One pass sums products of (1, design, outcomes) for each cell of (outer fold, repeat, inner fold), once for each repeat.
 Inner folds are dealt within outer folds, so that every training set's inner folds differ by a row or so for each fold.
 Any training or validation set's scaler, Gram matrix and errors are sums and differences of cells; the models are then
-solved by tasks over folds x candidates.
+solved by tasks over folds x candidates.  Outcomes may be taken less their covariates' part, and features reduced to components of
+their clusters: see ``plover.plans.changes``.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +20,12 @@ from pyspark.sql import functions as F
 from plover.config import Config
 from plover.functions import fitting, solvers
 from plover.operators import ingest, splits, stats
+from plover.plans import changes
 from plover.sources.work import save
 
 MAX_BYTES = 512_000_000
 ROWS = 16
+PARAMS = ("alpha_or_c", "l1_ratio", "penalty_weight")
 
 
 def assign(rows: DataFrame, cfg: Config) -> DataFrame:
@@ -91,70 +95,117 @@ def squared_errors(plain: np.ndarray, model: solvers.Fitted) -> np.ndarray:
     return np.maximum(np.array(out), 0)
 
 
-def nested_cv(df: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame, DataFrame]:
+def centred(rows: DataFrame) -> DataFrame:
+    """``design`` less its columns' means, so that sums of squares lose no digits; no result depends on it."""
+    m = [r.m for r in rows.select(F.posexplode("design").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()]  # a row a column
+    return rows.withColumn("design", F.zip_with("design", F.array(*[F.lit(x) for x in m]).cast("array<double>"), lambda x, c: x - c))
+
+
+class NestedCV:
+    """Nested cross-validation of a regression of any number of rows: what it found, as saved tables.
+
+    ``cluster_map`` (``feature, cluster``) is for the a-priori reduction.
+    """
+
+    def __init__(self, df: DataFrame, cfg: Config, cluster_map: DataFrame | None = None) -> None:
+        rows, names = ingest.role_projection(df, cfg)
+        ingest.check_rows(rows)
+        self.cfg, self.spark, self.names = cfg, df.sparkSession, names
+        self.recipe = changes.recipe(df, cfg, names, cluster_map)
+        n_cells, size = int(cfg.outer_folds) * cfg.inner_repeats * int(cfg.inner_folds), self.recipe.size
+        if n_cells * 2 * size * size * 8 > MAX_BYTES:
+            raise ValueError(f"moments of {n_cells} cells and {size} columns are over the bound")
+        self.rows = centred(rows.withColumn("design", F.concat("cov", "features") if self.recipe.n_covs else F.col("features")))
+        found: dict[tuple[int, int, int, int], np.ndarray] = {}
+        for r in cells(assign(self.rows, cfg)).orderBy("i").collect():  # bounded above
+            found.setdefault((r.fold, r.repeat, r.inner, r.kind), np.zeros((size, size)))[r.i] = r.g
+        self.shared = self.spark.sparkContext.broadcast(found)
+        self._fit()
+
+    def _fit(self) -> None:
+        cfg, spark, shared, recipe = self.cfg, self.spark, self.shared, self.recipe
+        t, k_out, k_in, reps = len(recipe.tasks), int(cfg.outer_folds), int(cfg.inner_folds), cfg.inner_repeats
+        tried = fitting.candidates(cfg, cfg.n_candidates or 20, 42)
+        spread = 4 * spark.sparkContext.defaultParallelism
+
+        def total(have: dict, kind: int, repeat: int, outer: int, inner: int | None, inside: bool) -> np.ndarray:
+            return sum((m for (f, r, j, q), m in have.items() if q == kind and r == repeat and f != outer and (inner is None or (j == inner) == inside)), np.zeros((recipe.size, recipe.size)))
+
+        def change(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pdf.assign(change=[pickle.dumps(recipe.fit(total(shared.value, 0, 0, k, None, True))) for k in pdf["fold"]])
+
+        folds = spark.createDataFrame([(k,) for k in range(k_out)], "fold long").repartition(max(1, min(k_out, spread)))
+        self.changes = save(folds.mapInPandas(change, "fold long, change binary"), "moment-changes")
+        table = spark.createDataFrame([(k, i, *(c[p] for p in PARAMS)) for k in range(k_out) for i, c in enumerate(tried)], "fold long, cand_id long, alpha_or_c double, l1_ratio double, penalty_weight double")
+        table = table.join(self.changes, "fold").repartition(max(1, min(k_out * len(tried), spread)), "fold", "cand_id")
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            have, sums = shared.value, {}
+            for pdf in batches:
+                out = []
+                for row in pdf.itertuples(index=False):
+                    made, params, got = pickle.loads(row.change), {p: getattr(row, p) for p in PARAMS}, []
+                    for r in range(reps):
+                        for j in range(k_in):
+                            key = (row.fold, r, j)
+                            if key not in sums:
+                                sums[key] = [made.moments(total(have, q, r, row.fold, j, inside)) for q, inside in ((0, False), (1, False), (0, True))]
+                            a, aw, v = sums[key]
+                            got.append(-np.mean(np.sqrt(squared_errors(v, solve(a, aw, t, made.n_covs, params)) / v[0, 0])))
+                    out.append(float(np.mean(got)))
+                yield pdf.drop(columns="change").assign(score=out)
+
+        self.scored = save(table.mapInPandas(score, "fold long, cand_id long, alpha_or_c double, l1_ratio double, penalty_weight double, score double"), "moment-search")
+        best = self.scored.join(stats.best_candidate(self.scored).select("fold", "cand_id"), ["fold", "cand_id"])
+        self.best = save(best, "moment-best")
+
+        def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            have = shared.value
+            for pdf in batches:
+                for row in pdf.itertuples(index=False):
+                    made = pickle.loads(row.change)
+                    m = solve(*(made.moments(total(have, q, 0, row.fold, None, True)) for q in (0, 1)), t, made.n_covs, {p: getattr(row, p) for p in PARAMS})
+                    (b, b0), taken, back, reduced = made.raw(m), made.taken(), made.features(m), made.reduced(m)
+                    for k, name in enumerate(recipe.tasks):
+                        yield pd.DataFrame({"fold": [row.fold], "task": [name], "k": [k], "std_coef": [back[k]], "reduced": [reduced[k]], "names": [made.reducer.names], "beta": [b[k]], "beta0": [b0[k]], "taken": [None if taken is None else taken[0][k]], "taken0": [0.0 if taken is None else taken[1][k]], "converged": [m.converged]})
+
+        schema = "fold long, task string, k int, std_coef array<double>, reduced array<double>, names array<string>, beta array<double>, beta0 double, taken array<double>, taken0 double, converged boolean"
+        self.models = save(self.best.join(self.changes, "fold").mapInPandas(fit, schema), "moment-models")
+
+    @property
+    def params(self) -> DataFrame:
+        """``fold, alpha_or_c, l1_ratio, penalty_weight``."""
+        return self.best.select("fold", *PARAMS)
+
+    def out_of_fold(self) -> DataFrame:
+        """``row_id, fold, task, y_true, y_pred``; of outcomes from which covariates' part was taken, what is left."""
+        placed = splits.kfold(self.rows, int(self.cfg.outer_folds), self.cfg.seed)
+        dot = lambda b: F.aggregate(F.zip_with("design", b, lambda x, z: x * z), F.lit(0.0), lambda x, z: x + z)
+        oof = placed.join(F.broadcast(self.models.withColumnRenamed("fold", "m_fold")), F.col("fold") == F.col("m_fold"))  # folds x tasks rows
+        left = F.get("y", F.col("k")) - F.when(F.col("taken").isNull(), 0.0).otherwise(dot("taken") + F.col("taken0"))
+        return oof.select("row_id", "fold", "task", left.alias("y_true"), (dot("beta") + F.col("beta0")).alias("y_pred"))
+
+    def coefficients(self, reduced: bool = False) -> DataFrame:
+        """``fold, task, feature, coef``: taken back to features, or of reduced features."""
+        pairs = F.arrays_zip(F.col("names").alias("f"), F.col("reduced").alias("c")) if reduced else F.arrays_zip(F.array(*[F.lit(n) for n in self.names]).alias("f"), F.col("std_coef").alias("c"))
+        return self.models.select("fold", "task", F.explode(pairs).alias("p")).select("fold", "task", F.col("p.f").alias("feature"), F.col("p.c").alias("coef"))
+
+    def loadings(self) -> DataFrame:
+        """``fold, cluster, feature, loading`` of every fold's clusters."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for fold, raw in zip(pdf["fold"], pdf["change"], strict=True):
+                    yield pd.DataFrame(pickle.loads(raw).reducer.loadings(), columns=["cluster", "feature", "loading"]).assign(fold=fold)
+
+        return self.changes.mapInPandas(run, "fold long, cluster string, feature string, loading double")
+
+
+def nested_cv(df: DataFrame, cfg: Config, cluster_map: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``row_id, fold, task, y_true, y_pred``; ``fold, task, feature, coef``; and each fold's parameters."""
-    if cfg.is_classification or cfg.reduction != "none" or cfg.covariate_method == "pre_regress" or isinstance(cfg.outer_folds, str) or isinstance(cfg.inner_folds, str):
-        raise ValueError("moments serve regression with k folds, without reduction and pre_regress")
-    spark = df.sparkSession
-    rows, names = ingest.role_projection(df, cfg)
-    ingest.check_rows(rows)
-    cov = list(cfg.roles.covariates) if cfg.covariate_method == "incorporate" else []
-    tasks = list(cfg.roles.outcomes) if len(cfg.roles.outcomes) > 1 else ["single"]
-    size = 1 + len(cov) + len(names) + len(tasks)
-    n_cells = int(cfg.outer_folds) * cfg.inner_repeats * int(cfg.inner_folds)
-    if n_cells * 2 * size * size * 8 > MAX_BYTES:
-        raise ValueError(f"moments of {n_cells} cells and {size} columns are over the bound")
-    rows = rows.withColumn("design", F.concat("cov", "features") if cov else F.col("features"))
-    found: dict[tuple[int, int, int, int], np.ndarray] = {}
-    for r in cells(assign(rows, cfg)).orderBy("i").collect():  # bounded above
-        found.setdefault((r.fold, r.repeat, r.inner, r.kind), np.zeros((size, size)))[r.i] = r.g
-    shared = spark.sparkContext.broadcast(found)
-    n_covs, t, k_out, k_in, reps = len(cov), len(tasks), int(cfg.outer_folds), int(cfg.inner_folds), cfg.inner_repeats
-
-    def total(have: dict, kind: int, repeat: int, outer: int, inner: int | None, inside: bool) -> np.ndarray:
-        return sum((m for (f, r, j, q), m in have.items() if q == kind and r == repeat and f != outer and (inner is None or (j == inner) == inside)), np.zeros((size, size)))
-
-    tried = fitting.candidates(cfg, cfg.n_candidates or 20, 42)
-    table = spark.createDataFrame([(k, i, *(c[p] for p in ("alpha_or_c", "l1_ratio", "penalty_weight"))) for k in range(k_out) for i, c in enumerate(tried)], "fold long, cand_id long, alpha_or_c double, l1_ratio double, penalty_weight double")
-    table = table.repartition(max(1, min(k_out * len(tried), 4 * spark.sparkContext.defaultParallelism)))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        have, sums = shared.value, {}
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                params, got = {"alpha_or_c": row.alpha_or_c, "l1_ratio": row.l1_ratio, "penalty_weight": row.penalty_weight}, []
-                for r in range(reps):
-                    for j in range(k_in):
-                        key = (row.fold, r, j)
-                        if key not in sums:
-                            sums[key] = [total(have, 0, r, row.fold, j, False), total(have, 1, r, row.fold, j, False), total(have, 0, r, row.fold, j, True)]
-                        a, aw, v = sums[key]
-                        got.append(-np.mean(np.sqrt(squared_errors(v, solve(a, aw, t, n_covs, params)) / v[0, 0])))
-                out.append(float(np.mean(got)))
-            yield pdf.assign(score=out)
-
-    scored = save(table.mapInPandas(score, "fold long, cand_id long, alpha_or_c double, l1_ratio double, penalty_weight double, score double"), "moment-search")
-    best = save(scored.join(stats.best_candidate(scored).select("fold", "cand_id"), ["fold", "cand_id"]), "moment-best")
-
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        have = shared.value
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                m = solve(total(have, 0, 0, row.fold, None, True), total(have, 1, 0, row.fold, None, True), t, n_covs, {"alpha_or_c": row.alpha_or_c, "l1_ratio": row.l1_ratio, "penalty_weight": row.penalty_weight})
-                for k, name in enumerate(tasks):
-                    b = m.coef[k] / m.scale
-                    yield pd.DataFrame({"fold": [row.fold], "task": [name], "std_coef": [m.coef[k]], "beta": [b], "beta0": [m.intercept[k] - m.mean @ b]})
-
-    models = save(best.mapInPandas(fit, "fold long, task string, std_coef array<double>, beta array<double>, beta0 double"), "moment-models")
-    placed = splits.kfold(rows, k_out, cfg.seed)
-    number = {name: i for i, name in enumerate(tasks)}
-    of = F.coalesce(*[F.when(F.col("task") == name, F.lit(i)) for name, i in number.items()])
-    dot = F.aggregate(F.zip_with("design", "beta", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    oof = placed.join(F.broadcast(models.withColumnRenamed("fold", "m_fold")), F.col("fold") == F.col("m_fold"))  # folds x tasks rows
-    oof = oof.select("row_id", "fold", "task", F.get("y", of).alias("y_true"), (dot + F.col("beta0")).alias("y_pred"))
-    coefs = models.select("fold", "task", F.posexplode(F.slice("std_coef", n_covs + 1, len(names))).alias("i", "coef")).join(F.broadcast(spark.createDataFrame(list(enumerate(names)), "i int, feature string")), "i").select("fold", "task", "feature", "coef")
-    return oof, coefs, best.select("fold", "alpha_or_c", "l1_ratio", "penalty_weight")
+    found = NestedCV(df, cfg, cluster_map)
+    return found.out_of_fold(), found.coefficients(), found.params
 
 
 def ml_fit(df: DataFrame, cfg: Config, params: dict[str, float]):
