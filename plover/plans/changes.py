@@ -142,7 +142,7 @@ class Recipe:
 def recipe(df: DataFrame, cfg: Config, names: list[str], cluster_map: DataFrame | None = None) -> Recipe:
     """The recipe of an analysis; the map's rows for its features are checked and collected, a row a feature."""
     if not served(cfg):
-        raise ValueError("moments serve regression with k folds, without ranks and independent components")
+        raise ValueError("moments serve regression with k folds, without reductions by ranks or to independent components")
     clusters = None
     if cfg.reduction == "apriori":
         if cluster_map is None:

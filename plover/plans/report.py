@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plover.config import LOG, Config, load_config
 from plover.operators import ingest, splits, stats, transforms
+from plover.plans import changes
 from plover.plans.runs import MAX_CELLS, PARAMS, Run, collect_block
 from plover.sources import tables
 from plover.sources.work import save, sink
@@ -131,7 +132,7 @@ def analyse(spark: SparkSession, df: DataFrame, cfg: Config, cluster_map: DataFr
     """The whole analysis: every report by name, also written to ``cfg.output_dir`` if that is set."""
     out_dir, out = cfg.output_dir, {}
     if by_moments(df, cfg):
-        return analyse_moments(spark, df, cfg, permute)
+        return analyse_moments(spark, df, cfg, permute, cluster_map)
     run = Run(spark, collect_block(df, cfg, cluster_map), cfg)
 
     def put(name: str, frame: DataFrame, **kw) -> DataFrame:
@@ -189,27 +190,27 @@ def analyse(spark: SparkSession, df: DataFrame, cfg: Config, cluster_map: DataFr
 
 def by_moments(df: DataFrame, cfg: Config, max_cells: int | None = None) -> bool:
     """Whether a table is too large for a block, and of a kind that moments serve."""
-    if cfg.is_classification or cfg.reduction != "none" or cfg.covariate_method == "pre_regress" or isinstance(cfg.outer_folds, str) or isinstance(cfg.inner_folds, str):
+    if not changes.served(cfg):
         return False
     rows, names = ingest.role_projection(df, cfg)
     return rows.count() * max(1, len(names)) > (MAX_CELLS if max_cells is None else max_cells)
 
 
-def analyse_moments(spark: SparkSession, df: DataFrame, cfg: Config, permute: bool = True) -> dict[str, DataFrame]:
+def analyse_moments(spark: SparkSession, df: DataFrame, cfg: Config, permute: bool = True, cluster_map: DataFrame | None = None) -> dict[str, DataFrame]:
     """The reports of :func:`analyse` for a regression on any number of rows."""
     from types import SimpleNamespace
 
     from plover.plans import moments, resample
 
-    t, out = resample.Table(df, cfg), {}
+    t, out = resample.Table(df, cfg, cluster_map), {}
 
     def put(name: str, frame: DataFrame, **kw) -> DataFrame:
         out[name] = sink(frame, cfg.output_dir, name, **kw)
         return frame
 
     by_task = {"partition_by": ("task",)} if len(t.tasks) > 1 else {}
-    oof, coefs, params = moments.nested_cv(df, cfg)
-    oof, params = save(oof, "out-of-fold"), save(params, "fold-params")
+    found = moments.NestedCV(df, cfg, cluster_map)
+    oof, params = save(found.out_of_fold(), "out-of-fold"), found.params
     score = stats.macro_regression(stats.regression_metrics(oof)).first().r2
     LOG.info("%s of nested cross-validation: %.6f", cfg.metric, score)
     put("out_of_fold", oof, fmt="parquet", one_file=False)
@@ -217,7 +218,11 @@ def analyse_moments(spark: SparkSession, df: DataFrame, cfg: Config, permute: bo
     put("model_performance", performance(SimpleNamespace(cfg=cfg, block=SimpleNamespace(classes=[], tasks=t.tasks)), oof))
     put("report_fold_diagnostics", params.select(F.col("fold").alias("fold_idx"), F.col("alpha_or_c").alias("alpha_or_C"), "l1_ratio", "penalty_weight"))
     put("report_fold_params_summary", stats.param_summary(params, PARAMS))
-    put("report_fold_ensemble_importance", tier1(coefs, int(cfg.outer_folds), cfg.ci_level), **by_task)
+    put("report_fold_ensemble_importance", tier1(found.coefficients(), int(cfg.outer_folds), cfg.ci_level), **by_task)
+    if cfg.reduction != "none":
+        load = save(found.loadings(), "loadings")
+        put("cluster_loadings_folds", load, partition_by=("fold",))
+        put("cluster_loadings", load.filter("fold = 0").drop("fold"))
     sel = resample.selection(t, params)
     put("report_selection_frequency", stats.selection_union(sel))
     if by_task:
@@ -225,6 +230,8 @@ def analyse_moments(spark: SparkSession, df: DataFrame, cfg: Config, permute: bo
     boot = resample.bootstrap(t, params)
     put("report_fold_bootstrap_ci", tier2(boot, cfg.ci_level), **by_task)
     report = put("report_feature_importance", importance(boot, resample.feature_scale(t), cfg.ci_level), **by_task)
+    if cfg.reduction == "apriori":
+        put("report_cluster_importance", cluster_report(boot, cluster_map, cfg.ci_level), **by_task)
     if cfg.save_distributions:
         put("bootstrap_coef_distribution", boot, fmt="parquet", one_file=False)
     if stats.significant(report).limit(1).count():
@@ -242,12 +249,12 @@ def analyse_moments(spark: SparkSession, df: DataFrame, cfg: Config, permute: bo
     return out
 
 
-def perm_worker_moments(df: DataFrame, cfg: Config, job_id: int, n_jobs: int) -> DataFrame:
+def perm_worker_moments(df: DataFrame, cfg: Config, job_id: int, n_jobs: int, cluster_map: DataFrame | None = None) -> DataFrame:
     """One job's part of the label permutations of a large table."""
     from plover.plans import resample
 
     mine = splits.seed_partition(splits.seed_frame(df.sparkSession, cfg.n_permutations), n_jobs).filter(F.col("job") == job_id).orderBy("i")
-    null = resample.null_scores(resample.Table(df, cfg), seeds=[r.seed for r in mine.select("seed").collect()])  # seeds, not rows
+    null = resample.null_scores(resample.Table(df, cfg, cluster_map), seeds=[r.seed for r in mine.select("seed").collect()])  # seeds, not rows
     return sink(null.select(F.col("score").alias(f"null_{cfg.metric}")), cfg.output_dir, f"perm_chunk_{job_id}.csv")
 
 
@@ -307,7 +314,7 @@ def main(argv: list[str] | None = None) -> int:
         cmap = tables.scan_cluster_map(spark, cfg.cluster_map_file) if cfg.cluster_map_file else None
         if a.mode == "perm_worker":
             if by_moments(df, cfg):
-                perm_worker_moments(df, cfg, a.job_id, a.n_jobs)
+                perm_worker_moments(df, cfg, a.job_id, a.n_jobs, cmap)
             else:
                 perm_worker(Run(spark, collect_block(df, cfg, cmap), cfg), a.job_id, a.n_jobs)
         else:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from plover.config import LOG, Config
 from plover.functions import fitting
 from plover.operators import ingest, splits, stats
-from plover.plans import moments
+from plover.plans import changes, moments
 from plover.sources.work import save
 
 MAX_BYTES = 128_000_000
@@ -33,15 +33,13 @@ PARAMS = ("alpha_or_c", "l1_ratio", "penalty_weight")
 class Table:
     """Complete rows ``row_id, design, y, w`` of a regression, saved, and what their columns are."""
 
-    def __init__(self, df: DataFrame, cfg: Config) -> None:
-        if cfg.is_classification or cfg.reduction != "none" or cfg.covariate_method == "pre_regress" or isinstance(cfg.outer_folds, str) or isinstance(cfg.inner_folds, str):
-            raise ValueError("moments serve regression with k folds, without reduction and pre_regress")
+    def __init__(self, df: DataFrame, cfg: Config, cluster_map: DataFrame | None = None) -> None:
         rows, self.names = ingest.role_projection(df, cfg)
         self.n, _ = ingest.check_rows(rows)
-        self.cov = list(cfg.roles.covariates) if cfg.covariate_method == "incorporate" else []
-        self.tasks = list(cfg.roles.outcomes) if len(cfg.roles.outcomes) > 1 else ["single"]
+        self.recipe = changes.recipe(df, cfg, self.names, cluster_map)
+        self.cov = list(cfg.roles.covariates) if cfg.covariate_method != "none" else []
+        self.tasks, self.size = self.recipe.tasks, self.recipe.size
         self.cfg, self.spark = cfg, df.sparkSession
-        self.size = 1 + len(self.cov) + len(self.names) + len(self.tasks)
         design = F.concat("cov", "features") if self.cov else F.col("features")
         self.rows = save(rows.select("row_id", design.alias("design"), "y", "w"), "resample-rows")
 
@@ -111,7 +109,7 @@ def _refit(t: Table, params: DataFrame, n: int, seed: int, draw, indicator: bool
     """Folds x iterations: the fold's parameters on a drawn sample of all rows."""
     fixed = {r.fold: {p: r[p] for p in PARAMS} for r in params.collect()}  # a row a fold
     stream = splits.seed_stream(n * len(fixed), seed)
-    size, tasks, n_covs, names = t.size, t.tasks, len(t.cov), t.names
+    size, tasks, recipe, names = t.size, t.tasks, t.recipe, t.names
     triangle = size * (size + 1) // 2
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -121,8 +119,9 @@ def _refit(t: Table, params: DataFrame, n: int, seed: int, draw, indicator: bool
             plain = _square(np.asarray(g)[:triangle], size)
             weighted = _square(np.asarray(g)[triangle:], size) if len(g) > triangle else plain
             try:
-                m = moments.solve(plain, weighted, len(tasks), n_covs, fixed[fold])
-                coef = m.coef[:, n_covs:]
+                made = recipe.fit(plain)
+                m = moments.solve(made.moments(plain), made.moments(weighted), len(tasks), made.n_covs, fixed[fold])
+                coef = made.features(m)
                 if not np.isfinite(coef).all():
                     raise ValueError("a sample without spread")
             except (ValueError, np.linalg.LinAlgError, ZeroDivisionError) as e:
@@ -170,10 +169,11 @@ def selection(t: Table, params: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def feature_scale(t: Table) -> DataFrame:
-    """``feature, scale``: the sd (ddof 1) over all rows; without ``incorporate``, fold 0's training sd (ddof 0)."""
+    """``feature, scale``: the sd (ddof 1) over all rows with ``incorporate`` or a reduction, else fold 0's training sd (ddof 0)."""
+    every = t.cfg.covariate_method == "incorporate" or t.cfg.reduction != "none"
     known = t.spark.createDataFrame(list(enumerate(t.names)), "k int, feature string")  # a row a feature
-    rows = t.rows if t.cov else splits.kfold(t.rows, int(t.cfg.outer_folds), t.cfg.seed).filter("fold <> 0")
-    sd = F.stddev_samp("value") if t.cov else F.stddev_pop("value")
+    rows = t.rows if every else splits.kfold(t.rows, int(t.cfg.outer_folds), t.cfg.seed).filter("fold <> 0")
+    sd = F.stddev_samp("value") if every else F.stddev_pop("value")
     long = rows.select(F.posexplode(F.slice("design", len(t.cov) + 1, len(t.names))).alias("k", "value"))
     return long.groupBy("k").agg(sd.alias("scale")).join(F.broadcast(known), "k").select("feature", "scale")
 
@@ -193,32 +193,32 @@ def _cells(t: Table, assigned: DataFrame) -> dict[tuple[int, int, int, int], np.
     return found
 
 
-def score_cells(cells: dict[tuple[int, int, int, int], np.ndarray], cfg: Config, n_tasks: int, n_covs: int, seed: int, weighted: bool) -> float:
+def score_cells(cells: dict[tuple[int, int, int, int], np.ndarray], recipe: changes.Recipe, seed: int, weighted: bool) -> float:
     """R2 (mean over tasks) of a whole nested cross-validation from its cells, its search seeded with ``seed``."""
-    kind = 1 if weighted else 0
+    kind, cfg, n_tasks = 1 if weighted else 0, recipe.cfg, len(recipe.tasks)
     add = lambda q, keep: sum(m for (f, r, j, k), m in cells.items() if k == q and keep(f, r, j))
     tried = fitting.candidates(cfg, cfg.n_candidates or 20, seed)
-    sse = 0
-    whole = add(0, lambda f, r, j: r == 0)
+    sse = n = total = squares = 0
     for k in range(int(cfg.outer_folds)):
-        sets = []
+        train = lambda f, r, j: f != k and r == 0  # noqa: B023,E731
+        made, sets = recipe.fit(add(0, train)), []
         for r in range(cfg.inner_repeats):
             for j in range(int(cfg.inner_folds)):
                 inner = lambda f, q, i, r=r, j=j: f != k and q == r and i != j  # noqa: B023,E731
-                sets.append((add(0, inner), add(kind, inner), add(0, lambda f, q, i, r=r, j=j: f != k and q == r and i == j)))  # noqa: B023
-        score = [np.mean([-np.mean(np.sqrt(moments.squared_errors(v, moments.solve(a, b, n_tasks, n_covs, p)) / v[0, 0])) for a, b, v in sets]) for p in tried]
-        train = lambda f, r, j: f != k and r == 0  # noqa: B023,E731
-        model = moments.solve(add(0, train), add(kind, train), n_tasks, n_covs, tried[int(np.argmax(score))])
-        sse = sse + moments.squared_errors(add(0, lambda f, r, j: f == k and r == 0), model)  # noqa: B023
-    n, y = whole[0, 0], np.arange(len(whole) - n_tasks, len(whole))
-    sst = whole[y, y] - whole[0, y] ** 2 / n
+                sets.append([made.moments(g) for g in (add(0, inner), add(kind, inner), add(0, lambda f, q, i, r=r, j=j: f != k and q == r and i == j))])  # noqa: B023
+        score = [np.mean([-np.mean(np.sqrt(moments.squared_errors(v, moments.solve(a, b, n_tasks, made.n_covs, p)) / v[0, 0])) for a, b, v in sets]) for p in tried]
+        model = moments.solve(made.moments(add(0, train)), made.moments(add(kind, train)), n_tasks, made.n_covs, tried[int(np.argmax(score))])
+        own = made.moments(add(0, lambda f, r, j: f == k and r == 0))  # noqa: B023
+        y = np.arange(len(own) - n_tasks, len(own))
+        sse, n, total, squares = sse + moments.squared_errors(own, model), n + own[0, 0], total + own[0, y], squares + own[y, y]
+    sst = squares - total**2 / n
     with np.errstate(all="ignore"):
         return float(np.mean(1 - sse / sst))
 
 
 def _moved(t: Table, columns: dict[str, list[int] | None], seeds: list[int]) -> DataFrame:
     """``block, seed, score``: for each block of features (None: the outcomes), every seed's score with those columns permuted jointly."""
-    cfg, size, n_tasks, n_covs = t.cfg, t.size, len(t.tasks), len(t.cov)
+    cfg, size, n_tasks, n_covs, recipe = t.cfg, t.size, len(t.tasks), len(t.cov), t.recipe
     assigned = save(moments.assign(t.rows, cfg), "resample-assigned")
     shared = t.spark.sparkContext.broadcast(_cells(t, assigned))
     n_cells = len({k[:3] for k in shared.value})
@@ -256,7 +256,7 @@ def _moved(t: Table, columns: dict[str, list[int] | None], seeds: list[int]) ->
                 m[np.ix_(rest, where)], m[np.ix_(where, rest)] = cross, cross.T
                 m[np.ix_(where, where)] = g[len(rest) * width :].reshape(width, width)
             seed = group[int(pdf["s"].iloc[0])][1]
-            return pd.DataFrame({"block": [block], "seed": [seed], "score": [score_cells(cells, cfg, n_tasks, n_covs, seed, cfg.weighted_null)]})
+            return pd.DataFrame({"block": [block], "seed": [seed], "score": [score_cells(cells, recipe, seed, cfg.weighted_null)]})
 
         return save(sums.groupBy("s").applyInPandas(score, "block string, seed long, score double"), "null-scores")
 
@@ -285,9 +285,10 @@ def linear_predictor(t: Table, params: DataFrame, fold: int = 0) -> DataFrame:
     """``row_id, task, y, linear``: a fold's model on every row."""
     cells = _cells(t, moments.assign(t.rows, t.cfg))
     train = [sum(m for (f, r, _, k), m in cells.items() if k == kind and r == 0 and f != fold) for kind in (0, 1)]
-    m = moments.solve(*train, len(t.tasks), len(t.cov), params.filter(F.col("fold") == fold).select(*PARAMS).first().asDict())
-    beta = m.coef / m.scale
-    rows = [(k, name, beta[k].tolist(), float(m.intercept[k] - m.mean @ beta[k])) for k, name in enumerate(t.tasks)]
+    made = t.recipe.fit(train[0])
+    m = moments.solve(*map(made.moments, train), len(t.tasks), made.n_covs, params.filter(F.col("fold") == fold).select(*PARAMS).first().asDict())
+    beta, beta0 = made.raw(m)
+    rows = [(k, name, beta[k].tolist(), float(beta0[k])) for k, name in enumerate(t.tasks)]
     models = t.spark.createDataFrame(rows, "k int, task string, beta array<double>, beta0 double")  # a row a task
     dot = F.aggregate(F.zip_with("design", "beta", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     return t.rows.join(F.broadcast(models), how="cross").select("row_id", "task", F.get("y", F.col("k")).alias("y"), (dot + F.col("beta0")).alias("linear"))
@@ -295,4 +296,4 @@ def linear_predictor(t: Table, params: DataFrame, fold: int = 0) -> DataFrame:
 
 def observed_score(t: Table) -> float:
     """The same score with nothing permuted, its search seeded as the main analysis is."""
-    return score_cells(_cells(t, moments.assign(t.rows, t.cfg)), t.cfg, len(t.tasks), len(t.cov), 42, bool(t.cfg.roles.weight))
+    return score_cells(_cells(t, moments.assign(t.rows, t.cfg)), t.recipe, 42, bool(t.cfg.roles.weight))

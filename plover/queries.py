@@ -801,9 +801,37 @@ def nested_cv_weighted_covariates(spark, sf):
     return _performance(spark, sf, "weighted")
 
 
+def by_moments(spark: SparkSession, sf: str, kind: str, **change):
+    """A nested cross-validation by moments, with the map of ``run_of``."""
+    from dataclasses import replace
+
+    from plover.plans.moments import NestedCV
+
+    df, cfg = subject_table(spark, sf, kind)
+    return NestedCV(df, replace(cfg, **change), cluster_map(spark, sf).select("feature", "cluster"))
+
+
 @query()
 def nested_cv_pre_regress(spark, sf):
-    return _performance(spark, sf, "weighted", covariate_method="pre_regress")
+    from types import SimpleNamespace
+
+    from plover.plans.report import performance
+
+    found = by_moments(spark, sf, "weighted", covariate_method="pre_regress")
+    return performance(SimpleNamespace(cfg=found.cfg, block=SimpleNamespace(classes=[], tasks=found.recipe.tasks)), save(found.out_of_fold(), "out-of-fold"))
+
+
+@query(f"""WITH {CUST}, f AS ({ntile_sql(42, 5, 'cust', 'row_id, y, c, n_orders::DOUBLE AS q')}), k AS (SELECT range AS k FROM range(5)),
+g AS (SELECT k, avg(y) AS my, avg(c) AS mc, avg(q) AS mq, covar_pop(y, c) AS yc, covar_pop(y, q) AS yq, covar_pop(c, q) AS cq, var_pop(c) AS cc, var_pop(q) AS qq FROM f, k WHERE fold <> k GROUP BY k),
+b AS (SELECT k, my, mc, mq, (yc * qq - yq * cq) / (cc * qq - cq * cq) AS bc, (yq * cc - yc * cq) / (cc * qq - cq * cq) AS bq FROM g)
+SELECT row_id, fold, round(y - my - bc * (c - mc) - bq * (q - mq), 4) + 0.0 AS residual FROM f JOIN b ON k = fold""")
+def residual_outcomes(spark, sf):
+    """Held-out outcomes less what two covariates predict, fitted to the other folds' moments."""
+    from plover.plans.moments import NestedCV
+
+    df = cust(spark, sf).select("row_id", "y", "c", F.col("n_orders").cast("double").alias("n_orders"), F.col("max_total").alias("x_max"))
+    cfg = Config(Roles("row_id", "y", "x_", ("c", "n_orders")), covariate_method="pre_regress", outer_folds=5, inner_folds=3, n_candidates=1)
+    return NestedCV(df, cfg).out_of_fold().select("row_id", "fold", (F.round("y_true", 4) + 0.0).alias("residual"))
 
 
 @query()
@@ -915,12 +943,18 @@ def hdbscan_clusters(spark, sf):
 
 @query()
 def apriori_pca(spark, sf):
-    return run_of(spark, sf, "regression", reduction="apriori", n_candidates=2).loadings()
+    return by_moments(spark, sf, "regression", reduction="apriori", n_candidates=2).loadings()
 
 
 @query()
 def cluster_pca_scores(spark, sf):
-    return run_of(spark, sf, "regression", reduction="apriori", n_candidates=2).coefficients(reduced=True)
+    return by_moments(spark, sf, "regression", reduction="apriori", n_candidates=2).coefficients(reduced=True)
+
+
+@query()
+def pearson_clusters(spark, sf):
+    """Density clusters by distances of each fold's correlations, from its moments."""
+    return by_moments(spark, sf, "regression", reduction="cluster_pca", distance="pearson", min_cluster_size=3, n_candidates=2).loadings()
 
 
 @query()

@@ -7,7 +7,8 @@ import pytest
 
 from plover.config import Roles
 from plover.functions import fitting, reducers, solvers
-from plover.plans import changes, moments
+from plover.operators import splits
+from plover.plans import changes, moments, report, resample
 from plover.plans.runs import collect_block
 from tests.test_engine import config, data
 
@@ -98,3 +99,45 @@ def test_what_moments_serve():
     assert changes.served(cfg) and changes.served(replace(cfg, covariate_method="pre_regress")) and changes.served(replace(cfg, reduction="apriori"))
     assert not changes.served(replace(cfg, reduction="ica")) and not changes.served(replace(cfg, reduction="cluster_pca", distance="spearman"))
     assert not changes.served(replace(cfg, outer_folds="LOO")) and not changes.served(config("binary"))
+
+
+@pytest.mark.parametrize("case", [CASES[2], CASES[3]])
+def test_resampling_refits_changes(spark, case):
+    roles = Roles("SUBJ_ID", ("y", "y2"), "brain", ("cov", "cov2"), "w" if case is CASES[2] else None)
+    cfg = config(roles=roles, n_candidates=2, weighted_null=case is CASES[2], blocks={"first": ["brain_0", "brain_3"]}, **case)
+    d = table(80)
+    df = spark.createDataFrame(d).repartition(3)
+    cmap = spark.createDataFrame([(f"brain_{i}", f"c{i // 3}") for i in range(6)], "feature string, cluster string")
+    t, b = resample.Table(df, cfg, cmap), collect_block(df, cfg, cmap)
+    params = spark.createDataFrame([(0, 0.02, 0.5, 1.0), (1, 0.1, 0.9, 1.0)], "fold long, alpha_or_c double, l1_ratio double, penalty_weight double")
+    boot = {(r.fold, r.iter, r.task, r.feature): r.coef for r in resample.bootstrap(t, params, 2).collect()}
+    ids = spark.createDataFrame(d[["SUBJ_ID", "w"]]).withColumnRenamed("SUBJ_ID", "row_id")
+    where = {s: i for i, s in enumerate(b.ids)}
+    for n, seed in enumerate(splits.seed_stream(4, 42)):
+        at = [where[r.row_id] for r in (splits.weighted_bootstrap_draw(ids, seed) if roles.weight else splits.bootstrap_draw(ids, seed)).collect()]
+        m = fitting.fit_fold(cfg, b.take(np.array(at)), 0, params.filter(f"fold = {n // 2}").first().asDict())
+        for j, task in enumerate(t.tasks):
+            assert [boot[n // 2, n % 2, task, f] for f in b.names] == pytest.approx(m.coef[j].tolist(), abs=1e-6)
+    # Null scores are those of nested cross-validations of permuted tables.
+    seed = splits.seed_stream(1, 42)[0]
+    keep = fitting.candidates
+    for got, columns in ((resample.null_scores(t, 1).first().score, list(roles.outcomes)), (resample.block_null_scores(t, 1).first().score, ["brain_0", "brain_3"])):
+        fitting.candidates = lambda c, n, _: keep(c, n, seed)
+        try:
+            moved = replace(cfg, roles=replace(roles, weight=roles.weight if cfg.weighted_null else None))
+            oof = moments.nested_cv(splits.permuted(df, columns, seed, row_id="SUBJ_ID").drop(*([] if moved.roles.weight else ["w"])), moved, cmap)[0].toPandas()
+        finally:
+            fitting.candidates = keep
+        assert got == pytest.approx(np.mean([1 - ((g.y_true - g.y_pred) ** 2).sum() / ((g.y_true - g.y_true.mean()) ** 2).sum() for _, g in oof.groupby("task")]), abs=1e-7)
+
+
+def test_whole_analysis_with_reduction(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(report, "MAX_CELLS", 0)
+    monkeypatch.setattr(resample, "bootstrap", lambda t, p, f=resample.bootstrap: f(t, p, 3))
+    monkeypatch.setattr(resample, "selection", lambda t, p, f=resample.selection: f(t, p, 3))
+    monkeypatch.setattr(report, "collect_block", None)
+    cfg = config(roles=Roles("SUBJ_ID", "y", "brain", ("cov", "cov2")), reduction="apriori", covariate_method="pre_regress", n_candidates=1, n_permutations=2, n_block_permutations=2, blocks={"first": "brain_0"}, output_dir=str(tmp_path))
+    cmap = spark.createDataFrame([(f"brain_{i}", f"c{i // 3}") for i in range(6)], "feature string, cluster string")
+    out = report.analyse(spark, spark.createDataFrame(table(60)), cfg, cmap)
+    assert {"cluster_loadings", "cluster_loadings_folds", "report_cluster_importance", "report_feature_importance", "permutation_result", "report_block_permutation"} <= set(out)
+    assert out["report_cluster_importance"].count() == 2 and out["cluster_loadings"].count() == 6
