@@ -2,13 +2,13 @@
 
 A listing entry is a canonical URL prefix: a host, which also stands for its subdomains, and a path prefix.  A page URL
 is canonicalised to host and path, and every ``host suffix + path prefix`` that could be listed is a candidate key.
-The Bloom filter (one 64-bit word per block, so a test reads one word) passes the candidates that may be listed; those
-few are exploded and joined with the listing by the exact key, which removes the filter's false positives; the longest
-listed key wins.
+The Bloom filter (one 64-bit word per block, so a test reads one word) is asked for each candidate where the page is read, and those
+that fail go there, before any shuffle; a page's first candidate stays as the page's own row, without a key if it fails.  What passes
+is joined with the listing by the exact key, which removes the filter's false positives; the longest listed key wins.
 
 The filter has a word (8 bytes) for every six entries, ``blocks`` at most, a bound that is a parameter; with more entries it
 passes more candidates on to the join, and stays right.  Its words are a scalar subquery's array: one row of them, computed once.  The listing is broadcast only if it has at most ``BROADCAST_ROWS`` rows;
-a larger one is shuffled, with salts, so that a hot entry is spread.
+a larger one is shuffled, with salts, so that a hot entry is spread; rows without a key meet nothing and are spread by page.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and fits no rule.  Rules with a null
 host, path or verdict are ignored; of equal rules the smallest verdict by code point counts.  Repeated rows are each
@@ -79,13 +79,14 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
     prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substr(F.col("path"), F.lit(1), n))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat_ws("\n", s, p))))
-    tried = rows.select("uid", "page_id", "host", "path", F.explode_outer(keys).alias("tried"))
-    hits = tried.withColumn("hit", F.when(may_hold(words, F.col("tried"), blocks), F.col("tried"))).drop("tried")
+    tried = rows.select("uid", "page_id", "host", "path", F.posexplode_outer(keys).alias("at", "tried"))
+    hits = tried.withColumn("hit", F.when(may_hold(words, F.col("tried"), blocks), F.col("tried"))).filter(F.col("hit").isNotNull() | (F.coalesce("at", F.lit(0)) == 0)).drop("at", "tried")
     if n_listed <= broadcast_rows:
         found = hits.join(F.broadcast(listed), hits["hit"] == listed["key"], "left")
     else:
-        many = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hits = hits.withColumn("h_salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int"))
+        many = listed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        own = F.xxhash64("uid")
+        hits = hits.withColumn("h_salt", F.when(F.col("hit").isNull(), own).otherwise(F.pmod(own, F.lit(SALTS))))
         found = hits.join(many, (hits["hit"] == many["key"]) & (hits["h_salt"] == many["salt"]), "left")
     best = F.max(F.when(F.col("key").isNotNull(), F.struct(F.col("n") + F.col("h"), "h", "r_rule", "r_verdict"))).alias("best")
     return found.groupBy("uid", "page_id", "host", "path").agg(best).select("page_id", "host", "path", F.col("best.r_rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))

@@ -84,6 +84,18 @@ def test_url_filter_edges(spark):
     assert url_filter.url_filter(pages.limit(0), spark.createDataFrame(RULES, "host string, path string, verdict string")).count() == 0
 
 
+def test_url_filter_drops_failing_candidates_before_the_shuffle(spark):
+    """A listing over the broadcast bound and mostly unlisted pages: a row a page, and the keys that pass, go on."""
+    rules = spark.range(3000).select(F.format_string("s%d.example.net", "id").alias("host"), F.format_string("/p%d/", F.col("id") % 7).alias("path"), F.lit("block").alias("verdict"))
+    pages = spark.range(2000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 20 == 0, F.format_string("http://a.s%d.example.net/p%d/q/r/s", "id", F.col("id") % 7)).otherwise(F.format_string("http://x%d.a.b.c.other.org/long/path/of/%d", "id", "id")).alias("url"))
+    out = url_filter.url_filter(pages, rules, broadcast_rows=0)
+    plan = out._jdf.queryExecution().optimizedPlan()
+    got = {r.page_id: r.verdict for r in out.collect()}
+    assert got == {i: "block" if i % 20 == 0 else "allow" for i in range(2000)}
+    join = plan.toString().split("Join LeftOuter")[1]
+    assert "Filter" in join[: join.index("Generate posexplode")]
+
+
 # --- chat --------------------------------------------------------------------------------------------------------------------
 
 
