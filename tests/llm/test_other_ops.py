@@ -1,6 +1,7 @@
 """Search, URL, chat and pipeline operators against brute force, and on awkward tables."""
 
 import json
+import re
 import math
 import random
 from collections import Counter
@@ -92,8 +93,9 @@ def test_url_filter_drops_failing_candidates_before_the_shuffle(spark):
     plan = out._jdf.queryExecution().optimizedPlan()
     got = {r.page_id: r.verdict for r in out.collect()}
     assert got == {i: "block" if i % 20 == 0 else "allow" for i in range(2000)}
-    join = plan.toString().split("Join LeftOuter")[1]
-    assert "Filter" in join[: join.index("Generate posexplode")]
+    tree = plan.toString()
+    above = tree[tree.index("Join LeftOuter") : tree.index("Generate posexplode")]
+    assert re.search(r"^[ :+-]*Filter .*\bat#", above, re.M), above
 
 
 # --- chat --------------------------------------------------------------------------------------------------------------------
