@@ -64,8 +64,8 @@ def cells(assigned: DataFrame) -> DataFrame:
     return part.groupBy("fold", "repeat", "inner", "kind", F.floor(F.col("i") / ROWS).alias("part")).applyInPandas(add, "fold long, repeat long, inner long, kind int, i int, g array<double>")
 
 
-def solve(plain: np.ndarray, weighted: np.ndarray, n_tasks: int, n_covs: int, params: dict[str, float]) -> solvers.Fitted:
-    """The model of a set of rows from its moments."""
+def solve(plain: np.ndarray, weighted: np.ndarray, n_tasks: int, n_covs: int, params: dict[str, float], start: np.ndarray | None = None) -> solvers.Fitted:
+    """The model of a set of rows from its moments; ``start`` (tasks, columns) is where to begin."""
     d = slice(1, len(plain) - n_tasks)
     t = slice(len(plain) - n_tasks, len(plain))
     n = plain[0, 0]
@@ -77,7 +77,7 @@ def solve(plain: np.ndarray, weighted: np.ndarray, n_tasks: int, n_covs: int, pa
     xm, ym = weighted[0, d] / w, weighted[0, t] / w
     g = (weighted[d, d] / w - np.outer(xm, xm)) / np.outer(s, s)
     c = (weighted[d, t] / w - np.outer(xm, ym)) / s[:, None]
-    b, ok = solvers.enet_gram(g, c[:, 0] if n_tasks == 1 else c, params["alpha_or_c"], params["l1_ratio"])
+    b, ok = solvers.enet_gram(g, c[:, 0] if n_tasks == 1 else c, params["alpha_or_c"], params["l1_ratio"], start=None if start is None else start.T if n_tasks > 1 else start[0])
     b = b[:, None] if b.ndim == 1 else b
     return solvers.Fitted(m, s, b.T, ym - (xm - m) / s @ b, ok)
 
