@@ -834,6 +834,50 @@ def residual_outcomes(spark, sf):
     return NestedCV(df, cfg).out_of_fold().select("row_id", "fold", (F.round("y_true", 4) + 0.0).alias("residual"))
 
 
+def one_feature(spark: SparkSession, sf: str, **change):
+    """Customers' balances on their largest order, and a configuration: one feature, whose elastic net has a closed form."""
+    return cust(spark, sf).select("row_id", "y", F.col("max_total").alias("x_max")), one_feature_config(**change)
+
+
+def one_feature_config(**change) -> Config:
+    return Config(Roles("row_id", "y", "x_"), "regression", "predict", model_params={"alpha_min_predict": 20.0, "alpha_max_predict": 2000.0}, **change)
+
+
+def _tried(n: int) -> list[dict[str, float]]:
+    from plover.functions.fitting import candidates
+
+    return candidates(one_feature_config(), n, 42)
+
+
+ONE = "one AS (SELECT row_id, y, max_total - avg(max_total) OVER () AS x FROM cust)"
+TRIED_SQL = "tried(cand_id, a, l1) AS (VALUES " + ", ".join(f"({i}, {p['alpha_or_c']!r}::DOUBLE, {p['l1_ratio']!r}::DOUBLE)" for i, p in enumerate(_tried(3))) + ")"
+# Of sums less the row's own: means, sd, covariance with the standardised feature, and the soft-thresholded slope.
+LESS = """m AS (SELECT *, (sx - x) / (n - 1) AS mx, (sy - y) / (n - 1) AS my FROM s),
+v AS (SELECT *, sqrt((sxx - x * x) / (n - 1) - mx * mx) AS sd, (sxy - x * y) / (n - 1) - mx * my AS cxy FROM m),
+b AS (SELECT *, my + sign(cxy) * greatest(abs(cxy / sd) - a * l1, 0) / (1 + a * (1 - l1)) * (x - mx) / sd AS y_pred FROM v, tried)"""
+
+
+@query(f"""WITH {CUST}, {ONE}, {TRIED_SQL}, s AS (SELECT row_id, x, y, count(*) OVER () AS n, sum(x) OVER () AS sx, sum(y) OVER () AS sy, sum(x * x) OVER () AS sxx, sum(x * y) OVER () AS sxy FROM one),
+{LESS} SELECT row_id, round(y, 3) AS y_true, round(y_pred, 3) + 0.0 AS y_pred FROM b WHERE cand_id = 0""")
+def loo_predictions(spark, sf):
+    """Each row predicted by the elastic net of all others."""
+    from plover.plans import leave_one_out
+
+    out = leave_one_out.outer(*one_feature(spark, sf, outer_folds="LOO", n_candidates=1))
+    return out.select("row_id", F.round("y_true", 3).alias("y_true"), (F.round("y_pred", 3) + 0.0).alias("y_pred"))
+
+
+@query(f"""WITH {CUST}, {ONE}, {TRIED_SQL}, f AS ({ntile_sql(42, 5, 'one', 'row_id, x, y')}), k AS (SELECT range AS k FROM range(5)),
+s AS (SELECT k, x, y, count(*) OVER w AS n, sum(x) OVER w AS sx, sum(y) OVER w AS sy, sum(x * x) OVER w AS sxx, sum(x * y) OVER w AS sxy FROM f, k WHERE fold <> k WINDOW w AS (PARTITION BY k)),
+{LESS} SELECT k AS fold, cand_id::BIGINT AS cand_id, round(-avg((y - y_pred) * (y - y_pred)) / 1000000, 6) AS score FROM b GROUP BY 1, 2""")
+def loo_inner_search(spark, sf):
+    """Candidates' inner scores with validation sets of one row each."""
+    from plover.plans import leave_one_out
+
+    out = leave_one_out.inner(*one_feature(spark, sf, outer_folds=5, inner_folds="LOO", n_candidates=3))
+    return out.select("fold", "cand_id", F.round(F.col("score") / 1_000_000, 6).alias("score"))
+
+
 @query()
 def nested_cv_multitask(spark, sf):
     return _performance(spark, sf, "multitask")
