@@ -95,9 +95,13 @@ def squared_errors(plain: np.ndarray, model: solvers.Fitted) -> np.ndarray:
     return np.maximum(np.array(out), 0)
 
 
+def _means(rows: DataFrame) -> DataFrame:
+    return rows.select(F.posexplode("design").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i")
+
+
 def centred(rows: DataFrame) -> DataFrame:
     """``design`` less its columns' means, so that sums of squares lose no digits; no result depends on it."""
-    m = [r.m for r in rows.select(F.posexplode("design").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()]  # a row a column
+    m = [r.m for r in _means(rows).collect()]  # a row a column
     return rows.withColumn("design", F.zip_with("design", F.array(*[F.lit(x) for x in m]).cast("array<double>"), lambda x, c: x - c))
 
 
@@ -115,7 +119,8 @@ class NestedCV:
         n_cells, size = int(cfg.outer_folds) * cfg.inner_repeats * int(cfg.inner_folds), self.recipe.size
         if n_cells * 2 * size * size * 8 > MAX_BYTES:
             raise ValueError(f"moments of {n_cells} cells and {size} columns are over the bound")
-        self.rows = centred(rows.withColumn("design", F.concat("cov", "features") if self.recipe.n_covs else F.col("features")))
+        self.raw_rows = rows.withColumn("design", F.concat("cov", "features") if self.recipe.n_covs else F.col("features"))
+        self.rows = centred(self.raw_rows)
         found: dict[tuple[int, int, int, int], np.ndarray] = {}
         for r in cells(assign(self.rows, cfg)).orderBy("i").collect():  # bounded above
             found.setdefault((r.fold, r.repeat, r.inner, r.kind), np.zeros((size, size)))[r.i] = r.g
@@ -201,6 +206,26 @@ class NestedCV:
 
         return self.changes.mapInPandas(run, "fold long, cluster string, feature string, loading double")
 
+    def representative(self, fold: int = 0) -> DataFrame:
+        """``row_id, names ARRAY, values ARRAY`` of all rows: covariates of the design, and features as the fold's reducer changes them."""
+        recipe, uncentred = self.recipe, self.raw_rows
+        made = pickle.loads(self.changes.filter(F.col("fold") == fold).first().change)  # of columns^2 numbers, within the bound above
+        means = np.array([r.m for r in _means(uncentred).collect()])  # a row a column
+        q = recipe.n_covs
+        a = made.reducer.affine()
+        through = np.ones(len(a)) if recipe.cfg.reduction == "none" else np.array([float(m is None) for _, m, _, _ in made.reducer.parts])
+        back = a[:, 1:] @ means[q:] * through  # columns that pass through get their mean again
+        covs = list(recipe.cfg.roles.covariates)[: made.n_covs]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    x = np.stack(pdf["design"].to_numpy())
+                    out = np.column_stack([x[:, : made.n_covs], (x[:, q:] - means[q:]) @ a[:, 1:].T + a[:, 0] + back])
+                    yield pd.DataFrame({"row_id": pdf["row_id"], "names": [covs + made.reducer.names] * len(pdf), "values": list(out)})
+
+        return uncentred.select("row_id", "design").mapInPandas(run, "row_id string, names array<string>, values array<double>")
+
 
 def nested_cv(df: DataFrame, cfg: Config, cluster_map: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``row_id, fold, task, y_true, y_pred``; ``fold, task, feature, coef``; and each fold's parameters."""

@@ -995,6 +995,13 @@ def cluster_pca_scores(spark, sf):
     return by_moments(spark, sf, "regression", reduction="apriori", n_candidates=2).coefficients(reduced=True)
 
 
+@query()
+def fold_representatives(spark, sf):
+    """Every row's cluster scores by the first fold's reducer."""
+    d = by_moments(spark, sf, "regression", reduction="apriori", n_candidates=1).representative()
+    return d.select("row_id", F.explode(F.map_from_arrays("names", "values")).alias("name", "score"))
+
+
 @query()
 def pearson_clusters(spark, sf):
     """Density clusters by distances of each fold's correlations, from its moments."""

@@ -52,6 +52,11 @@ def test_moments_equal_rows(spark, case):
     reduced = {(r.fold, r.task, r.feature): r.coef for r in got.coefficients(reduced=True).collect()}
     loadings = {(r.fold, r.cluster, r.feature): r.loading for r in got.loadings().collect()}
     assert len(oof) == 2 * len(b.ids)
+    shown = {r.row_id: r for r in got.representative().collect()}
+    first = fold_models(b, folds, cfg, params)[0]
+    want = np.column_stack([b.cov[:, : first.n_covs], first.reducer.transform(b.x)])
+    assert len(shown) == len(b.ids) and shown[b.ids[0]].names == list(cfg.roles.covariates)[: first.n_covs] + first.reducer.names
+    assert np.allclose([shown[i]["values"] for i in b.ids], want, atol=1e-6)
     n_reduced = n_loadings = 0
     for k, m in enumerate(fold_models(b, folds, cfg, params)):
         te = b.take(np.flatnonzero(folds == k))
