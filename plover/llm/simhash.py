@@ -9,12 +9,14 @@ A pair of segments makes a 24-bit key: each fingerprint is listed under 3 keys a
 found by an equi-join, and verified by counting bits.
 
 ``similar_groups`` groups texts whose word shingles (five words, each once, case of A-Z and kind of white space ignored) have a
-Jaccard similarity of 0.8 or more.  Candidates come from ``PRINTS`` fingerprints of a text's distinct pairs of words, one for
-each of as many mixes of the hashes: texts that meet under a Golay key of any, and whose fingerprints differ in at most
-``MEAN_BITS`` bits on average, are compared as whole texts.  In a key's texts, neighbours in order are compared first; then, as
-long as they aren't one component, those outside the largest component meet all others, so no candidate is left out
-and large groups take few pairs.  What is kept is verified; what may be missed is a pair that meets under no key: see the
-README for the share found at each similarity.
+Jaccard similarity of 0.8 or more; it finds all of them.
+
+1. A similar text has at least 0.8 of a text's shingles.  Shingles are dealt by hash, packed by batch of texts, and
+   texts of whose shingles fewer than that occur in other texts are done.
+2. Of the others, the shingles are ordered by how many of these texts have them.  Two similar texts share one of their
+   rarest ``size - ceil(0.8 * size) + 1``, so the texts that share such ones hang together.
+3. Texts that hang together are compared with each other: in one task up to a tile's bounds, else in tiles by size, two at a time, as products of
+   0/1 matrices.  Pairs are never listed; a group gives links that span its similar texts, each verified on the texts.
 
 Distinct fingerprints are linked, not documents, so copies are never expanded into pairs.  Components come from
 distributed label propagation with hooking and pointer jumping; labels are written to the shared folder in each round.
@@ -30,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plover.llm.common import discard, save, text_or_empty
+from plover.llm.common import discard, parts, save, text_or_empty
 
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
@@ -170,10 +172,11 @@ def near_duplicates(docs: DataFrame, n: int = 3, max_bits: int = MAX_BITS, id_co
     return made.join(of, made["fp"] == of["f"]).select("doc_id", "fp", "component_id")
 
 
-PRINTS = 4
-PAIR_WORDS = 2
-MEAN_BITS = 14
-SALT = 256
+SIMILARITY = 0.8
+BUCKET = 1 << 22  # shingles that a task sorts at once
+FLUSH = 1 << 21
+TILE, TILE_SHINGLES = 512, 1 << 20  # texts of a tile, and their shingles
+WIDE = 4096
 
 
 def shingles(text: str, n: int = 5) -> set[bytes]:
@@ -181,7 +184,6 @@ def shingles(text: str, n: int = 5) -> set[bytes]:
     return {b" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)  # the bits of every byte, lowest first
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -206,57 +208,6 @@ def shingle_hashes(words: list[bytes], sizes: tuple[int, ...]) -> list[np.ndarra
     return [out[min(n, len(word))] for n in sizes]
 
 
-def prints(hashes: np.ndarray, k: int = PRINTS) -> np.ndarray:
-    """``k`` fingerprints, as signed longs, of a text's shingles by their distinct hashes: a mix of the hashes for each."""
-    if not len(hashes):
-        return np.zeros(k, dtype=np.int64)
-    total = np.zeros(k * 8 * 256, dtype=np.int64)
-    at = (np.arange(k * 8) * 256).reshape(k, 1, 8)
-    salts = (np.arange(k, dtype=np.uint64) * _GOLDEN)[:, None]
-    for j in range(0, len(hashes), 1 << 14):
-        x = _mixed(hashes[None, j : j + (1 << 14)] + salts)
-        total += np.bincount((x.view(np.uint8).reshape(k, -1, 8) + at).ravel(), minlength=len(total))
-    set_bits = total.reshape(k, 8, 256) @ _BITS
-    return np.packbits((2 * set_bits > len(hashes)).reshape(k, 64), axis=1, bitorder="little").view("<i8")[:, 0]
-
-
-def _print_rows(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps, sizes = [], []
-            for t in b.column(1):
-                pairs, whole = shingle_hashes(t.as_py().encode("utf-8", "surrogatepass").translate(_LOWER).split(), (PAIR_WORDS, shingle))
-                fps.append(prints(pairs).tolist())
-                sizes.append(len(whole))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array(sizes, pa.int32())], ["node", "fps", "size"])
-
-    return run
-
-
-def _print_keys(near: bool):
-    """Keys (with the fingerprint's number) under which nodes are listed, or looked up."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        golay = Golay()
-        for b in batches:
-            for k in range(0, b.num_rows, 1024):
-                c = b.slice(k, 1024)
-                node = c.column(0).to_numpy(zero_copy_only=False)
-                fps = np.array(c.column(1).to_pylist(), dtype=np.int64)
-                for r in range(fps.shape[1]):
-                    segments = _segments(np.ascontiguousarray(fps[:, r]))
-                    if near:
-                        found = [golay.keys(x, n) for x, (_, n) in zip(segments, SEGMENTS, strict=True)]
-                    else:
-                        found = [(golay.index(x)[:, None], np.ones((len(x), 1), dtype=bool)) for x in segments]
-                    for p, (i, j) in enumerate(PAIRS):
-                        at, x, y = np.nonzero(found[i][1][:, :, None] & found[j][1][:, None, :])
-                        keys = ((r * len(PAIRS) + p) << 24) | (found[i][0][at, x] << 12) | found[j][0][at, y]
-                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node[at])], ["key", "node"])
-
-    return run
-
-
 def alike(text: str, other: set[bytes], n: int, similarity: float) -> bool:
     """Whether a text's shingles and the set ``other`` have at least this Jaccard similarity.
 
@@ -278,81 +229,202 @@ def alike(text: str, other: set[bytes], n: int, similarity: float) -> bool:
     return len(shared) >= similarity * (len(missing) + len(other))
 
 
-def _verify(n: int, similarity: float):
+def _text_shingles(text: str, n: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles; texts without words share one."""
+    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    return shingle_hashes(words, (n,))[0] if words else np.zeros(1, dtype=np.uint64)
+
+
+def _deal(n: int, bits: int):
+    """Shingles by bucket (the hash's first ``bits``): a batch's texts that have some there, how many each, and the hashes' last 32 bits."""
+
+    def pack(nodes: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(h >> np.uint64(64 - bits), kind="stable")
+        h, owner, names = h[order], owner[order], np.array(nodes, dtype=np.int64)
+        bucket = (h >> np.uint64(64 - bits)).astype(np.int32)
+        edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(h)).tolist()
+        rows: list[tuple] = []
+        for i, j in zip(edge[:-1], edge[1:], strict=True):
+            own, many = np.unique(owner[i:j], return_counts=True)
+            rows.append((int(bucket[i]), names[own].tobytes(), many.astype(np.int32).tobytes(), h[i:j].astype(np.uint32).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "nodes", "counts", "hashes"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, sets, held = [], [], 0
         for b in batches:
-            keep, last, of = [], None, set()
-            for node, x, y in zip(b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                if node != last:  # the join leaves a text's pairs together
-                    last, of = node, shingles(y.as_py(), n)
-                keep.append(alike(x.as_py(), of, n, similarity))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for node, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                x = _text_shingles(t.as_py(), n)
+                nodes.append(node)
+                sets.append(x)
+                held += len(x)
+                if held >= FLUSH:
+                    yield from pack(nodes, sets)
+                    nodes, sets, held = [], [], 0
+        if sets:
+            yield from pack(nodes, sets)
 
     return run
 
 
-def _members(made: DataFrame) -> DataFrame:
-    """``key, node, fps, size, parts, l`` of the texts that meet others under a listed key, saved."""
-    listed = made.select("node", "fps").mapInArrow(_print_keys(False), "key long, node long")
-    lists = save(listed.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("lo"), F.max("node").alias("hi")), "listed-keys")
-    sought = made.select("node", "fps").mapInArrow(_print_keys(True), "key long, node long")
-    # A text is among those that look its own keys up.
-    hits = save(sought.hint("merge").join(lists.hint("merge"), F.col("key") == F.col("k")).select("key", "node", "lo", "hi"), "key-hits")
-    met = save(hits.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.ceil(F.count("*") / SALT).cast("int").alias("parts")).filter("lo < hi").select("k", "parts"), "met-keys")
-    members = hits.select("key", "node").join(met.hint("merge"), F.col("key") == F.col("k")).select("key", "node", "parts")
-    prints_of = made.select(F.col("node").alias("p_node"), "fps", "size")
-    out = save(members.join(prints_of.hint("merge"), F.col("node") == F.col("p_node")).select("key", "node", "fps", "size", "parts", F.col("node").alias("l")), "members")
-    for done in (hits, lists, met):
-        discard(done)
-    return out
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Of each bucket: its texts, and, in the order of hashes, the text's number, the hash and its occurrences of each shingle."""
+
+    def whole(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+        nodes, counts, h = (np.concatenate([np.frombuffer(r[i], dtype=t) for r in rows]) for i, t in ((1, np.int64), (2, np.int32), (3, np.uint32)))
+        order = np.argsort(h, kind="stable")
+        h, owner = h[order], np.repeat(np.arange(len(nodes), dtype=np.int32), counts)[order]
+        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        many = np.diff(np.append(start, len(h)))
+        return nodes, owner, h, np.repeat(many, many), rows[0][0]
+
+    rows: list[tuple] = []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if rows and rows[0][0] != row[0]:
+                yield whole(rows)
+                rows = []
+            rows.append(row)
+    if rows:
+        yield whole(rows)
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of each text's shingles in a bucket another text has too, and how many it has there."""
+    for nodes, owner, _, many, _ in _buckets(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.bincount(owner[many > 1], minlength=len(nodes))), pa.array(np.bincount(owner, minlength=len(nodes)))], ["node", "shared", "size"])
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's shingles in a bucket that another text has too, with their occurrences, and how many it has there."""
+    for nodes, owner, h, many, bucket in _buckets(batches):
+        size, held = np.bincount(owner, minlength=len(nodes)), many > 1
+        order = np.argsort(owner[held], kind="stable")
+        key = (h[held][order].astype(np.int64)) | (bucket << 32)
+        edge = np.append(0, np.cumsum(np.bincount(owner[held], minlength=len(nodes)))).astype(np.int32)
+        shared = pa.ListArray.from_arrays(pa.array(edge), pa.StructArray.from_arrays([pa.array(many[held][order].astype(np.int32)), pa.array(key)], ["many", "key"]))
+        for i in range(0, len(nodes), 1024):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 1024]), shared[i : i + 1024], pa.array(size[i : i + 1024])], ["node", "shared", "size"])
+
+
+def _dealt(texts: DataFrame, n: int) -> DataFrame:
+    """Rows of :func:`_deal`; a task has the rows of a bucket together.  Buckets hold about ``BUCKET`` shingles each, so their number grows with the texts."""
+    held = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(4, int(held // 6 // BUCKET).bit_length())
+    return texts.select("node", "text").mapInArrow(_deal(n, bits), "bucket int, nodes binary, counts binary, hashes binary").repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
+
+
+def _linked(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> np.ndarray:
+    """Which two of the sets of hashes are similar; where both sides occur, of the two sides only."""
+    size = np.array([len(x) for x in sets])
+    h, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(h, kind="stable")
+    h, owner = h[order], owner[order]
+    new = np.append(True, h[1:] != h[:-1])
+    many = np.diff(np.append(np.flatnonzero(new), len(h)))
+    term, kept = np.cumsum(new) - 1, np.repeat(many > 1, many)
+    term, owner = (np.cumsum(many > 1) - 1)[term[kept]], owner[kept]
+    both = np.zeros((len(sets), len(sets)), dtype=np.int64)
+    for i in range(0, int(term[-1]) + 1 if len(term) else 0, WIDE):
+        a, b = np.searchsorted(term, (i, i + WIDE))
+        m = np.zeros((len(sets), min(WIDE, int(term[-1]) + 1 - i)), dtype=np.float32)
+        m[owner[a:b], term[a:b] - i] = 1
+        both += (m @ m.T).astype(np.int64)  # whole numbers below 2^24
+    near = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-9
+    return near & (side[:, None] != side[None, :]) if side.any() and not side.all() else near
+
+
+def _compare(n: int, similarity: float):
+    """Links that span each group's similar texts, verified on the texts."""
+
+    def forest(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        side = np.array([r[5] for r in rows], dtype=bool)
+        near = _linked([_text_shingles(r[6], n) for r in rows], side, similarity)
+        np.fill_diagonal(near, False)
+        new = near.any(1)
+        for first in range(len(rows)):
+            todo = [first] if new[first] else []
+            new[first] = False
+            while todo:
+                at = todo.pop()
+                found = np.flatnonzero(near[at] & new)
+                of = shingles(rows[at][6], n) if len(found) else set()
+                for j in found.tolist():
+                    if alike(rows[j][6], of, n, similarity):
+                        new[j] = False
+                        todo.append(j)
+                        yield rows[at][4], rows[j][4]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            if links := list(forest(rows)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
+
+        rows: list[tuple] = []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if rows and rows[0][:4] != row[:4]:
+                    yield from made(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield from made(rows)
+
+    return run
 
 
-def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame | None:
+def _tiles(members: DataFrame, similarity: float) -> DataFrame:
+    """``node`` and the groups ``root, band, low, high`` in which it is compared (``side``: as one of the second of two tiles).
+
+    Texts that hang together and fill one tile at most are one group.  More are cut by size into bands, so that similar ones are in one
+    band or in neighbours, and bands into tiles; every two tiles of a band, or of neighbours, make a group.
+    """
+    sized = members.withColumn("b", F.floor(F.log("size") / F.log(F.lit(1.0001 / similarity))).cast("int"))
+    tiles = lambda n, size: F.ceil(F.greatest(n / TILE, size / TILE_SHINGLES)).cast("int")
+    counts = sized.groupBy("root", "b").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    bands = counts.groupBy(F.col("root").alias("r")).agg(tiles(F.sum("n"), F.sum("s")).alias("all"), F.map_from_entries(F.collect_list(F.struct("b", tiles(F.col("n"), F.col("s"))))).alias("parts"))
+    parts_of = lambda b: F.coalesce(F.try_element_at("parts", b), F.lit(0))
+    part = F.pmod(F.xxhash64("node"), parts_of(F.col("b"))).cast("int")
+    row = sized.join(bands, F.col("root") == F.col("r")).withColumn("part", part)
+    group = lambda band, low, high, side: F.struct(band.alias("band"), low.alias("low"), high.alias("high"), side.alias("side"))
+    upto = lambda b, f: F.transform(F.filter(F.sequence(F.lit(0), parts_of(b)), lambda j: j < parts_of(b)), f)
+    own, b = F.col("part"), F.col("b")
+    many = F.concat(
+        upto(b, lambda j: group(2 * b, F.least(own, j), F.greatest(own, j), own > j)),
+        upto(b + 1, lambda j: group(2 * b + 1, own, j, F.lit(False))),
+        upto(b - 1, lambda j: group(2 * b - 1, j, own, F.lit(True))),
+    )
+    one = F.array(group(F.lit(0), F.lit(0), F.lit(0), F.lit(False)))
+    return row.select("node", "root", F.explode(F.when(F.col("all") == 1, one).otherwise(many)).alias("g")).select("node", "root", "g.*")
+
+
+def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """``v, root`` of the nodes of ``texts`` (``node, text``, a row each) that have a similar one: components of similar pairs."""
-    made = save(texts.select("node", "text").mapInArrow(_print_rows(shingle), "node long, fps array<long>, size int"), "prints")
-    members = _members(made)
-    discard(made)
-    bits = F.aggregate(F.zip_with("fps", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    close = (F.least("size", "size_b") >= similarity * F.greatest("size", "size_b") - 1e-9) & (bits <= MEAN_BITS * PRINTS)
-    edges, roots, own = None, None, ("node", "fps", "size", "l")
-    for last in (False, True):
-        if members.limit(1).count() == 0:
-            break
-        if not last:
-            order = Window.partitionBy("key", F.pmod(F.xxhash64("node"), F.col("parts"))).orderBy("size", "node")
-            pairs = members.select(*own, *[F.lag(c).over(order).alias(f"{c}_b") for c in own]).filter((F.col("l") != F.col("l_b")) & close)
-        else:
-            # Of each key's texts, those outside its largest component meet all others.
-            largest = members.groupBy("key", "l").count().groupBy(F.col("key").alias("k")).agg(F.max_by("l", F.struct("count", "l")).alias("largest"))
-            every = save(members.join(largest.hint("merge"), F.col("key") == F.col("k")).select("key", *own, "parts", (F.col("l") != F.col("largest")).alias("minor")), "open-members")
-            left = every.filter("minor").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            right = every.select("key", *(F.col(c).alias(f"{c}_b") for c in (*own, "minor")), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("salt"))
-            once = ~F.col("minor_b") | (F.col("node") < F.col("node_b"))
-            pairs = left.hint("merge").join(right, ["key", "salt"]).filter((F.col("l") != F.col("l_b")) & once & close)
-        pairs = save(pairs.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct(), "candidate-pairs")
-        if last:
-            discard(every)
-            discard(members)
-        ids = save(pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct(), "candidate-texts")
-        whole = save(texts.join(ids.hint("merge"), F.col("node") == F.col("i"), "left_semi").select("node", "text"), "similar-texts")
-        ta, tb = whole.select(F.col("node").alias("xa"), F.col("text").alias("text_a")), whole.select(F.col("node").alias("xb"), F.col("text").alias("text_b"))
-        both = pairs.join(ta.hint("merge"), F.col("a") == F.col("xa")).join(tb.hint("merge"), F.col("b") == F.col("xb")).select("a", "b", "text_a", "text_b")
-        found = save(both.mapInArrow(_verify(shingle, similarity), "a long, b long"), "similar-links")
-        for done in (whole, ids, pairs):
-            discard(done)
-        edges = found if edges is None else edges.union(found)
-        roots = components(edges)
-        if not last:
-            known = members.drop("l").join(roots, F.col("node") == F.col("v"), "left").select("key", "node", "fps", "size", "parts", F.coalesce("root", "node").alias("l"))
-            known = save(known, "labelled-members")
-            still = save(known.groupBy(F.col("key").alias("k")).agg(F.min("l").alias("lo"), F.max("l").alias("hi")).filter("lo < hi").select("k"), "open-keys")
-            discard(members)
-            members = save(known.join(still.hint("merge"), F.col("key") == F.col("k"), "left_semi"), "members")
-            discard(known)
-    return roots
-
-
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    enough = F.ceil(similarity * F.col("size") - 1e-9)  # of its shingles, a similar text has so many
+    counted = _dealt(texts, shingle).mapInArrow(_repeated, "node long, shared long, size long").groupBy(F.col("node").alias("i")).agg(F.sum("shared").alias("shared"), F.sum("size").alias("size"))
+    ids = save(counted.filter(F.col("shared") >= enough).select("i"), "candidate-texts")
+    whole = save(texts.join(ids.hint("merge"), F.col("node") == F.col("i"), "left_semi").select("node", "text"), "similar-texts")
+    discard(ids)
+    listed = _dealt(whole, shingle).mapInArrow(_occurrences, "node long, shared array<struct<many: int, key: long>>, size long").groupBy("node").agg(F.flatten(F.collect_list("shared")).alias("shared"), F.sum("size").alias("size"))
+    # The rarest shingles come first; those of one text only are met by none.
+    first = (F.lit(1) - enough + F.size("shared")).cast("int")
+    prefixes = save(listed.filter(first > 0).select("node", "size", F.slice(F.sort_array("shared"), F.lit(1), first)["key"].alias("keys")), "prefixes")
+    members = prefixes.select("node", F.explode(F.array_distinct("keys")).alias("key"))
+    met = members.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("k", "a")
+    stars = save(members.join(met.hint("merge"), F.col("key") == F.col("k")).filter("a < node").select("a", F.col("node").alias("b")).distinct(), "candidate-links")
+    groups = components(stars)
+    discard(stars)
+    tiles = save(_tiles(prefixes.join(groups, F.col("node") == F.col("v")).select("node", "size", "root"), similarity), "tiles")
+    discard(prefixes)
+    copies = tiles.withColumnRenamed("node", "i").join(whole.hint("merge"), F.col("i") == F.col("node")).select("root", "band", "low", "high", "node", "side", "text")
+    copies = copies.repartition(parts(texts), "root", "band", "low", "high").sortWithinPartitions("root", "band", "low", "high")
+    found = save(copies.mapInArrow(_compare(shingle, similarity), "a long, b long"), "similar-links")
+    for done in (whole, tiles):
+        discard(done)
+    return components(found)
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, group_id`` (and ``node``, the text's hash) of every row: the smallest id of its text's component under similarity; equal texts are similar."""
     rows = docs.select(docs[id_col].alias("doc_id"), text_or_empty(docs[text_col]).alias("text")).withColumn("node", F.xxhash64("text"))
     least = save(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct-texts")
@@ -360,7 +432,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
     if least.filter("copies > 1").limit(1).count():  # none after exact dedup, which saves a shuffle of the texts
         texts = save(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
     roots = similar_texts(texts, shingle, similarity)
-    named = least.withColumn("root", F.col("node")) if roots is None else least.join(roots, F.col("node") == F.col("v"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = least.join(roots, F.col("node") == F.col("v"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("group_id"))
     of = save(named.join(ids, "root").select(F.col("node").alias("f"), "group_id"), "text-groups")
     return rows.join(of, F.col("node") == F.col("f")).select("doc_id", "group_id", "node")

@@ -273,6 +273,46 @@ def test_only_similar_texts_are_grouped(spark):
     assert {x.doc_id for x in simhash.drop(df).collect()} == set(least.values())
 
 
+def test_isolated_pairs_just_above_the_threshold(spark):
+    """A tenth cut in front and words added at the end: all are found, by whatever words they share."""
+    r = random.Random(8)
+    rows = []
+    for i in range(300):
+        w = [f"w{int(10 ** r.uniform(0, 4))}" for _ in range(r.randint(60, 400))]
+        v = w[len(w) // 10 :] + [f"z{r.randint(0, 10**6)}" for _ in range(len(w) // 14)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    want = brute_similar(rows)
+    got = {x.doc_id: x.group_id for x in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(want[2 * i] == want[2 * i + 1] for i in range(300)) > 200
+    least = {}
+    for i in sorted(want):
+        least.setdefault(want[i], i)
+    assert got == {i: least[want[i]] for i in want}
+
+
+@pytest.mark.parametrize("tile", [3, 40, 512])
+def test_large_groups_by_tiles(spark, monkeypatch, tile):
+    """Copies of one text at 0.4 to 0.95, of several sizes: links are found between all tiles, and no step lists pairs."""
+    r, made = random.Random(9), {}
+    monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "save", lambda df, name, own=simhash.save: made.setdefault((name, len(made)), own(df, name)))
+    monkeypatch.setattr(simhash, "discard", lambda saved: None)
+    base = [f"w{r.randint(0, 10**6)}" for _ in range(140)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for p in r.sample(range(140), r.randint(1, 9)):
+            w[p] = f"z{r.randint(0, 40)}"
+        rows.append((i, " ".join(w[: r.choice((140, 125, 110))])))
+    want, least = brute_similar(rows), {}
+    for i in sorted(want):
+        least.setdefault(want[i], i)
+    got = {x.doc_id: x.group_id for x in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: least[want[i]] for i in want} and 1 < len(set(want.values())) < 140
+    assert tile < 40 or max(df.count() for df in made.values()) < 150 * 16
+    assert simhash.similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     n = 200
     order = np.random.RandomState(1).permutation(n).tolist()
