@@ -28,7 +28,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -59,10 +60,17 @@ def held_out(id_col: Column, folds: int = FOLDS) -> Column:
 
 
 def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the ranges, and the range of each."""
-    n = end - begin
-    of = np.repeat(np.arange(len(n)), n)
-    return np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + begin[of], of
+    """All numbers of the ranges, and how many each range has."""
+    n = (end - begin).astype(np.int64)
+    after = np.cumsum(n)
+    at = np.repeat(begin - after + n, n)
+    at += np.arange(len(at))
+    return at, n
+
+
+def _numbers(known: dict[str, int], terms: Collection[str]) -> np.ndarray:
+    """The terms' numbers, -1 for those that have none."""
+    return np.fromiter(map(known.get, terms, repeat(-1)), np.int64, len(terms))
 
 
 class Index:
@@ -124,10 +132,10 @@ class Index:
         if self.known is None:
             self.known = {t: i for i, t in enumerate(self.words)}
         counts = Counter(words(text))
-        found = [(i, n) for i, n in zip(map(self.known.get, counts), counts.values(), strict=True) if i is not None]
-        if not found:
+        t, n = _numbers(self.known, counts), np.fromiter(counts.values(), np.int64, len(counts))
+        t, n = t[t >= 0], n[t >= 0]
+        if not len(t):
             return np.empty(0, np.int64), np.empty(0)
-        t, n = np.array(found, dtype=np.int64).T
         w = (1 + np.log(n)) * self.weight[t]
         return t, w / math.sqrt(float(w @ w))
 
@@ -146,14 +154,14 @@ class Index:
             s[skip] = 0
         rare = self.row[t] < 0
         t, q = t[rare], q[rare]
-        at, of = _ranges(self.ends[t], self.ends[t + 1])
-        block = self.block[at]
-        bound = s.reshape(-1, BLOCK).max(1) + np.bincount(block, weights=q[of] * self.most[at], minlength=self.n_blocks)
+        at, n = _ranges(self.ends[t], self.ends[t + 1])
+        block, of = self.block[at], np.repeat(q, n)
+        bound = s.reshape(-1, BLOCK).max(1) + np.bincount(block, weights=of * self.most[at], minlength=self.n_blocks)
         kth = np.partition(s, len(s) - self.k)[len(s) - self.k] if len(s) >= self.k else 0.0
-        use = (bound >= kth - 1e-12)[block]
-        pair, w = at[use], q[of[use]]
-        post, by = _ranges(self.cut[pair], self.cut[pair + 1])
-        s += np.bincount(self.docs[post], weights=w[by] * self.weights[post], minlength=len(s))
+        use = np.flatnonzero((bound >= kth - 1e-12)[block])
+        pair = at[use]
+        post, n = _ranges(self.cut[pair], self.cut[pair + 1])
+        s += np.bincount(self.docs[post], weights=np.repeat(of[use], n) * self.weights[post], minlength=len(s))
         if skip >= 0:
             s[skip] = 0
         kth = np.partition(s, len(s) - self.k)[len(s) - self.k] if len(s) >= self.k else 0.0
@@ -222,13 +230,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, folds: i
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = {t: i for i, t in enumerate(shared.value)}
-        held, n = np.zeros(len(ids), dtype=np.int64), 0
+        held, n = np.zeros(len(ids) + 1, dtype=np.int64), 0  # the last counts for terms that the sample doesn't have
         for b in batches:
             n += b.num_rows
             for t in b.column(0):
-                at = [i for i in map(ids.get, set(words(t.as_py()))) if i is not None]
-                held[at] += 1
-        at = np.flatnonzero(held)
+                held[_numbers(ids, set(words(t.as_py())))] += 1
+        at = np.flatnonzero(held[:-1])
         for i in range(0, len(at), 1 << 16):
             part = at[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(held[part])], ["term", "n"])

@@ -573,6 +573,12 @@ def test_toxicity(spark):
         assert [e["doc_id"] for e in evidence] == index.ids[d].tolist()
 
 
+def test_terms_and_ranges_by_arrays():
+    assert toxicity._numbers({"a": 0, "b": 1}, ["b", "x", "a"]).tolist() == [1, -1, 0] and toxicity._numbers({}, []).tolist() == []
+    at, n = toxicity._ranges(np.array([5, 2, 9], np.int32), np.array([7, 2, 12], np.int32))
+    assert at.tolist() == [5, 6, 9, 10, 11] and n.tolist() == [2, 0, 3]
+
+
 def test_toxicity_edges(spark, docs, rows, empty, clash):
     none = spark.createDataFrame([(None, None, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
     index = toxicity.fit(docs, none)
