@@ -173,8 +173,8 @@ def near_duplicates(docs: DataFrame, n: int = 3, max_bits: int = MAX_BITS, id_co
 
 
 SIMILARITY = 0.8
-BUCKET = 1 << 22  # shingles that a task sorts at once
-FLUSH = 1 << 21
+BUCKET = 1 << 21  # shingles that a task sorts at once
+FLUSH = 1 << 20
 TILE, TILE_SHINGLES = 512, 1 << 20  # texts of a tile, and their shingles
 WIDE = 4096
 
