@@ -11,9 +11,9 @@ found by an equi-join, and verified by counting bits.
 ``similar_groups`` groups texts whose word shingles (five words, each once, case of A-Z and kind of white space ignored) have a
 Jaccard similarity of 0.8 or more; it finds all of them.
 
-1. A similar text has at least 0.8 of a text's shingles.  Shingles are dealt by hash, packed by batch of texts, and
-   texts of whose shingles fewer than that occur in other texts are done.
-2. Of the others, the shingles are ordered by how many of these texts have them.  Two similar texts share one of their
+1. A similar text has at least 0.8 of a text's shingles.  Shingles are dealt by hash, packed by batch of texts, counted, and
+   those that occur in other texts go back to their batch, packed.  Texts that have fewer than that are done.
+2. The others' shingles are ordered by how many texts have them.  Two similar texts share one of their
    rarest ``size - ceil(0.8 * size) + 1``, so the texts that share such ones hang together.
 3. Texts that hang together are compared with each other: in one task up to a tile's bounds, else in tiles by size, two at a time, as products of
    0/1 matrices.  Pairs are never listed; a group gives links that span its similar texts, each verified on the texts.
@@ -236,19 +236,26 @@ def _text_shingles(text: str, n: int) -> np.ndarray:
 
 
 def _deal(n: int, bits: int):
-    """Shingles by bucket (the hash's first ``bits``): a batch's texts that have some there, how many each, and the hashes' last 32 bits."""
+    """Shingles by batch of texts and bucket (the hash's first ``bits``): the last 32 bits of each hash that the batch has there, in how many
+    of its texts, and in which (their numbers).  The names and sizes of a batch's texts go with its first bucket; the first text names the batch.
+
+    A batch has 256 shingles a bucket at least (fewer where it holds 65,536 texts, or a task's last), so rows grow as the shingles do.
+    """
+    full = max(FLUSH, 256 << bits)
 
     def pack(nodes: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        h, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        order = np.argsort(h >> np.uint64(64 - bits), kind="stable")
-        h, owner, names = h[order], owner[order], np.array(nodes, dtype=np.int64)
-        bucket = (h >> np.uint64(64 - bits)).astype(np.int32)
+        sizes = np.array([len(x) for x in sets], dtype=np.int32)
+        h = np.concatenate(sets)
+        order = np.argsort(h)
+        h, owner = h[order], np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)[order]
+        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        many, h, at = np.diff(np.append(start, len(h))).astype(np.int32), h[start], np.append(start, len(h))
+        bucket, low = (h >> np.uint64(64 - bits)).astype(np.int32), h.astype(np.uint32)
         edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(h)).tolist()
-        rows: list[tuple] = []
+        names, rows = (np.array(nodes, dtype=np.int64).tobytes(), sizes.tobytes()), []
         for i, j in zip(edge[:-1], edge[1:], strict=True):
-            own, many = np.unique(owner[i:j], return_counts=True)
-            rows.append((int(bucket[i]), names[own].tobytes(), many.astype(np.int32).tobytes(), h[i:j].astype(np.uint32).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "nodes", "counts", "hashes"])
+            rows.append((int(bucket[i]), nodes[0], *(names if i == 0 else (b"", b"")), low[i:j].tobytes(), many[i:j].tobytes(), owner[at[i] : at[j]].tobytes(), None))
+        yield _packed(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, sets, held = [], [], 0
@@ -258,7 +265,7 @@ def _deal(n: int, bits: int):
                 nodes.append(node)
                 sets.append(x)
                 held += len(x)
-                if held >= FLUSH:
+                if held >= full or len(nodes) == 1 << 16:
                     yield from pack(nodes, sets)
                     nodes, sets, held = [], [], 0
         if sets:
@@ -267,51 +274,83 @@ def _deal(n: int, bits: int):
     return run
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
-    """Of each bucket: its texts, and, in the order of hashes, the text's number, the hash and its occurrences of each shingle."""
+_PACKED = ("bucket", "batch", "names", "sizes", "hashes", "many", "owners", "totals")
+_KINDS = "bucket int, batch long, " + ", ".join(f"{c} binary" for c in _PACKED[2:])
 
-    def whole(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-        nodes, counts, h = (np.concatenate([np.frombuffer(r[i], dtype=t) for r in rows]) for i, t in ((1, np.int64), (2, np.int32), (3, np.uint32)))
-        order = np.argsort(h, kind="stable")
-        h, owner = h[order], np.repeat(np.arange(len(nodes), dtype=np.int32), counts)[order]
-        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        many = np.diff(np.append(start, len(h)))
-        return nodes, owner, h, np.repeat(many, many), rows[0][0]
 
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), *(pa.binary(),) * 6), strict=True)], list(_PACKED))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[tuple]]:
+    """Rows that follow each other with the same value in ``column``."""
     rows: list[tuple] = []
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if rows and rows[0][0] != row[0]:
-                yield whole(rows)
+            if rows and rows[0][column] != row[column]:
+                yield rows
                 rows = []
             rows.append(row)
     if rows:
-        yield whole(rows)
+        yield rows
+
 
+def _joined(rows: list[tuple], column: int, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(r[column] for r in rows), dtype=kind)
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many of each text's shingles in a bucket another text has too, and how many it has there."""
-    for nodes, owner, _, many, _ in _buckets(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.bincount(owner[many > 1], minlength=len(nodes))), pa.array(np.bincount(owner, minlength=len(nodes)))], ["node", "shared", "size"])
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a bucket's rows, the shingles that two texts or more have, with how many have them (``totals``), by batch as they came."""
+    for rows in _runs(batches, 0):
+        many = _joined(rows, 5, np.int32)
+        values, at = np.unique(_joined(rows, 4, np.uint32), return_inverse=True)
+        total = np.bincount(at, many, len(values)).astype(np.int64)[at]  # whole numbers below 2^53
+        out, begin = [], 0
+        for bucket, batch, names, sizes, hashes, own, owners, _ in rows:
+            h, own = np.frombuffer(hashes, dtype=np.uint32), np.frombuffer(own, dtype=np.int32)
+            t = total[begin : begin + len(h)]
+            begin += len(h)
+            met = t > 1
+            if names or met.any():
+                out.append((bucket, batch, names, sizes, h[met].tobytes(), own[met].tobytes(), np.frombuffer(owners, dtype=np.uint16)[np.repeat(met, own)].tobytes(), t[met].tobytes()))
+        if out:
+            yield _packed(out)
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's shingles in a bucket that another text has too, with their occurrences, and how many it has there."""
-    for nodes, owner, h, many, bucket in _buckets(batches):
-        size, held = np.bincount(owner, minlength=len(nodes)), many > 1
-        order = np.argsort(owner[held], kind="stable")
-        key = (h[held][order].astype(np.int64)) | (bucket << 32)
-        edge = np.append(0, np.cumsum(np.bincount(owner[held], minlength=len(nodes)))).astype(np.int32)
-        shared = pa.ListArray.from_arrays(pa.array(edge), pa.StructArray.from_arrays([pa.array(many[held][order].astype(np.int32)), pa.array(key)], ["many", "key"]))
-        for i in range(0, len(nodes), 1024):
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 1024]), shared[i : i + 1024], pa.array(size[i : i + 1024])], ["node", "shared", "size"])
+
+def _rarest(similarity: float):
+    """Each text that can have a similar one, its size, and its rarest shingles among which a similar text has one.
+
+    The rarest come first, and those of one text only are met by none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, 1):
+            names, size, own, owner = _joined(rows, 2, np.int64), _joined(rows, 3, np.int32).astype(np.int64), _joined(rows, 5, np.int32), _joined(rows, 6, np.uint16).astype(np.int64)
+            bucket = np.repeat(np.array([r[0] for r in rows], dtype=np.int64), [len(r[4]) // 4 for r in rows])
+            key, total = np.repeat(bucket << 32 | _joined(rows, 4, np.uint32), own), np.repeat(_joined(rows, 7, np.int64), own)
+            enough = np.ceil(similarity * size - 1e-9).astype(np.int64)  # of its shingles, a similar text has so many
+            first = 1 - enough + np.bincount(owner, minlength=len(names))
+            held = (first > 0)[owner]
+            key, total, owner = key[held], total[held], owner[held]
+            order = np.lexsort((key, total, owner))
+            key, owner = key[order], owner[order]
+            key = key[np.arange(len(owner)) - np.searchsorted(owner, owner) < first[owner]]
+            texts = np.flatnonzero(first > 0)
+            edge = np.append(0, np.cumsum(first[texts])).astype(np.int32)
+            if len(texts):
+                yield pa.RecordBatch.from_arrays([pa.array(names[texts]), pa.array(size[texts]), pa.ListArray.from_arrays(pa.array(edge), pa.array(key))], ["node", "size", "keys"])
+
+    return run
 
 
-def _dealt(texts: DataFrame, n: int) -> DataFrame:
-    """Rows of :func:`_deal`; a task has the rows of a bucket together.  Buckets hold about ``BUCKET`` shingles each, so their number grows with the texts."""
+def _prefixes(texts: DataFrame, n: int, similarity: float) -> DataFrame:
+    """``node, size, keys`` of :func:`_rarest`.  Buckets hold about ``BUCKET`` shingles each, so their number grows with the texts; a task has
+    the rows of a bucket together, and then those of a batch."""
     held = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, int(held // 6 // BUCKET).bit_length())
-    return texts.select("node", "text").mapInArrow(_deal(n, bits), "bucket int, nodes binary, counts binary, hashes binary").repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
+    dealt = texts.select("node", "text").mapInArrow(_deal(n, bits), _KINDS).repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
+    met = dealt.mapInArrow(_shared, _KINDS).repartition(parts(texts), "batch").sortWithinPartitions("batch")
+    return met.mapInArrow(_rarest(similarity), "node long, size long, keys array<long>")
 
 
 def _linked(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> np.ndarray:
@@ -400,15 +439,7 @@ def _tiles(members: DataFrame, similarity: float) -> DataFrame:
 
 def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """``v, root`` of the nodes of ``texts`` (``node, text``, a row each) that have a similar one: components of similar pairs."""
-    enough = F.ceil(similarity * F.col("size") - 1e-9)  # of its shingles, a similar text has so many
-    counted = _dealt(texts, shingle).mapInArrow(_repeated, "node long, shared long, size long").groupBy(F.col("node").alias("i")).agg(F.sum("shared").alias("shared"), F.sum("size").alias("size"))
-    ids = save(counted.filter(F.col("shared") >= enough).select("i"), "candidate-texts")
-    whole = save(texts.join(ids.hint("merge"), F.col("node") == F.col("i"), "left_semi").select("node", "text"), "similar-texts")
-    discard(ids)
-    listed = _dealt(whole, shingle).mapInArrow(_occurrences, "node long, shared array<struct<many: int, key: long>>, size long").groupBy("node").agg(F.flatten(F.collect_list("shared")).alias("shared"), F.sum("size").alias("size"))
-    # The rarest shingles come first; those of one text only are met by none.
-    first = (F.lit(1) - enough + F.size("shared")).cast("int")
-    prefixes = save(listed.filter(first > 0).select("node", "size", F.slice(F.sort_array("shared"), F.lit(1), first)["key"].alias("keys")), "prefixes")
+    prefixes = save(_prefixes(texts, shingle, similarity), "prefixes")
     members = prefixes.select("node", F.explode(F.array_distinct("keys")).alias("key"))
     met = members.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("k", "a")
     stars = save(members.join(met.hint("merge"), F.col("key") == F.col("k")).filter("a < node").select("a", F.col("node").alias("b")).distinct(), "candidate-links")
@@ -416,11 +447,10 @@ def similar_texts(texts: DataFrame, shingle: int = 5, similarity: float = SIMILA
     discard(stars)
     tiles = save(_tiles(prefixes.join(groups, F.col("node") == F.col("v")).select("node", "size", "root"), similarity), "tiles")
     discard(prefixes)
-    copies = tiles.withColumnRenamed("node", "i").join(whole.hint("merge"), F.col("i") == F.col("node")).select("root", "band", "low", "high", "node", "side", "text")
+    copies = tiles.withColumnRenamed("node", "i").join(texts.hint("merge"), F.col("i") == F.col("node")).select("root", "band", "low", "high", "node", "side", "text")
     copies = copies.repartition(parts(texts), "root", "band", "low", "high").sortWithinPartitions("root", "band", "low", "high")
     found = save(copies.mapInArrow(_compare(shingle, similarity), "a long, b long"), "similar-links")
-    for done in (whole, tiles):
-        discard(done)
+    discard(tiles)
     return components(found)
 
 

@@ -290,6 +290,46 @@ def test_isolated_pairs_just_above_the_threshold(spark):
     assert got == {i: least[want[i]] for i in want}
 
 
+@pytest.mark.parametrize("copies", [1, 4])
+def test_rows_between_tasks_follow_the_shingles(spark, monkeypatch, copies):
+    """Texts dealt over ever more buckets aren't listed with each of them: no step makes more rows than texts, or than packed pieces."""
+    made, frame = {}, type(spark.range(1))
+
+    def counting(self, func, schema, own=frame.mapInArrow):
+        total = made.setdefault((getattr(func, "__qualname__", ""), len(made)), spark.sparkContext.accumulator(0))
+
+        def run(batches):
+            for b in func(batches):
+                total.add(b.num_rows)
+                yield b
+
+        return own(self, run, schema)
+
+    r = random.Random(11)
+    rows = []
+    for i in range(100 * copies):
+        w = [f"w{r.randint(0, 10**6)}" for _ in range(60)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:-1], "z"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    monkeypatch.setattr(simhash, "BUCKET", 256)
+    monkeypatch.setattr(frame, "mapInArrow", counting)
+    got = {x.doc_id: x.group_id for x in simhash.similar_groups(df).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+    buckets = 1 << (sum(len(t) for _, t in rows) // 6 // 256).bit_length()
+    assert made and all(0 < n.value <= max(len(rows), 2 * buckets) for n in made.values()), {k: n.value for k, n in made.items()}
+
+
+def test_batches_of_any_size_count_alike(spark, monkeypatch):
+    """Shingles that occur in one batch only, in several, and in a batch more than once."""
+    rows = mixed_texts()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {x.doc_id: x.group_id for x in simhash.similar_groups(df).collect()}
+    for flush, bucket in ((1, 1 << 21), (1 << 20, 500)):
+        monkeypatch.setattr(simhash, "FLUSH", flush)
+        monkeypatch.setattr(simhash, "BUCKET", bucket)
+        assert {x.doc_id: x.group_id for x in simhash.similar_groups(df).collect()} == want
+
+
 @pytest.mark.parametrize("tile", [3, 40, 512])
 def test_large_groups_by_tiles(spark, monkeypatch, tile):
     """Copies of one text at 0.4 to 0.95, of several sizes: links are found between all tiles, and no step lists pairs."""
