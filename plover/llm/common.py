@@ -109,6 +109,17 @@ def parts(df: DataFrame, at_least: int = 1) -> int:
     return max(at_least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Whole texts that a Python task is handed at once; Spark's default is 10,000, a partition's at most.
+ARROW_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand Python tasks at most ``ARROW_ROWS`` rows at once: batches of whole texts are held by the JVM and by Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, ARROW_ROWS)
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow schema of Spark columns in DDL."""
     from pyspark.sql.pandas.types import to_arrow_schema
