@@ -112,12 +112,19 @@ def parts(df: DataFrame, at_least: int = 1) -> int:
 #: Whole texts that a Python task is handed at once; Spark's default is 10,000, a partition's at most.
 ARROW_ROWS = 1_000
 
+#: Bytes after which such a batch ends (it holds a row at least); Spark's default is 64 MB, which JVM and Python hold several times over.
+ARROW_BYTES = 4 << 20
+
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand Python tasks at most ``ARROW_ROWS`` rows at once: batches of whole texts are held by the JVM and by Python."""
+    """Hand Python tasks at most ``ARROW_ROWS`` rows and about ``ARROW_BYTES`` at once: batches of whole texts, or of packed rows, are held by the
+    JVM and by Python.  A bound in bytes that the session sets stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
         spark.conf.set(key, ARROW_ROWS)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, ARROW_BYTES)
 
 
 def arrow_schema(ddl: str) -> pa.Schema:

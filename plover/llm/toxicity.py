@@ -209,7 +209,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, folds: i
     known = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).filter(~held_out(F.col(id_col), folds)).select(F.col(id_col).cast("bigint").alias("l_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("l_id"), "l_id", "toxic").limit(max_train)
     spark = docs.sparkSession
-    known = spark.createDataFrame([tuple(r) for r in known.collect()], "l_id long, toxic int")  # bounded by max_train
+    got = known.collect()  # bounded by max_train
+    # As an Arrow table: rows from a list would start Python workers on the executors that stay for the whole run.
+    known = spark.createDataFrame(pa.table({"l_id": pa.array([r[0] for r in got], pa.int64()), "toxic": pa.array([r[1] for r in got], pa.int32())}))
     rows = docs.select(docs[id_col].cast("bigint").alias("id"), text_or_empty(docs[text_col]).alias("text"))
     sample = rows.join(F.broadcast(known), F.col("id") == F.col("l_id")).select("id", "toxic", F.xxhash64("text").alias("h"), "text")
 
