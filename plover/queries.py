@@ -695,7 +695,7 @@ def bootstrap_moments(spark, sf):
     t = resample.Table(df, Config(Roles("row_id", "y", "x_"), outer_folds=5, inner_folds=3, n_candidates=1))
     g = resample.sample_moments(t, splits.bootstrap_counts(t.rows, SEEDS), SEEDS)
     at = lambda k, div=1: F.round(F.col("g")[k] / div, 3) + F.lit(0.0)
-    return g.select(F.col("i").alias("seed"), at(0).alias("n"), at(1).alias("s_c"), at(3).alias("s_cc"), at(4, 1000).alias("s_cy"), at(5, 1_000_000).alias("s_yy"))
+    return g.select(F.col("i").alias("seed"), at(0).cast("long").alias("n"), at(1).alias("s_c"), at(3).alias("s_cc"), at(4, 1000).alias("s_cy"), at(5, 1_000_000).alias("s_yy"))
 
 
 # --- transformers ------------------------------------------------------------------------------------------------------------------------
