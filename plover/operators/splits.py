@@ -58,6 +58,28 @@ def stratified_kfold(df: DataFrame, k: int, label: str, seed: int = 42, row_id:
     return out.withColumn("fold", ((F.col("__before") + F.col("rn")) % k).cast("bigint")).drop("h", "rn", "__l", "__c", "__before")
 
 
+def training_folds(df: DataFrame, k_out: int, k_in: int, seed: int | Column, label: str | None = None, row_id: str = "row_id") -> DataFrame:
+    """``inner ARRAY`` of rows with ``fold``: for each outer fold, the row's inner fold in the training set of all others; -1 for its own.
+
+    Every training set is dealt by itself, as by :func:`kfold`, or by :func:`stratified_kfold` with ``label`` (numbers).  All take their rows in one hash order, so a
+    row's place in one is its place in the whole less the rows of the fold left out before it: sums by bucket and fold, and one window.
+    """
+    by, folds = [label] if label else [], range(k_out)
+    rows = df.withColumn("__h", order_hash(seed, df[row_id])).withColumn("__b", F.substring("__h", 1, DIGITS))
+    mine = lambda k: (F.col("fold") == k).cast("bigint")
+    sizes = rows.groupBy(*by, "__b").agg(*[F.sum(mine(k)).alias(f"__c{k}") for k in folds])
+    before = Window.orderBy(*by, "__b").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    sums = [F.coalesce(F.sum(f"__c{k}").over(before), F.lit(0)).alias(f"__s{k}") for k in folds]
+    sizes = sizes.select(*by, "__b", *sums, *[F.sum(f"__c{k}").over(Window.partitionBy(F.lit(0))).alias(f"__n{k}") for k in folds])
+    local = Window.partitionBy(*by, "__b").orderBy("__h", row_id)
+    upto = local.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select(*rows.columns, F.row_number().over(local).alias("__k"), *[F.sum(mine(k)).over(upto).alias(f"__r{k}") for k in folds]).join(sizes, [*by, "__b"])
+    rank, n = sum((F.col(f"__s{k}") for k in folds), F.col("__k") - 1), sum((F.col(f"__n{k}") for k in folds), F.lit(0))
+    at = lambda k: rank - F.col(f"__s{k}") - F.col(f"__r{k}")
+    part = lambda k: at(k) % k_in if label else ntile_of(at(k), n - F.col(f"__n{k}"), k_in)
+    return rows.select(*df.columns, F.array(*[F.when(F.col("fold") == k, -1).otherwise(part(k)).cast("int") for k in folds]).alias("inner"))
+
+
 def leave_one_out(df: DataFrame, row_id: str = "row_id") -> DataFrame:
     """``fold``: each row's own, numbered in the order of hashes."""
     ranked = hash_rank(df, 0, row_id=row_id)

@@ -1,7 +1,9 @@
 """Nested cross-validation of elastic-net regression from moments: state that doesn't grow with the rows.
 
 One pass sums products of (1, design, outcomes) for each cell of (outer fold, repeat, inner fold), once for each repeat.
-Inner folds are dealt within outer folds, so that every training set's inner folds differ by a row or so for each fold.
+Inner folds are dealt within outer folds, so that every training set's inner folds differ by a row or so for each fold; or each training set
+is dealt by itself, as on rows (``like_rows``): then a cell holds the rows of a fold that every training set deals alike, ``outer folds x (inner folds - 1) + 1`` in a fold
+at most, as all deal them in one order.
 Any training or validation set's scaler, Gram matrix and errors are sums and differences of cells; the models are then
 solved by tasks over folds x candidates.  Outcomes may be taken less their covariates' part, and features reduced to components of
 their clusters: see ``plover.plans.changes``.
@@ -36,6 +38,16 @@ def assign(rows: DataFrame, cfg: Config) -> DataFrame:
     return ranked.withColumn("inner", (F.col("rn") % int(cfg.inner_folds)).cast("bigint")).drop("h", "rn", "n")
 
 
+def assign_like_rows(rows: DataFrame, cfg: Config) -> DataFrame:
+    """``fold, repeat, inner``: for each outer fold, the inner fold in its training set as the row path deals it, joined by commas."""
+    out, k = splits.kfold(rows, int(cfg.outer_folds), cfg.seed), int(cfg.outer_folds)
+    parts = []
+    for r in range(cfg.inner_repeats):
+        out = splits.training_folds(out, k, int(cfg.inner_folds), F.lit(f"{cfg.seed}/{r}")).withColumnRenamed("inner", f"__inner{r}")
+        parts.append(F.struct(F.lit(r).cast("bigint").alias("repeat"), F.array_join(f"__inner{r}", ",").alias("inner")))
+    return out.select(*rows.columns, "fold", F.explode(F.array(*parts)).alias("__p")).select(*rows.columns, "fold", "__p.*")
+
+
 def cells(assigned: DataFrame) -> DataFrame:
     """``fold, repeat, inner, kind, i, g``: rows of the moment matrices; kind 0 counts rows, kind 1 weighs them."""
 
@@ -51,7 +63,8 @@ def cells(assigned: DataFrame) -> DataFrame:
             for kind, m in enumerate(got):
                 yield pd.DataFrame({"fold": f, "repeat": r, "inner": j, "kind": kind, "i": np.arange(len(m)), "g": list(m)})
 
-    part = assigned.select("fold", "repeat", "inner", "design", "y", "w").mapInPandas(run, "fold long, repeat long, inner long, kind int, i int, g array<double>")
+    schema = f"fold long, repeat long, inner {assigned.schema['inner'].dataType.simpleString()}, kind int, i int, g array<double>"
+    part = assigned.select("fold", "repeat", "inner", "design", "y", "w").mapInPandas(run, schema)
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         i = pdf["i"].to_numpy()
@@ -61,7 +74,7 @@ def cells(assigned: DataFrame) -> DataFrame:
         return pd.DataFrame({**{k: pdf[k].iloc[0] for k in ("fold", "repeat", "inner", "kind")}, "i": at, "g": list(g)})
 
     # A group has ROWS of the matrix's rows from each task at most.
-    return part.groupBy("fold", "repeat", "inner", "kind", F.floor(F.col("i") / ROWS).alias("part")).applyInPandas(add, "fold long, repeat long, inner long, kind int, i int, g array<double>")
+    return part.groupBy("fold", "repeat", "inner", "kind", F.floor(F.col("i") / ROWS).alias("part")).applyInPandas(add, schema)
 
 
 def solve(plain: np.ndarray, weighted: np.ndarray, n_tasks: int, n_covs: int, params: dict[str, float], start: np.ndarray | None = None) -> solvers.Fitted:
@@ -101,29 +114,35 @@ def _means(rows: DataFrame) -> DataFrame:
 
 def centred(rows: DataFrame) -> DataFrame:
     """``design`` less its columns' means, so that sums of squares lose no digits; no result depends on it."""
-    m = [r.m for r in _means(rows).collect()]  # a row a column
+    return _less(rows, [r.m for r in _means(rows).collect()])  # a row a column
+
+
+def _less(rows: DataFrame, m: list[float]) -> DataFrame:
     return rows.withColumn("design", F.zip_with("design", F.array(*[F.lit(x) for x in m]).cast("array<double>"), lambda x, c: x - c))
 
 
 class NestedCV:
     """Nested cross-validation of a regression of any number of rows: what it found, as saved tables.
 
-    ``cluster_map`` (``feature, cluster``) is for the a-priori reduction.
+    ``cluster_map`` (``feature, cluster``) is for the a-priori reduction.  ``like_rows`` deals inner folds as the row path does, and so scores candidates as it does.
     """
 
-    def __init__(self, df: DataFrame, cfg: Config, cluster_map: DataFrame | None = None) -> None:
+    def __init__(self, df: DataFrame, cfg: Config, cluster_map: DataFrame | None = None, like_rows: bool = False) -> None:
         rows, names = ingest.role_projection(df, cfg)
         ingest.check_rows(rows)
         self.cfg, self.spark, self.names = cfg, df.sparkSession, names
         self.recipe = changes.recipe(df, cfg, names, cluster_map)
-        n_cells, size = int(cfg.outer_folds) * cfg.inner_repeats * int(cfg.inner_folds), self.recipe.size
+        k_out, k_in, size = int(cfg.outer_folds), int(cfg.inner_folds), self.recipe.size
+        n_cells = k_out * cfg.inner_repeats * (k_out * (k_in - 1) + 1 if like_rows else k_in)
         if n_cells * 2 * size * size * 8 > MAX_BYTES:
             raise ValueError(f"moments of {n_cells} cells and {size} columns are over the bound")
         self.raw_rows = rows.withColumn("design", F.concat("cov", "features") if self.recipe.n_covs else F.col("features"))
-        self.rows = centred(self.raw_rows)
-        found: dict[tuple[int, int, int, int], np.ndarray] = {}
-        for r in cells(assign(self.rows, cfg)).orderBy("i").collect():  # bounded above
-            found.setdefault((r.fold, r.repeat, r.inner, r.kind), np.zeros((size, size)))[r.i] = r.g
+        self.centre = [r.m for r in _means(self.raw_rows).collect()]  # a row a column
+        self.rows = _less(self.raw_rows, self.centre)
+        found: dict[tuple, np.ndarray] = {}
+        for r in cells((assign_like_rows if like_rows else assign)(self.rows, cfg)).orderBy("i").collect():  # bounded above
+            inner = tuple(map(int, r.inner.split(","))) if like_rows else (r.inner,) * k_out
+            found.setdefault((r.fold, r.repeat, inner, r.kind), np.zeros((size, size)))[r.i] = r.g
         self.shared = self.spark.sparkContext.broadcast(found)
         self._fit()
 
@@ -134,7 +153,7 @@ class NestedCV:
         spread = 4 * spark.sparkContext.defaultParallelism
 
         def total(have: dict, kind: int, repeat: int, outer: int, inner: int | None, inside: bool) -> np.ndarray:
-            return sum((m for (f, r, j, q), m in have.items() if q == kind and r == repeat and f != outer and (inner is None or (j == inner) == inside)), np.zeros((recipe.size, recipe.size)))
+            return sum((m for (f, r, j, q), m in have.items() if q == kind and r == repeat and f != outer and (inner is None or (j[outer] == inner) == inside)), np.zeros((recipe.size, recipe.size)))
 
         def change(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -183,6 +202,27 @@ class NestedCV:
         """``fold, alpha_or_c, l1_ratio, penalty_weight``."""
         return self.best.select("fold", *PARAMS)
 
+    def fold_models(self) -> DataFrame:
+        """``fold, alpha_or_c, l1_ratio, penalty_weight, n_covs, converged, model``, a row a fold, saved, as of ``Run.models``; models take columns as they are read."""
+        recipe, centre = self.recipe, np.array(self.centre)
+        q, covs = recipe.n_covs, 0 if self.cfg.covariate_method == "pre_regress" else recipe.n_covs
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("k")
+            of = lambda c: np.stack(pdf[c].to_numpy())
+            first, b, at = pdf.iloc[0], of("beta"), slice(q - covs, None)
+            nuisance = None
+            if first.taken is not None:
+                slopes = of("taken")[:, :q]
+                nuisance = slopes.T, pdf["taken0"].to_numpy() - slopes @ centre[:q]
+            params = {p: float(first[p]) for p in PARAMS}
+            model = solvers.Fitted(centre[at], np.ones(b[:, at].shape[1]), b[:, at], pdf["beta0"].to_numpy(), bool(first.converged))
+            made = fitting.FoldModel(int(first.fold), params, fitting.reducers.Identity(recipe.names), model, covs, nuisance, of("std_coef"), of("reduced"))
+            return pd.DataFrame({"fold": [made.fold], **{p: [x] for p, x in params.items()}, "n_covs": [covs], "converged": [model.converged], "model": [pickle.dumps(made)]})
+
+        schema = "fold long, alpha_or_c double, l1_ratio double, penalty_weight double, n_covs int, converged boolean, model binary"
+        return save(self.models.join(self.params, "fold").groupBy("fold").applyInPandas(run, schema), "fold-models")  # a row a task of a fold
+
     def out_of_fold(self) -> DataFrame:
         """``row_id, fold, task, y_true, y_pred``; of outcomes from which covariates' part was taken, what is left."""
         placed = splits.kfold(self.rows, int(self.cfg.outer_folds), self.cfg.seed)

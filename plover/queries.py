@@ -801,26 +801,33 @@ def nested_cv_weighted_covariates(spark, sf):
     return _performance(spark, sf, "weighted")
 
 
-def by_moments(spark: SparkSession, sf: str, kind: str, **change):
+def by_moments(spark: SparkSession, sf: str, kind: str, like_rows: bool = False, **change):
     """A nested cross-validation by moments, with the map of ``run_of``."""
     from dataclasses import replace
 
     from plover.plans.moments import NestedCV
 
     df, cfg = subject_table(spark, sf, kind)
-    return NestedCV(df, replace(cfg, **change), cluster_map(spark, sf).select("feature", "cluster"))
+    return NestedCV(df, replace(cfg, **change), cluster_map(spark, sf).select("feature", "cluster"), like_rows)
 
 
-@query()
-def nested_cv_pre_regress(spark, sf):
+def _moment_performance(found) -> DataFrame:
     from types import SimpleNamespace
 
     from plover.plans.report import performance
 
-    found = by_moments(spark, sf, "weighted", covariate_method="pre_regress")
     return performance(SimpleNamespace(cfg=found.cfg, block=SimpleNamespace(classes=[], tasks=found.recipe.tasks)), save(found.out_of_fold(), "out-of-fold"))
 
 
+def _performance_by_moments(spark, sf, kind, **change):
+    return _moment_performance(by_moments(spark, sf, kind, like_rows=True, **change))
+
+
+@query()
+def nested_cv_pre_regress(spark, sf):
+    return _moment_performance(by_moments(spark, sf, "weighted", covariate_method="pre_regress"))
+
+
 @query(f"""WITH {CUST}, f AS ({ntile_sql(42, 5, 'cust', 'row_id, y, c, n_orders::DOUBLE AS q')}), k AS (SELECT range AS k FROM range(5)),
 g AS (SELECT k, avg(y) AS my, avg(c) AS mc, avg(q) AS mq, covar_pop(y, c) AS yc, covar_pop(y, q) AS yq, covar_pop(c, q) AS cq, var_pop(c) AS cc, var_pop(q) AS qq FROM f, k WHERE fold <> k GROUP BY k),
 b AS (SELECT k, my, mc, mq, (yc * qq - yq * cq) / (cc * qq - cq * cq) AS bc, (yq * cc - yc * cq) / (cc * qq - cq * cq) AS bq FROM g)
@@ -880,7 +887,7 @@ def loo_inner_search(spark, sf):
 
 @query()
 def nested_cv_multitask(spark, sf):
-    return _performance(spark, sf, "multitask")
+    return _performance_by_moments(spark, sf, "multitask")
 
 
 @query()

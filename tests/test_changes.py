@@ -4,12 +4,13 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plover.config import Roles
 from plover.functions import fitting, reducers, solvers
-from plover.operators import splits
+from plover.operators import ingest, splits
 from plover.plans import changes, moments, report, resample
-from plover.plans.runs import collect_block
+from plover.plans.runs import Run, collect_block, predict_ensemble
 from tests.test_engine import config, data
 
 CASES = [
@@ -146,3 +147,52 @@ def test_whole_analysis_with_reduction(spark, tmp_path, monkeypatch):
     out = report.analyse(spark, spark.createDataFrame(table(60)), cfg, cmap)
     assert {"cluster_loadings", "cluster_loadings_folds", "report_cluster_importance", "report_feature_importance", "permutation_result", "report_block_permutation"} <= set(out)
     assert out["report_cluster_importance"].count() == 2 and out["cluster_loadings"].count() == 6
+
+
+@pytest.mark.parametrize("weighted,n", [(True, 131), (False, 60)])
+def test_like_rows_equals_the_row_path(spark, weighted, n):
+    """Search, chosen parameters, predictions and models of the whole nested cross-validation, with two repeats of the inner one."""
+    roles = Roles("SUBJ_ID", "y" if weighted else ("y", "y2"), "brain", ("cov", "cov2") if weighted else (), "w" if weighted else None)
+    cfg = config(roles=roles, covariate_method="incorporate" if weighted else "none", n_candidates=5, inner_repeats=2, outer_folds=5)
+    df = spark.createDataFrame(table(n)).repartition(3)
+    found = moments.NestedCV(df, cfg, like_rows=True)
+    run = Run(spark, collect_block(df, cfg), cfg)
+    scores = {(r.fold, r.cand_id): r.score for r in run.search().collect()}
+    got = {(r.fold, r.cand_id): r.score for r in found.scored.collect()}
+    assert got.keys() == scores.keys() and [got[k] for k in scores] == pytest.approx(list(scores.values()), rel=1e-7)
+    want = {(r.row_id, r.fold, r.task): (r.y_true, r.y_pred) for r in run.out_of_fold().collect()}
+    have = {(r.row_id, r.fold, r.task): (r.y_true, r.y_pred) for r in found.out_of_fold().collect()}
+    assert have.keys() == want.keys() and all(have[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    models = [{r.fold: r.asDict() for r in x.collect()} for x in (found.fold_models(), run.models())]
+    shown = [{k: {c: v for c, v in r.items() if c != "model"} for k, r in m.items()} for m in models]
+    assert shown[0] == shown[1]
+    rows, _ = ingest.role_projection(df, cfg)
+    one, two = ({r.row_id: (r["mean"], r.sd) for r in predict_ensemble(m, rows, cfg).collect()} for m in (found.fold_models(), run.models()))
+    assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k], abs=1e-6) for k in two)
+
+
+@pytest.mark.parametrize("stratified", [False, True])
+def test_training_sets_are_dealt_one_by_one(spark, stratified):
+    """Each training set's inner folds are those of its own dealing, also with more folds than a class has rows."""
+    ids = [f"s{i}" for i in range(47)]
+    label = [0 if i < 2 else 1 + i % 3 for i in range(47)]
+    rows = spark.createDataFrame([(i, y) for i, y in zip(ids, label, strict=True)], "row_id string, label long").repartition(3)
+    dealt = splits.stratified_kfold(rows, 4, "label", 42) if stratified else splits.kfold(rows, 4, 42)
+    got = {r.row_id: (r.fold, r.inner) for r in splits.training_folds(dealt, 4, 5, F.lit("42/1"), "label" if stratified else None).collect()}
+    outer = fitting.folds(ids, np.array(label) if stratified else None, 4, 42)
+    assert [got[i][0] for i in ids] == outer.tolist()
+    for k in range(4):
+        tr = [j for j in range(47) if outer[j] != k]
+        want = fitting.folds([ids[j] for j in tr], np.array([label[j] for j in tr]) if stratified else None, 5, "42/1")
+        assert [got[ids[j]][1][k] for j in tr] == want.tolist()
+        assert all(got[ids[j]][1][k] == -1 for j in range(47) if outer[j] == k)
+
+
+@pytest.mark.parametrize("name", ["nested_cv_multitask"])
+def test_queries_without_a_block(spark, sf, monkeypatch, name):
+    """No block of rows reaches the driver."""
+    from plover import queries
+    from plover.plans import runs
+
+    monkeypatch.setattr(runs, "collect_block", None)
+    assert queries.QUERIES[name](spark, sf).count() == {"nested_cv_multitask": 13, "ensemble_prediction": spark.read.parquet(f"{sf}/embeddings.parquet").count()}.get(name, 5)
