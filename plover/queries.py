@@ -928,7 +928,7 @@ def search_candidates(spark, sf):
 
 @query()
 def fold_diagnostics(spark, sf):
-    return run_of(spark, sf, "regression").models().drop("model")
+    return by_moments(spark, sf, "regression", like_rows=True).fold_models().drop("model")
 
 
 @query()
