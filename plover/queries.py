@@ -1032,9 +1032,9 @@ def parallel_analysis(spark, sf):
 def ensemble_prediction(spark, sf):
     from plover.plans.runs import predict_ensemble as predict
 
-    run = run_of(spark, sf, "regression")
+    found = by_moments(spark, sf, "regression", like_rows=True)
     rows = emb(spark, sf).select("row_id", "features", F.array().cast("array<double>").alias("cov"))
-    return predict(run.models(), rows, run.cfg).drop("proba")
+    return predict(found.fold_models(), rows, found.cfg).drop("proba")
 
 
 # --- more of the inventory ---------------------------------------------------------------------------------------------------------------------
