@@ -798,7 +798,7 @@ def nested_cv_regression(spark, sf):
 
 @query()
 def nested_cv_weighted_covariates(spark, sf):
-    return _performance(spark, sf, "weighted")
+    return _performance_by_moments(spark, sf, "weighted")
 
 
 def by_moments(spark: SparkSession, sf: str, kind: str, like_rows: bool = False, **change):

@@ -188,7 +188,7 @@ def test_training_sets_are_dealt_one_by_one(spark, stratified):
         assert all(got[ids[j]][1][k] == -1 for j in range(47) if outer[j] == k)
 
 
-@pytest.mark.parametrize("name", ["nested_cv_multitask", "fold_diagnostics", "ensemble_prediction"])
+@pytest.mark.parametrize("name", ["nested_cv_multitask", "nested_cv_weighted_covariates", "fold_diagnostics", "ensemble_prediction"])
 def test_queries_without_a_block(spark, sf, monkeypatch, name):
     """No block of rows reaches the driver."""
     from plover import queries
