@@ -99,6 +99,10 @@ class ICA:
     def transform(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.scale - self.center) @ self.unmixing.T
 
+    def affine(self) -> np.ndarray:
+        a = self.unmixing / self.scale
+        return np.column_stack([-(a @ self.mean + self.unmixing @ self.center), a])
+
     def backproject(self, coef: np.ndarray) -> np.ndarray:
         return coef @ self.mixing.T  # activation pattern
 

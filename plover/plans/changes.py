@@ -10,7 +10,7 @@ Covariates may be collinear or constant: their slopes are those of least norm on
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -113,8 +113,8 @@ class Recipe:
     def size(self) -> int:
         return 1 + self.n_covs + len(self.names) + len(self.tasks)
 
-    def fit(self, plain: np.ndarray) -> Change:
-        """The change that a set of rows asks for, from its unweighted moments."""
+    def fit(self, plain: np.ndarray, reducer: object | None = None) -> Change:
+        """The change that a set of rows asks for, from its unweighted moments; ``reducer`` is one that moments can't fit."""
         cfg, q, p, t = self.cfg, self.n_covs, len(self.names), len(self.tasks)
         removes = cfg.covariate_method == "pre_regress" and q > 0
         stays = 0 if cfg.covariate_method == "pre_regress" else q
@@ -122,7 +122,7 @@ class Recipe:
             return Change(None, reducers.Identity(self.names), stays, t)
         if cfg.reduction == "none":
             reducer = reducers.Identity(self.names)
-        else:
+        elif reducer is None:
             reducer = reducers.from_correlations(*standardised(plain, slice(1 + q, 1 + q + p)), int(plain[0, 0]), self.names, cfg, self.clusters)
         a = reducer.affine()
         k = len(a)
@@ -139,6 +139,13 @@ class Recipe:
         return Change(m, reducer, stays, t)
 
 
+def independent(cfg: Config, names: list[str]) -> Recipe:
+    """The recipe of an analysis on a given number of independent components, which passes over rows fit (``plover.plans.ica``)."""
+    if not isinstance(cfg.ica_components, int) or not served(replace(cfg, reduction="none")):
+        raise ValueError("independent components by passes serve regression with k folds and a given number of components")
+    return Recipe(cfg, names)
+
+
 def recipe(df: DataFrame, cfg: Config, names: list[str], cluster_map: DataFrame | None = None) -> Recipe:
     """The recipe of an analysis; the map's rows for its features are checked and collected, a row a feature."""
     if not served(cfg):

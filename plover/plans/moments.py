@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from plover.config import Config
 from plover.functions import fitting, solvers
 from plover.operators import ingest, splits, stats
-from plover.plans import changes
+from plover.plans import changes, ica
 from plover.sources.work import save
 
 MAX_BYTES = 512_000_000
@@ -131,7 +131,7 @@ class NestedCV:
         rows, names = ingest.role_projection(df, cfg)
         ingest.check_rows(rows)
         self.cfg, self.spark, self.names = cfg, df.sparkSession, names
-        self.recipe = changes.recipe(df, cfg, names, cluster_map)
+        self.recipe = changes.independent(cfg, names) if cfg.reduction == "ica" else changes.recipe(df, cfg, names, cluster_map)
         k_out, k_in, size = int(cfg.outer_folds), int(cfg.inner_folds), self.recipe.size
         n_cells = k_out * cfg.inner_repeats * (k_out * (k_in - 1) + 1 if like_rows else k_in)
         if n_cells * 2 * size * size * 8 > MAX_BYTES:
@@ -144,10 +144,14 @@ class NestedCV:
             inner = tuple(map(int, r.inner.split(","))) if like_rows else (r.inner,) * k_out
             found.setdefault((r.fold, r.repeat, inner, r.kind), np.zeros((size, size)))[r.i] = r.g
         self.shared = self.spark.sparkContext.broadcast(found)
+        self.reducers: dict[int, object] = {}  # those that moments can't fit
+        if cfg.reduction == "ica":
+            placed = splits.kfold(self.rows, k_out, cfg.seed).select("fold", F.slice("design", self.recipe.n_covs + 1, len(names)).alias("x"))
+            self.reducers = ica.fit(placed, names, self.centre[self.recipe.n_covs :], cfg)
         self._fit()
 
     def _fit(self) -> None:
-        cfg, spark, shared, recipe = self.cfg, self.spark, self.shared, self.recipe
+        cfg, spark, shared, recipe, known = self.cfg, self.spark, self.shared, self.recipe, self.reducers
         t, k_out, k_in, reps = len(recipe.tasks), int(cfg.outer_folds), int(cfg.inner_folds), cfg.inner_repeats
         tried = fitting.candidates(cfg, cfg.n_candidates or 20, 42)
         spread = 4 * spark.sparkContext.defaultParallelism
@@ -157,7 +161,7 @@ class NestedCV:
 
         def change(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                yield pdf.assign(change=[pickle.dumps(recipe.fit(total(shared.value, 0, 0, k, None, True))) for k in pdf["fold"]])
+                yield pdf.assign(change=[pickle.dumps(recipe.fit(total(shared.value, 0, 0, k, None, True), known.get(k))) for k in pdf["fold"]])
 
         folds = spark.createDataFrame([(k,) for k in range(k_out)], "fold long").repartition(max(1, min(k_out, spread)))
         self.changes = save(folds.mapInPandas(change, "fold long, change binary"), "moment-changes")
@@ -246,6 +250,16 @@ class NestedCV:
 
         return self.changes.mapInPandas(run, "fold long, cluster string, feature string, loading double")
 
+    def mixing(self) -> DataFrame:
+        """``fold, feature, component, value`` of every fold's mixing matrix (ICA)."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for fold, raw in zip(pdf["fold"], pdf["change"], strict=True):
+                    yield pd.DataFrame(pickle.loads(raw).reducer.mixing_rows(), columns=["feature", "component", "value"]).assign(fold=fold)
+
+        return self.changes.mapInPandas(run, "fold long, feature string, component string, value double")
+
     def representative(self, fold: int = 0) -> DataFrame:
         """``row_id, names ARRAY, values ARRAY`` of all rows: covariates of the design, and features as the fold's reducer changes them."""
         recipe, uncentred = self.recipe, self.raw_rows
@@ -253,7 +267,8 @@ class NestedCV:
         means = np.array([r.m for r in _means(uncentred).collect()])  # a row a column
         q = recipe.n_covs
         a = made.reducer.affine()
-        through = np.ones(len(a)) if recipe.cfg.reduction == "none" else np.array([float(m is None) for _, m, _, _ in made.reducer.parts])
+        kept = {"none": lambda: np.ones(len(a)), "ica": lambda: np.zeros(len(a))}.get(recipe.cfg.reduction, lambda: np.array([float(m is None) for _, m, _, _ in made.reducer.parts]))
+        through = kept()
         back = a[:, 1:] @ means[q:] * through  # columns that pass through get their mean again
         covs = list(recipe.cfg.roles.covariates)[: made.n_covs]
 

@@ -1024,7 +1024,7 @@ def pearson_clusters(spark, sf):
 
 @query()
 def ica_components(spark, sf):
-    return run_of(spark, sf, "regression", reduction="ica", ica_components=8, n_candidates=2).mixing()
+    return by_moments(spark, sf, "regression", like_rows=True, reduction="ica", ica_components=8, n_candidates=2).mixing()
 
 
 @query()
