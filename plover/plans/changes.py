@@ -70,13 +70,13 @@ class Change:
         return g if self.matrix is None else self.matrix @ g @ self.matrix.T
 
     def raw(self, model: solvers.Fitted) -> tuple[np.ndarray, np.ndarray]:
-        """A model's slopes (tasks, unchanged design) and intercepts."""
-        b = model.coef / model.scale
-        b0 = model.intercept - b @ model.mean
+        """A model's slopes (tasks, unchanged design) and intercepts, or those of a stack of models."""
+        b = model.coef / model.scale[..., None, :]
+        b0 = model.intercept - (b @ model.mean[..., None])[..., 0]
         if self.matrix is None:
             return b, b0
-        whole = b @ self.matrix[1 : 1 + b.shape[1], : self.matrix.shape[1] - self.n_tasks]
-        return whole[:, 1:], b0 + whole[:, 0]
+        whole = b @ self.matrix[1 : 1 + b.shape[-1], : self.matrix.shape[1] - self.n_tasks]
+        return whole[..., 1:], b0 + whole[..., 0]
 
     def taken(self) -> tuple[np.ndarray, np.ndarray] | None:
         """Slopes (tasks, unchanged design) and intercepts of what is taken from the outcomes; None if nothing is."""
@@ -86,7 +86,7 @@ class Change:
         return (part[:, 1:], part[:, 0]) if part.any() else None
 
     def reduced(self, model: solvers.Fitted) -> np.ndarray:
-        return model.coef[:, self.n_covs :]
+        return model.coef[..., self.n_covs :]
 
     def features(self, model: solvers.Fitted) -> np.ndarray:
         """Coefficients of standardised (reduced) features, taken back to features."""

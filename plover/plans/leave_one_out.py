@@ -25,9 +25,12 @@ from plover.plans import changes
 from plover.plans.moments import MAX_BYTES, PARAMS, cells, centred, solve, squared_errors
 from plover.sources.work import save
 
+NUMBERS = 1 << 17  # of the rows' products that a task holds at once
+
 
 def _prepared(df: DataFrame, cfg: Config, cluster_map: DataFrame | None) -> tuple[DataFrame, changes.Recipe]:
     rows, names = ingest.role_projection(df, cfg)
+    rows = save(rows, "loo-input")  # read some six times
     ingest.check_rows(rows)
     made = changes.recipe(df, replace(cfg, outer_folds=2, inner_folds=2), names, cluster_map)
     return centred(rows.withColumn("design", F.concat("cov", "features") if made.n_covs else F.col("features"))), made
@@ -37,59 +40,80 @@ def _collected(assigned: DataFrame, size: int, n_cells: int) -> dict[tuple, np.n
     if n_cells * 2 * size * size * 8 > MAX_BYTES:
         raise ValueError(f"moments of {n_cells} cells and {size} columns are over the bound")
     found: dict[tuple, np.ndarray] = {}
-    for r in cells(assigned).orderBy("i").collect():  # bounded above
+    for r in cells(assigned).collect():  # bounded above
         found.setdefault((r.fold, r.repeat, r.inner, r.kind), np.zeros((size, size)))[r.i] = r.g
     return found
 
 
-def _own(row) -> np.ndarray:
-    a = np.concatenate([[1.0], row.design, row.y])
-    return np.outer(a, a)
+def _own(batches: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
+    """Some rows at a time, with their design, their outcomes and the products of each."""
+    step = max(1, NUMBERS // size**2)
+    for pdf in batches:
+        for i in range(0, len(pdf), step):
+            part = pdf.iloc[i : i + step]
+            x, y = (np.stack(part[c].to_numpy()).astype(float) for c in ("design", "y"))
+            a = np.column_stack([np.ones(len(part)), x, y])
+            yield part, x, y, a[:, :, None] * a[:, None, :]
 
 
 def outer(df: DataFrame, cfg: Config, cluster_map: DataFrame | None = None) -> DataFrame:
     """``row_id, fold, task, y_true, y_pred, coef ARRAY`` (of the features) and the row's parameters: each row predicted by the model of all others."""
     rows, recipe = _prepared(df, cfg, cluster_map)
-    k, reps = int(cfg.inner_folds), cfg.inner_repeats
-    inner = rows.select("row_id", F.explode(F.array(*[F.lit(r).cast("bigint") for r in range(reps)])).alias("repeat"))
-    dealt = splits.hash_rank(inner, F.concat_ws("/", F.lit(str(cfg.seed)), F.col("repeat").cast("string")), by=["repeat"])
-    dealt = dealt.select("row_id", "repeat", splits.ntile_of(F.col("rn"), F.col("n"), k).alias("inner"))
-    placed = save(rows.join(dealt, "row_id"), "loo-rows")
-    have = df.sparkSession.sparkContext.broadcast(_collected(placed.withColumn("fold", F.lit(0).cast("bigint")), recipe.size, k * reps))
+    k, reps, ids = int(cfg.inner_folds), cfg.inner_repeats, rows.select("row_id")
+    many = ids.select("row_id", F.explode(F.array(*[F.lit(r).cast("bigint") for r in range(reps)])).alias("repeat"))
+    dealt = splits.hash_rank(many, F.concat_ws("/", F.lit(str(cfg.seed)), F.col("repeat").cast("string")), by=["repeat"])
+    dealt = dealt.select("row_id", F.struct("repeat", splits.ntile_of(F.col("rn"), F.col("n"), k).alias("inner")).alias("p"))
+    dealt = dealt.groupBy("row_id").agg(F.map_from_entries(F.collect_list("p")).alias("inner"))  # a repeated id is an error here
+    inner = F.array(*[F.col("inner")[r] for r in range(reps)]).alias("inner")
+    placed = save(rows.join(dealt, "row_id").join(splits.leave_one_out(ids), "row_id").select("row_id", "fold", "design", "y", "w", inner), "loo-rows")
+    assigned = placed.select("design", "y", "w", F.posexplode("inner").alias("repeat", "inner")).withColumn("fold", F.lit(0).cast("bigint"))
+    have = df.sparkSession.sparkContext.broadcast(_collected(assigned, recipe.size, k * reps))
     tried, tasks = fitting.candidates(cfg, cfg.n_candidates or 20, 42), recipe.tasks
-    each = placed.groupBy("row_id").agg(F.first("design").alias("design"), F.first("y").alias("y"), F.first("w").alias("w"), F.map_from_entries(F.collect_list(F.struct("repeat", "inner"))).alias("inner"))
-    numbered = splits.leave_one_out(rows.select("row_id")).withColumnRenamed("row_id", "n_id")
+    t = len(tasks)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cell = {(r, j, kind): m for (_, r, j, kind), m in have.value.items()}
         whole = {(r, kind): sum(cell.get((r, j, kind), 0) for j in range(k)) for r in range(reps) for kind in (0, 1)}
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                g = _own(row)
-                less = (g, row.w * g)
-                made, at = recipe.fit(whole[0, 0] - g), dict(row.inner)
-                best = None
-                if len(tried) > 1:
-                    sets = []
-                    for r in range(reps):
-                        for j in range(k):
-                            mine = at[r] == j
-                            train = [whole[r, q] - cell.get((r, j, q), 0) - (0 if mine else less[q]) for q in (0, 1)]
-                            held = cell[r, j, 0] - (g if mine else 0)
-                            if held[0, 0] > 0.5:
-                                sets.append([made.moments(m) for m in (*train, held)])
-                    score = [np.mean([-np.mean(np.sqrt(squared_errors(v, solve(a, aw, len(tasks), made.n_covs, p)) / v[0, 0])) for a, aw, v in sets]) for p in tried]
-                    best = tried[int(np.argmax(score))]
-                params = best or tried[0]
-                m = solve(*(made.moments(whole[0, q] - less[q]) for q in (0, 1)), len(tasks), made.n_covs, params)
-                (b, b0), taken, back = made.raw(m), made.taken(), made.features(m)
-                x = np.asarray(row.design)
-                left = np.asarray(row.y) - (0 if taken is None else taken[0] @ x + taken[1])
-                yield pd.DataFrame({"row_id": row.row_id, "task": tasks, "y_true": left, "y_pred": b @ x + b0, "coef": list(back), **params})
-
-    schema = "row_id string, task string, y_true double, y_pred double, coef array<double>, alpha_or_c double, l1_ratio double, penalty_weight double"
-    out = save(each.mapInPandas(run, schema), "loo-models")
-    return out.join(numbered, out["row_id"] == numbered["n_id"]).drop("n_id")
+
+        def chosen(made: changes.Change, less: tuple[np.ndarray, np.ndarray], at: np.ndarray) -> np.ndarray:
+            """The candidate of each row by its inner scores."""
+            score, n = np.zeros((len(tried), len(at))), np.zeros(len(at))
+            for r in range(reps):
+                for j in range(k):
+                    mine = (at[:, r] == j)[:, None, None]
+                    held = cell[r, j, 0] - np.where(mine, less[0], 0)
+                    use = held[:, 0, 0] > 0.5
+                    train = [whole[r, q] - cell.get((r, j, q), 0) - np.where(mine, 0, less[q]) for q in (0, 1)]
+                    a, aw, v = (made.moments(m[use]) for m in (*train, held))
+                    n += use
+                    for i, p in enumerate(tried):
+                        score[i, use] -= np.sqrt(squared_errors(v, solve(a, aw, t, made.n_covs, p)) / v[:, 0, :1]).mean(1)
+            with np.errstate(invalid="ignore"):
+                return np.argmax(score / n, axis=0)
+
+        def predicted(made: changes.Change, part: pd.DataFrame, x: np.ndarray, y: np.ndarray, g: np.ndarray) -> Iterator[pd.DataFrame]:
+            less = g, part["w"].to_numpy(dtype=float)[:, None, None] * g
+            best = chosen(made, less, np.stack(part["inner"].to_numpy())) if len(tried) > 1 else np.zeros(len(part), dtype=int)
+            taken = made.taken()
+            left = y if taken is None else y - x @ taken[0].T - taken[1]
+            for c in np.unique(best):
+                at = best == c
+                m = solve(*(made.moments(whole[0, q] - less[q][at]) for q in (0, 1)), t, made.n_covs, tried[c])
+                (b, b0), back = made.raw(m), made.features(m)
+                y_pred = (b @ x[at][:, :, None])[:, :, 0] + b0
+                own = {f: np.repeat(part[f].to_numpy()[at], t) for f in ("row_id", "fold")}
+                yield pd.DataFrame({**own, "task": tasks * int(at.sum()), "y_true": left[at].ravel(), "y_pred": y_pred.ravel(), "coef": list(back.reshape(-1, back.shape[-1])), **tried[c]})
+
+        for part, x, y, g in _own(batches, recipe.size):
+            made = recipe.fit(whole[0, 0] - g[0])
+            if made.matrix is None:  # so is every row's
+                yield from predicted(made, part, x, y, g)
+            else:
+                ones = [(recipe.fit(whole[0, 0] - g[i]), slice(i, i + 1)) for i in range(len(part))]
+                yield pd.concat([out for made, i in ones for out in predicted(made, part[i], x[i], y[i], g[i])])
+
+    schema = "row_id string, fold long, task string, y_true double, y_pred double, coef array<double>, alpha_or_c double, l1_ratio double, penalty_weight double"
+    return save(placed.mapInPandas(run, schema), "loo-models").select("row_id", "task", "y_true", "y_pred", "coef", *PARAMS, "fold")
 
 
 def inner(df: DataFrame, cfg: Config, cluster_map: DataFrame | None = None) -> DataFrame:
@@ -117,7 +141,8 @@ def inner(df: DataFrame, cfg: Config, cluster_map: DataFrame | None = None) -> D
         sse, n = np.zeros((k, len(tried))), np.zeros(k)
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                g = _own(row)
+                a = np.concatenate([[1.0], row.design, row.y])
+                g = np.outer(a, a)
                 for f, (made, train, start) in known.items():
                     if f == row.fold:
                         continue

@@ -78,34 +78,37 @@ def cells(assigned: DataFrame) -> DataFrame:
 
 
 def solve(plain: np.ndarray, weighted: np.ndarray, n_tasks: int, n_covs: int, params: dict[str, float], start: np.ndarray | None = None) -> solvers.Fitted:
-    """The model of a set of rows from its moments; ``start`` (tasks, columns) is where to begin."""
-    d = slice(1, len(plain) - n_tasks)
-    t = slice(len(plain) - n_tasks, len(plain))
-    n = plain[0, 0]
-    m = plain[0, d] / n
-    s = np.sqrt(np.maximum(np.diag(plain)[d] / n - m * m, 0))
+    """The model of a set of rows from its moments, or a stack of models from stacks of moments; ``start`` (tasks, columns) is where to begin."""
+    size = plain.shape[-1]
+    d, t = slice(1, size - n_tasks), slice(size - n_tasks, size)
+    n = plain[..., 0, :1]
+    m = plain[..., 0, d] / n
+    s = np.sqrt(np.maximum(np.diagonal(plain, axis1=-2, axis2=-1)[..., d] / n - m * m, 0))
     s = np.where(s > 1e-12 * np.maximum(np.abs(m), 1e-300), s, 1.0)
-    s[:n_covs] *= params["penalty_weight"]
-    w = weighted[0, 0]
-    xm, ym = weighted[0, d] / w, weighted[0, t] / w
-    g = (weighted[d, d] / w - np.outer(xm, xm)) / np.outer(s, s)
-    c = (weighted[d, t] / w - np.outer(xm, ym)) / s[:, None]
-    b, ok = solvers.enet_gram(g, c[:, 0] if n_tasks == 1 else c, params["alpha_or_c"], params["l1_ratio"], start=None if start is None else start.T if n_tasks > 1 else start[0])
-    b = b[:, None] if b.ndim == 1 else b
-    return solvers.Fitted(m, s, b.T, ym - (xm - m) / s @ b, ok)
+    s[..., :n_covs] *= params["penalty_weight"]
+    w = weighted[..., 0, :1]
+    xm, ym = weighted[..., 0, d] / w, weighted[..., 0, t] / w
+    outer = lambda x, y: x[..., :, None] * y[..., None, :]
+    g = (weighted[..., d, d] / w[..., None] - outer(xm, xm)) / outer(s, s)
+    c = (weighted[..., d, t] / w[..., None] - outer(xm, ym)) / s[..., None]
+    begin = None if start is None else start.T if n_tasks > 1 else start[0]
+    b, ok = solvers.enet_gram(g, c[..., 0] if n_tasks == 1 else c, params["alpha_or_c"], params["l1_ratio"], start=begin)
+    b = b[..., None] if n_tasks == 1 else b
+    return solvers.Fitted(m, s, np.swapaxes(b, -1, -2), ym - (((xm - m) / s)[..., None, :] @ b)[..., 0, :], ok)
 
 
 def squared_errors(plain: np.ndarray, model: solvers.Fitted) -> np.ndarray:
-    """Each task's sum of squared errors on a set of rows, from its moments."""
-    t = len(model.coef)
-    p = len(plain) - t
+    """Each task's sum of squared errors on a set of rows, from its moments; of a stack for stacks of moments and models."""
+    t = model.coef.shape[-2]
+    p = plain.shape[-1] - t
+    dot = lambda x, y: (x[..., None, :] @ y[..., None])[..., 0, 0]
     out = []
     for k in range(t):
-        b = model.coef[k] / model.scale
-        v = np.zeros(len(plain))
-        v[0], v[1:p], v[p + k] = -(model.intercept[k] - model.mean @ b), -b, 1.0
-        out.append(v @ plain @ v)
-    return np.maximum(np.array(out), 0)
+        b = model.coef[..., k, :] / model.scale
+        v = np.zeros(plain.shape[:-1])
+        v[..., 0], v[..., 1:p], v[..., p + k] = -(model.intercept[..., k] - dot(model.mean, b)), -b, 1.0
+        out.append(dot((v[..., None, :] @ plain)[..., 0, :], v))
+    return np.maximum(np.stack(out, -1), 0)
 
 
 def _means(rows: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Leave-one-out by downdates against refits on rows."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from plover.config import Roles
@@ -44,3 +45,37 @@ def test_inner_equals_rows(spark, multi):
         d = reducers.fit_reducer(tr.x, tr.names, cfg, tr.cluster_map).transform(tr.x)
         assert [got[k, i] for i in range(3)] == pytest.approx(fitting.search_scores(cfg, tr, d, 0, y, fitting.candidates(cfg, 3, 42)), rel=1e-6)
     assert leave_one_out.best(found).count() == 3
+
+
+def counted(spark, df):
+    """``df``, and an accumulator of the rows that it was asked for."""
+    n = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            n.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(run, df.schema), n
+
+
+def test_outer_computes_its_input_once(spark):
+    cfg = config(outer_folds="LOO", n_candidates=2)
+    df, n = counted(spark, spark.createDataFrame(table(40)))
+    assert len(leave_one_out.outer(df, cfg).collect()) == 40 and n.value == 40
+
+
+def test_outer_of_odd_rows(spark):
+    cfg = config(outer_folds="LOO", n_candidates=2, inner_repeats=2)
+    rows = table(40)
+    odd = rows.iloc[:3].assign(SUBJ_ID=["p", None, "q"], y=[np.nan, 1.0, 2.0], brain_1=[1.0, 2.0, np.nan])
+    key = lambda r: r.row_id
+    want = sorted(leave_one_out.outer(spark.createDataFrame(rows), cfg).collect(), key=key)
+    got = sorted(leave_one_out.outer(spark.createDataFrame(pd.concat([rows, odd])).repartition(3), cfg).collect(), key=key)
+    assert [(r.row_id, r.fold) for r in got] == [(r.row_id, r.fold) for r in want]
+    assert [r.y_pred for r in got] == pytest.approx([r.y_pred for r in want], abs=1e-9)
+    assert got[0].asDict().keys() == {"row_id", "task", "y_true", "y_pred", "coef", *leave_one_out.PARAMS, "fold"}
+    with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
+        leave_one_out.outer(spark.createDataFrame(pd.concat([rows, rows.iloc[:1]])), cfg)
+    with pytest.raises(ValueError, match="no complete rows"):
+        leave_one_out.outer(spark.createDataFrame(odd), cfg)

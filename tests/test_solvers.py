@@ -37,6 +37,36 @@ def test_multi_task_shares_support_and_is_optimal():
     assert (np.linalg.norm(r[~on], axis=1) <= a * rho + 1e-8).all()
 
 
+@pytest.mark.parametrize("p,t,n", [(1, 1, 50), (15, 1, 50), (15, 3, 50), (6, 2, 5)])
+@pytest.mark.parametrize("begin", [None, 0.1])
+def test_a_stack_of_problems_is_solved_as_one_by_one(p, t, n, begin):
+    made = [problem(n=60, p=p, t=t, seed=i) for i in range(n)] if p >= 3 else [problem(n=60, p=3, t=t, seed=i) for i in range(n)]
+    g, c = np.stack([m[0][:p, :p] for m in made]), np.stack([m[1][:p, 0] if t == 1 else m[1][:p] for m in made])
+    start = None if begin is None else np.full(c.shape[1:], begin)
+    for alpha, rho, most in ((0.05, 0.5, 10_000), (0.6, 0.9, 10_000), (0.05, 0.5, 3)):
+        b, ok = solvers.enet_gram(g, c, alpha, rho, max_iter=most, start=start)
+        want = [solvers.enet_gram(x, y, alpha, rho, max_iter=most, start=start) for x, y in zip(g, c, strict=True)]
+        assert ok.tolist() == [w[1] for w in want]
+        assert np.allclose(b, np.stack([w[0] for w in want]), rtol=0, atol=1e-13)
+
+
+@pytest.mark.parametrize("t", [1, 2])
+def test_a_stack_of_moments_gives_a_stack_of_models(t):
+    from plover.plans.moments import solve, squared_errors
+
+    r = np.random.RandomState(3)
+    a = np.concatenate([np.ones((40, 30, 1)), r.normal(size=(40, 30, 5 + t)) + 2], axis=2)
+    w = r.uniform(0.5, 2, size=(40, 30, 1))
+    a[3, :, 2] = 7.0  # a constant column
+    plain, weighted, params = np.swapaxes(a, 1, 2) @ a, np.swapaxes(a * w, 1, 2) @ a, {"alpha_or_c": 0.1, "l1_ratio": 0.5, "penalty_weight": 0.3}
+    many = solve(plain, weighted, t, 1, params)
+    for i in range(40):
+        one = solve(plain[i], weighted[i], t, 1, params)
+        for f in ("mean", "scale", "coef", "intercept", "converged"):
+            assert np.allclose(getattr(many, f)[i], getattr(one, f), rtol=0, atol=1e-12)
+        assert np.allclose(squared_errors(plain, many)[i], squared_errors(plain[i], one), rtol=1e-10)
+
+
 @pytest.mark.parametrize("k", [2, 3])
 def test_logistic_is_optimal(k):
     r = np.random.RandomState(1)
