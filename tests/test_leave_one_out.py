@@ -79,3 +79,33 @@ def test_outer_of_odd_rows(spark):
         leave_one_out.outer(spark.createDataFrame(pd.concat([rows, rows.iloc[:1]])), cfg)
     with pytest.raises(ValueError, match="no complete rows"):
         leave_one_out.outer(spark.createDataFrame(odd), cfg)
+
+
+def test_inner_solves_rows_in_stacks(spark, monkeypatch):
+    cfg = config(outer_folds=3, inner_folds="LOO", n_candidates=2)
+    df, n = counted(spark, spark.createDataFrame(table(60)).coalesce(1))
+    calls, plain = spark.sparkContext.accumulator(0), leave_one_out.solve
+
+    def solve(*a):
+        calls.add(1)
+        return plain(*a)
+
+    monkeypatch.setattr(leave_one_out, "solve", solve)
+    assert leave_one_out.inner(df, cfg).count() == 6 and n.value == 60
+    assert 0 < calls.value <= 60  # of each fold and candidate its own model, and in each task those of all of its rows: one by one there are 240
+
+
+def test_inner_of_odd_rows(spark):
+    cfg = config(outer_folds=3, inner_folds="LOO", n_candidates=2)
+    rows = table(40)
+    odd = rows.iloc[:3].assign(SUBJ_ID=["p", None, "q"], y=[np.nan, 1.0, 2.0], brain_1=[1.0, 2.0, np.nan])
+    scores = lambda d: {(r.fold, r.cand_id): r.score for r in leave_one_out.inner(spark.createDataFrame(d).repartition(5), cfg).collect()}
+    assert scores(pd.concat([rows, odd])) == pytest.approx(scores(rows), rel=1e-9)
+    twice = pd.concat([rows, rows.iloc[:1]])  # rows of one id count each
+    b = collect_block(spark.createDataFrame(twice), cfg)
+    folds, got = fitting.folds(b.ids, None, 3, cfg.seed), scores(twice)
+    for k in range(3):
+        tr = b.take(np.flatnonzero(folds != k))
+        assert [got[k, i] for i in range(2)] == pytest.approx(fitting.search_scores(cfg, tr, tr.x, 0, tr.y, fitting.candidates(cfg, 2, 42)), rel=1e-6)
+    with pytest.raises(ValueError, match="no complete rows"):
+        scores(odd)
