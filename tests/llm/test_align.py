@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -83,3 +84,39 @@ def test_awkward_tables(spark):
     assert align.align(spark.createDataFrame([], SCHEMA), A, B)[0].count() == 0
     with pytest.raises(ValueError):
         align.align(docs, A, B, links="other")
+
+
+@pytest.mark.parametrize("links", ["end", "overlap"])
+@pytest.mark.parametrize("known", [0, 9, 40])
+def test_pairs_that_tasks_know_and_others(spark, monkeypatch, links, known):
+    monkeypatch.setattr(align, "KNOWN", known)
+    rows = [(i, t) for i, t in enumerate(TEXTS * 2)] + [(0, TEXTS[0]), (None, "no id"), (None, None)]
+    out, pairs = align.align(spark.createDataFrame(rows, SCHEMA).repartition(3), A, B, links=links, chunk=40, with_groups=True)
+    count, want = brute(rows, links)
+    least = align.least_known(pairs)
+    often = sum(n >= least for n in count.values())
+    assert often <= known and (often > 0) == (known > 0) and often < len(count)
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(want, key=key)
+
+
+def test_links_of_frequent_pairs_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS * 3)], SCHEMA)
+    out, pairs = align.align(docs, A, B, chunk=40)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "length(links" in plan  # only documents with links left meet totals by chunk
+    kept_as = align.width(A, B)
+    made = align.aligned(docs, A, B, chunk=40)
+    some = pairs.orderBy("code").limit(10)
+    codes = {r.code for r in some.collect()}
+    for often, left in ((pairs, lambda c: False), (some, lambda c: c not in codes), (pairs.limit(0), lambda c: True)):
+        was = sorted((r.doc_id, [c for c in np.frombuffer(r.links, kept_as).tolist() if left(c)]) for r in made.filter("codes IS NULL").collect())
+        assert sorted((r.doc_id, np.frombuffer(r.links, kept_as).tolist()) for r in align.summed(made, often, kept_as).collect()) == was
+
+
+def test_counts_from_which_pairs_are_known(spark, monkeypatch):
+    pairs = spark.createDataFrame([(2**40,), (8,), (7,), (4,), (3,), (1,), (1,)], "n long")
+    for known, least in ((0, 1 << 62), (1, 2**40), (2, 8), (3, 8), (4, 4), (5, 2), (6, 2), (7, 1), (100, 1)):
+        monkeypatch.setattr(align, "KNOWN", known)
+        assert align.least_known(pairs) == least
+    assert align.least_known(pairs.limit(0)) == 1 << 62
