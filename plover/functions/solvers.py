loo_predictions, loo_inner_search: smaller stacks of rows, stacks from 4 problems on with several tasks

Symptom: a Python worker's peak was 5 to 7 MB above that of the start (135 and 133 to 140 MB at sf0.1, up to 140 of 129 with 63 features), and with two outcomes and 63 features rows were still solved one by one.
Evidence: a stack held 131,072 numbers an array and some ten arrays; timed apart, a stack of 4 problems with several tasks costs no more than one by one.
Fix: a stack holds 32,768 numbers an array; with several tasks stacks are solved at once from 4 problems on.

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-FEW = 32  # a smaller stack of problems is solved one by one, which costs less
+FEW = 32  # a smaller stack of problems is solved one by one, which costs less; with several tasks, one of fewer than 4
 
 
 def soft(x: np.ndarray | float, t: float) -> np.ndarray | float:
@@ -86,7 +86,7 @@ def _enet_one(g: np.ndarray, c: np.ndarray, alpha: float, rho: float, max_iter:
 
 def _enet_stack(g: np.ndarray, c: np.ndarray, alpha: float, rho: float, max_iter: int, tol: float, start: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Coordinate descent of a stack of problems, a coordinate of all at once; each has its own active set and ends where it would alone."""
-    if len(g) < FEW:
+    if len(g) < (FEW if c.ndim == 2 else 4):
         got = [enet_gram(x, y, alpha, rho, max_iter, tol, start) for x, y in zip(g, c, strict=True)]
         return np.array([b for b, _ in got]).reshape(c.shape), np.array([ok for _, ok in got], dtype=bool)
     shape, c = c.shape, c if c.ndim == 3 else c[:, :, None]

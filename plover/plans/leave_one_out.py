@@ -25,7 +25,7 @@ from plover.plans import changes
 from plover.plans.moments import MAX_BYTES, PARAMS, cells, centred, solve, squared_errors
 from plover.sources.work import save
 
-NUMBERS = 1 << 17  # of the rows' products that a task holds at once
+NUMBERS = 1 << 15  # of the rows' products that a task holds at once
 
 
 def _prepared(df: DataFrame, cfg: Config, cluster_map: DataFrame | None) -> tuple[DataFrame, changes.Recipe]:

@@ -37,7 +37,7 @@ def test_multi_task_shares_support_and_is_optimal():
     assert (np.linalg.norm(r[~on], axis=1) <= a * rho + 1e-8).all()
 
 
-@pytest.mark.parametrize("p,t,n", [(1, 1, 50), (15, 1, 50), (15, 3, 50), (6, 2, 5)])
+@pytest.mark.parametrize("p,t,n", [(1, 1, 50), (15, 1, 50), (15, 3, 50), (6, 2, 5), (6, 2, 3), (6, 1, 5)])
 @pytest.mark.parametrize("begin", [None, 0.1])
 def test_a_stack_of_problems_is_solved_as_one_by_one(p, t, n, begin):
     made = [problem(n=60, p=p, t=t, seed=i) for i in range(n)] if p >= 3 else [problem(n=60, p=3, t=t, seed=i) for i in range(n)]
